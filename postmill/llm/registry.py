@@ -1,9 +1,13 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
 from postmill.llm import op5_quality_rules as op5
+from postmill.llm import op6_byte_bpe as op6
+from postmill.llm import op10_secret_scan as op10
 
 QUERIES = {
     "op5_quality_rules": op5.query,
+    "op6_byte_bpe": op6.query,
+    "op10_secret_scan": op10.query,
 }
 
 ORACLES: dict[str, str] = {}
