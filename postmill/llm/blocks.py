@@ -159,3 +159,22 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Itera
         last = min(last, n)
         yield Block(data[off[first] : off[last]], (off[first : last + 1] - off[first]).astype(np.int64), first)
         first = last
+
+
+class HashTable:
+    """Index of each of some 64-bit hashes, by one probe. A hash whose slot an earlier one took is left out."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 21):
+        self.shift = U64(64 - bits)
+        self.slot = np.zeros(1 << bits, np.int32)
+        at = (hashes >> self.shift).astype(np.int64)
+        _, first = np.unique(at, return_index=True)
+        first.sort()
+        self.hashes = np.concatenate([np.zeros(1, U64), hashes[first]])  # 0 is no entry
+        self.kept = first
+        self.slot[at[first]] = np.arange(1, len(first) + 1, dtype=np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index among those kept, -1 where there is none."""
+        at = self.slot[(h >> self.shift).astype(np.int64)]
+        return np.where((self.hashes[at] == h) & (at > 0), at - 1, -1)
