@@ -1,12 +1,14 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
 from postmill.llm import op3_minhash_dedup as op3
+from postmill.llm import op4_lm_scoring as op4
 from postmill.llm import op5_quality_rules as op5
 from postmill.llm import op6_byte_bpe as op6
 from postmill.llm import op10_secret_scan as op10
 
 QUERIES = {
     "op3_minhash_dedup": op3.query,
+    "op4_lm_scoring": op4.query,
     "op5_quality_rules": op5.query,
     "op6_byte_bpe": op6.query,
     "op10_secret_scan": op10.query,
