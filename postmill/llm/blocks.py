@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 #: Words are runs of bytes other than these; UTF-8 never uses them inside a longer character.
@@ -85,8 +85,8 @@ class Block:
 class Words:
     """start, end: byte spans of all words; off: where each document's words begin; h: their 64-bit hashes."""
 
-    def __init__(self, block: Block, lower: bool = False, S: np.ndarray | None = None):
-        solid = ~SPACE[block.data]
+    def __init__(self, block: Block, lower: bool = False, S: np.ndarray | None = None, space: np.ndarray = SPACE):
+        solid = ~space[block.data]
         n = len(solid)
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]

@@ -5,6 +5,7 @@ from postmill.llm import op4_lm_scoring as op4
 from postmill.llm import op5_quality_rules as op5
 from postmill.llm import op6_byte_bpe as op6
 from postmill.llm import op7_suffix_dedup as op7
+from postmill.llm import op8_decontamination as op8
 from postmill.llm import op10_secret_scan as op10
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_quality_rules": op5.query,
     "op6_byte_bpe": op6.query,
     "op7_suffix_dedup": op7.query,
+    "op8_decontamination": op8.query,
     "op10_secret_scan": op10.query,
 }
 
