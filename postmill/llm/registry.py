@@ -7,6 +7,7 @@ from postmill.llm import op5_quality_rules as op5
 from postmill.llm import op6_byte_bpe as op6
 from postmill.llm import op7_suffix_dedup as op7
 from postmill.llm import op8_decontamination as op8
+from postmill.llm import op9_training_order as op9
 from postmill.llm import op10_secret_scan as op10
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_byte_bpe": op6.query,
     "op7_suffix_dedup": op7.query,
     "op8_decontamination": op8.query,
+    "op9_training_order": op9.query,
     "op10_secret_scan": op10.query,
 }
 
