@@ -3,8 +3,10 @@
 1. Every document's set of distinct 5-word shingles gives a 128-bit set id, and a MinHash signature. Equal
    sets are one node from here on.
 2. BANDS bands of ROWS hashes give buckets. In each bucket all members are compared with one hub, the member
-   with the largest buckets over all bands; then, round by round, members that are still apart from a further
-   hub; what is left apart after HUB_ROUNDS is compared across components in full.
+   with the largest buckets over all bands, and then those still apart from a second hub with that one.
+   Sets that share buckets and are still apart form groups; a task compares a group's sets across components
+   and sends only links that join two. A group of more than UNIT weight is dealt by bucket, and a bucket
+   by pairs of blocks, so no task holds more than two blocks.
 3. A candidate pair's signatures are compared BATCH hashes at a time; the pair is dropped as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold is below MISS.
 4. Survivors are confirmed on their full sets: 100 * intersection >= 85 * union.
@@ -35,7 +37,9 @@ from postmill.llm.components import components
 BANDS, ROWS, BATCH, MISS = 24, 5, 20, 1e-5
 HASHES = BANDS * ROWS
 PERCENT = 85
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Weight (shingles, and SET_WEIGHT a set) of what one task compares at once.
+UNIT, SET_WEIGHT = 4_000_000, 500
 #: Ids that a join may broadcast, counted first (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -179,9 +183,8 @@ def _by_signature(pairs: DataFrame, fp: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _by_sets(pairs: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def _sets(involved: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid, s): the full shingle sets, made anew from the texts of one document each."""
     firsts = only(fp.filter("sid is not null").select("sid", "doc_id"), involved, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = firsts.select("doc_id").distinct()
 
@@ -194,10 +197,15 @@ def _by_sets(pairs: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
                 at = [i for i, (k, n) in enumerate(zip(ids, np.diff(off).tolist(), strict=True)) if n and not (k in seen or seen.add(k))]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.binary()), pa.array([sets[off[i] : off[i + 1]].tobytes() for i in at], pa.binary())], names=["sid", "s"])
 
-    texts = only(narrow(docs, "doc_id", "text"), wanted, "doc_id")
+    keyed = narrow(docs, "doc_id", "text")
+    texts = only(keyed.filter("doc_id is not null"), wanted, "doc_id").unionByName(keyed.filter("doc_id is null"))
     sets = texts.select("text").mapInArrow(run, "sid binary, s binary")
-    sets = only(sets, involved, "sid").groupBy("sid").agg(F.min("s").alias("s"))
-    sets = saved(sets, "sets")
+    return saved(only(sets, involved, "sid").groupBy("sid").agg(F.min("s").alias("s")), "sets")
+
+
+def _by_sets(pairs: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), fp, docs)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches):
@@ -212,8 +220,75 @@ def _by_sets(pairs: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary")
 
 
-def _pairs(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def join_apart(root: list, block: list[int], sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join components of a unit's members (of two blocks, across them), each of a pair that shares a band,
+    passes the signature batches, and reaches the threshold on full sets."""
+    n, keys = len(sets), band_keys(sig)
+    names: dict = {}
+    label = np.array([names.setdefault(r, len(names)) for r in root])
+    side = np.array(block)
+    across = len(set(block)) > 1
+    size = np.array([len(s) for s in sets])
+    links = []
+    for i in range(1, n):
+        j = np.flatnonzero(label[:i] != label[i])
+        if across:
+            j = j[side[j] != side[i]]
+        low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+        j = j[100 * low >= PERCENT * high]
+        j = j[(keys[j] == keys[i]).any(1)]
+        j = j[survives(sig[j], np.broadcast_to(sig[i], (len(j), HASHES)))]
+        for some in np.array_split(j, max(1, int(size[j].sum()) // 500_000 + 1)) if len(j) else ():
+            other = np.concatenate([sets[k] for k in some])
+            at = np.minimum(np.searchsorted(sets[i], other), size[i] - 1)
+            common = np.add.reduceat((sets[i][at] == other).astype(np.int64), np.cumsum(size[some]) - size[some])
+            for k in some[100 * common >= PERCENT * (size[some] + size[i] - common)].tolist():
+                if label[k] != label[i]:
+                    links.append((i, k))
+                    label[label == label[k]] = label[i]
+    return links
+
+
+def _apart(members: DataFrame, fp: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links found inside buckets (bucket, sid, root) of which the members are in several components."""
+    bucket = Window.partitionBy("bucket")
+    groups = components(members.withColumn("v", F.min("sid").over(bucket)).select(F.col("sid").alias("u"), "v"))
+    members = members.join(groups.select(F.col("node").alias("sid"), F.col("root").alias("unit")), "sid", "left").withColumn("unit", F.coalesce("unit", "sid"))
+    involved = saved(members.select("sid", "root", "unit").distinct(), "apart")
+    ids = involved.select("sid").distinct()
+    sets = _sets(ids, fp, docs)
+    sigs = only(fp.filter("sig is not null").select("sid", "sig"), ids, "sid").groupBy("sid").agg(F.min("sig").alias("sig"))
+    weight = sets.select("sid", (F.length("s") / 8 + SET_WEIGHT).alias("weight"))
+    whole = involved.join(weight, "sid")
+    total = whole.groupBy("unit").agg(F.sum("weight").alias("total"))
+    small = whole.join(total.filter(F.col("total") <= UNIT), "unit").select(F.hex("unit").alias("unit"), "sid", "root", F.lit(0).alias("block"))
+    heavy = members.join(total.filter(F.col("total") > UNIT).select("unit"), "unit", "left_semi").join(weight, "sid")
+    run_up = F.sum("weight").over(bucket.orderBy("root", "sid").rowsBetween(Window.unboundedPreceding, 0))
+    heavy = heavy.withColumn("block", F.floor(run_up / (UNIT / 2)).cast("int")).withColumn("last", F.max("block").over(bucket))
+    heavy = heavy.select("bucket", "sid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    heavy = heavy.select(F.concat_ws(":", "bucket", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "sid", "root", "block")
+    rows = small.unionByName(heavy).join(sigs, "sid").join(sets, "sid").select("unit", "sid", "root", "block", "sig", "s")
+    rows = rows.repartition("unit").sortWithinPartitions("unit")
+
+    def run(batches):
+        unit, held = None, []
+
+        def settle():
+            ids, roots, block, sig, sets = zip(*held, strict=True)
+            got = join_apart(roots, block, np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES), [np.frombuffer(s, np.uint64) for s in sets]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.binary()), pa.array([ids[k] for _, k in got], pa.binary())], names=["a", "b"])
+
+        for x in batches:
+            for u, *rest in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if u != unit and held:
+                    yield settle()
+                    held = []
+                unit = u
+                held.append(rest)
+        if held:
+            yield settle()
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def link(fp: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,7 +298,7 @@ def link(fp: DataFrame, docs: DataFrame) -> DataFrame:
     members = saved(members, "members")
     degree = members.groupBy("sid").agg(F.sum("n").alias("degree"))
     members = saved(members.join(degree, "sid").select("bucket", "sid", "degree"), "degrees")
-    links = tried = roots = None
+    links = roots = None
     for k in range(HUB_ROUNDS + 1):
         now = members
         if roots is not None:
@@ -233,25 +308,20 @@ def link(fp: DataFrame, docs: DataFrame) -> DataFrame:
         apart = now.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo <> hi")
         if k < HUB_ROUNDS:  # hubs in the order of degree, one more each round
             ranked = apart.withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("degree"), "sid")))
-            hubs = ranked.withColumn("hub", F.max(F.when(F.col("rank") == k + 1, F.col("sid"))).over(bucket)).withColumn("hub_root", F.max(F.when(F.col("rank") == k + 1, F.col("root"))).over(bucket))
-            pairs = hubs.filter("hub is not null and sid <> hub and root <> hub_root").select(*_pairs("sid", "hub"))
+            hub = F.max(F.when(F.col("rank") == k + 1, F.struct("sid", "root"))).over(bucket)
+            pairs = ranked.withColumn("hub", hub).filter("hub is not null and sid <> hub.sid and root <> hub.root")
+            pairs = saved(pairs.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct(), "pairs")
+            if pairs.isEmpty():
+                continue
+            left = saved(_by_signature(pairs, fp), "survivors")
+            if left.isEmpty():
+                continue
+            found = saved(_by_sets(left, fp, docs), "links")
         else:
-            x = apart.select("bucket", "sid", "root")
-            y = x.toDF("bucket", "sid2", "root2")
-            pairs = x.join(y, "bucket").filter("root < root2").select(*_pairs("sid", "sid2"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            if k == 0:
+            apart = saved(apart.select("bucket", "sid", "root"), "apart")
+            if apart.isEmpty():
                 break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        left = saved(_by_signature(pairs, fp), "survivors")
-        if left.isEmpty():
-            continue
-        found = saved(_by_sets(left, fp, docs), "links")
+            found = saved(_apart(apart, fp, docs), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links.toDF("u", "v"))
     return roots if roots is not None else fp.sparkSession.createDataFrame([], "node binary, root binary")

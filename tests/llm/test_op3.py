@@ -63,6 +63,14 @@ def test_matches_brute_force(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == brute(rows)
 
 
+def test_heavy_groups_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(op3, "UNIT", 2500)
+    monkeypatch.setattr(op3, "HUB_ROUNDS", 0)
+    rows = corpus()
+    got = op3.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == brute(rows)
+
+
 def test_stage_keeps_one_of_each_group_even_of_repeated_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (3, "other words stand here for now"), (None, "other words stand here for now"), (None, None)]
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
