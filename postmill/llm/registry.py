@@ -1,6 +1,7 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
 from postmill.llm import op1_pii_pseudonyms as op1
+from postmill.llm import op2_kneser_ney as op2
 from postmill.llm import op3_minhash_dedup as op3
 from postmill.llm import op4_lm_scoring as op4
 from postmill.llm import op5_quality_rules as op5
@@ -12,6 +13,7 @@ from postmill.llm import op10_secret_scan as op10
 
 QUERIES = {
     "op1_pii_pseudonyms": op1.query,
+    "op2_kneser_ney": op2.query,
     "op3_minhash_dedup": op3.query,
     "op4_lm_scoring": op4.query,
     "op5_quality_rules": op5.query,
