@@ -1,4 +1,4 @@
 """The query catalogue: name -> (spark, sf_dir) -> DataFrame, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from postmill.plans import posts  # noqa: F401  registers its queries
+from postmill.plans.registry import ORACLES, QUERIES  # noqa: F401
