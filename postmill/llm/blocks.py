@@ -112,13 +112,21 @@ def per_doc_keys(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(h + (doc.astype(U64) + U64(1)) * U64(0xA24BAED4963EE407))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, sorted."""
+    s = np.sort(keys)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     s = np.sort(keys)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
         return np.zeros(len(keys), bool)
-    twice = np.unique(twice)
+    twice = distinct(twice)
     at = np.searchsorted(twice, keys)
     at[at == len(twice)] = 0
     return twice[at] == keys

@@ -4,11 +4,11 @@ Words are runs of letters and digits, lower-cased (bytes past ASCII count as let
 are its BM25 weights divided by their sum, so a passage with all of an item's words scores 1 against it.
 Passages are PASSAGE words long and begin every PASSAGE / 2.
 
-Retrieval is block-max WAND over numpy arrays of many passages at once: a passage whose terms' greatest
-weights sum to less than THRESHOLD is dropped; terms are taken by rising greatest weight, and those whose
-sum stays below the threshold cannot alone make a candidate; only the others' blocks of ITEM_BLOCK items
-are opened, and a block counts only if its block maxima and the rest's bound reach the threshold. What is
-left is scored exactly, and everything at or above the threshold is retrieved.
+Retrieval is block-max WAND over numpy arrays of many passages at once. The terms in most blocks of items whose
+greatest weights sum to at most LIGHT together cannot make a candidate: their lists stay closed and count by
+that bound. The other terms' block maxima (ITEM_BLOCK items a block) are summed for every half passage, and
+a passage's block is opened only if both halves' sums and the bound reach THRESHOLD. What is left is scored
+exactly with all terms, and everything at or above the threshold is retrieved.
 
 A retrieved item is verified on its surroundings in the document (the passage and half a passage on each
 side): idf-weighted overlap of the question (its first two thirds) and of the answer (the rest), and a
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, Words, blocks, prefix, span
+from postmill.llm.blocks import Block, Words, blocks, distinct, prefix, span
 from postmill.llm.common import documents, narrow, saved, ship
 
-PASSAGE, ITEM_BLOCK, RUN = 128, 16, 5
+PASSAGE, ITEM_BLOCK, RUN = 128, 4, 5
+LIGHT, CELLS = 0.1, 4_000_000
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.6
 SHARD = 20_000
@@ -87,6 +88,10 @@ class Index:
         self.blocks_of = np.searchsorted(self.block_key, np.arange(len(self.terms) + 1) * self.n_blocks)
         self.top = np.zeros(len(self.terms))
         np.maximum.at(self.top, term, weight)
+        wide = np.argsort(-np.diff(self.blocks_of), kind="stable")
+        wide = wide[np.cumsum(self.top[wide]) <= LIGHT]
+        self.light = np.zeros(len(self.terms), bool)
+        self.light[wide] = True
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.terms >> np.uint64(44)).astype(np.int64)] = True
         self.runs = [set(span(prefix(w), np.arange(len(w) - RUN + 1), np.arange(RUN, len(w) + 1)).tolist()) for w in self.words]
@@ -100,44 +105,47 @@ class Index:
         ok = self.terms[t] == h[at]
         return at[ok], t[ok]
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """passage, term: distinct pairs sorted by passage. All (passage, item, score) with a score at or above THRESHOLD."""
-        low = THRESHOLD - 1e-9
-        top = self.top[term]
-        new = np.ones(len(passage), bool)
-        new[1:] = passage[1:] != passage[:-1]
-        group = np.cumsum(new) - 1
-        keep = (np.bincount(group, weights=top) >= low)[group] if len(group) else new
-        passage, term, top = passage[keep], term[keep], top[keep]
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if not len(passage):
-            return none
-        names, group = np.unique(passage, return_inverse=True)
-        o = np.lexsort((top, group))
-        group, term, top = group[o], term[o], top[o]
-        total = np.cumsum(top)
-        first = np.searchsorted(group, np.arange(len(names)))
-        rising = total - (total[first] - top[first])[group]
-        needed = rising >= low  # the others together stay below the threshold
-        rest = np.bincount(group[~needed], weights=top[~needed], minlength=len(names))
-        k, i = _ranges(self.blocks_of[term[needed]], self.blocks_of[term[needed] + 1])
-        key = group[needed][i] * self.n_blocks + self.block_key[k] % self.n_blocks
-        pair, at = np.unique(key, return_inverse=True)
-        bound = np.bincount(at, weights=self.best[k]) + rest[pair // self.n_blocks]
-        pair = pair[bound >= low]
-        if not len(pair):
-            return none
-        g, block = pair // self.n_blocks, pair % self.n_blocks
-        j, i = _ranges(first[g], np.append(first, len(group))[g + 1])  # every term of those passages in those blocks
-        want = term[j] * self.n_blocks + block[i]
+    def retrieve(self, half: np.ndarray, term: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """half, term: distinct pairs, sorted. second[h]: the other half of the passage that begins with h, h itself
+        for one that has no other, -1 for none. All (passage's first half, item, score) at or above THRESHOLD."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(1, CELLS // self.n_blocks)
+        for h in range(0, len(second), step):  # some halves at a time, and the one after them
+            lo, hi = np.searchsorted(half, [h, h + step + 1])
+            near = second[h : h + step]
+            out.append(self._retrieve(half[lo:hi] - h, term[lo:hi], np.where(near >= 0, near - h, -1)))
+            out[-1][0][:] += h
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _retrieve(self, half: np.ndarray, term: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, n = THRESHOLD - 1e-9, len(second) + 1
+        light = self.light[term]
+        rest = np.bincount(half[light], weights=self.top[term[light]], minlength=n)
+        t = term[~light]
+        k, i = _ranges(self.blocks_of[t], self.blocks_of[t + 1])
+        best = np.bincount(half[~light][i] * self.n_blocks + self.block_key[k] % self.n_blocks, weights=self.best[k], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
+        p = np.flatnonzero(second >= 0)
+        other = second[p]
+        two = other != p
+        bound = best[p] + best[other] * two[:, None] + np.minimum(rest[p] + rest[other] * two, LIGHT)[:, None]
+        at, block = np.nonzero(bound >= low)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        first = np.searchsorted(half, np.arange(n + 1))
+        a, b = p[at], other[at]  # the terms of both halves of the passages that are left, each once
+        j, x = _ranges(first[a], first[a + 1])
+        j2, x2 = _ranges(first[b], first[b + 1])
+        key = distinct(np.concatenate([x * len(self.terms) + term[j], x2 * len(self.terms) + term[j2]]))
+        x, t = key // len(self.terms), key % len(self.terms)
+        want = t * self.n_blocks + block[x]
         k = np.minimum(np.searchsorted(self.block_key, want), len(self.block_key) - 1)
         ok = self.block_key[k] == want
-        k, i = k[ok], i[ok]
-        p, j = _ranges(self.first[k], self.first[k + 1])
-        key, at = np.unique(g[i[j]] * len(self.ids) + self.item[p], return_inverse=True)
-        score = np.bincount(at, weights=self.weight[p])
+        k, x = k[ok], x[ok]
+        q, j = _ranges(self.first[k], self.first[k + 1])
+        key, place = np.unique(a[x[j]] * len(self.ids) + self.item[q], return_inverse=True)
+        score = np.bincount(place, weights=self.weight[q])
         ok = score >= low
-        return names[key[ok] // len(self.ids)], key[ok] % len(self.ids), score[ok]
+        return key[ok] // len(self.ids), key[ok] % len(self.ids), score[ok]
 
     def overlaps(self, item: int, around: np.ndarray) -> tuple[float, float, bool]:
         """idf-weighted overlap of the question and of the answer with the words around, and a common run."""
@@ -158,15 +166,14 @@ def search(index: Index, b: Block) -> list[tuple[int, int, float, float, float]]
     if not len(at):
         return []
     doc = w.doc[at]
-    part = (at - w.off[doc]) // STEP
-    parts = -(-w.n // STEP)  # half passages of each document; one passage at least
-    passages = np.maximum(parts - 1, 1)
-    base = np.cumsum(passages) - passages
-    mine, before = part < passages[doc], part > 0
-    p = np.concatenate([(base[doc] + part)[mine], (base[doc] + part - 1)[before]])
-    key = np.unique(p * len(index.terms) + np.concatenate([term[mine], term[before]]))
+    halves = -(-w.n // STEP)
+    base = np.cumsum(halves) - halves
+    key = distinct((base[doc] + (at - w.off[doc]) // STEP) * len(index.terms) + term)
+    second = np.arange(1, int(halves.sum()) + 1)
+    last = (base + halves - 1)[halves > 0]
+    second[last] = np.where(halves[halves > 0] == 1, last, -1)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for q, item, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.terms), key % len(index.terms))), strict=True):
+    for q, item, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.terms), key % len(index.terms), second)), strict=True):
         d = int(np.searchsorted(base, q, "right")) - 1
         start = int(w.off[d]) + (q - int(base[d])) * STEP
         around = w.h[max(int(w.off[d]), start - STEP) : min(int(w.off[d + 1]), start + PASSAGE + STEP)]

@@ -74,7 +74,8 @@ def test_shards_find_the_same_documents(spark, monkeypatch):
     assert {r.doc_id for r in op8.contaminated(df, bench).collect()} == whole
 
 
-def test_wand_retrieves_all_above_threshold():
+def test_wand_retrieves_all_above_threshold(monkeypatch):
+    monkeypatch.setattr(op8, "CELLS", 40)
     items, docs = corpus(10)
     index = op8.Index([i for i, t in items if t], [t for _, t in items if t])
     r = np.random.default_rng(0)
@@ -86,7 +87,7 @@ def test_wand_retrieves_all_above_threshold():
         for k in range(index.blocks_of[b], index.blocks_of[b + 1]):
             s = slice(index.first[k], index.first[k + 1])
             dense[a, index.item[s]] += index.weight[s]
-    got = {(a, b) for a, b, _ in zip(*index.retrieve(p, t), strict=True)}
+    got = {(a, b) for a, b, _ in zip(*index.retrieve(p, t, np.arange(40)), strict=True)}
     assert got == set(zip(*np.nonzero(dense >= op8.THRESHOLD - 1e-9), strict=True)) and got
 
 
