@@ -15,7 +15,7 @@ def derived_id(prefix: str, length: int, *parts: Column) -> Column:
 def sign_bits(vector: Column) -> Column:
     """Bit i of a BIGINT: whether element i of a vector (64 at most) is positive."""
     return F.aggregate(
-        F.transform(vector, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
+        F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
         F.lit(0).cast("bigint"),
         lambda a, x: a.bitwiseOR(x),
     )
