@@ -125,18 +125,17 @@ def face_class(spark, sf_dir):
 
 
 @query("""
-with b as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), h as (select vec_id, list(x > 0 order by i) as bits from b group by 1),
-q as (select vec_id, bits, k, array_to_string(list_transform(bits[k * 8 + 1 : k * 8 + 8], lambda b: case when b then '1' else '0' end), '') as piece from h, (select unnest(generate_series(0, 7)) as k)),
-p as (select distinct a.vec_id as left_id, b.vec_id as right_id, a.bits as x, b.bits as y from q a join q b on a.k = b.k and a.piece = b.piece and a.vec_id < b.vec_id),
-d as (select left_id, right_id, len(list_filter(list_zip(x, y), lambda z: z[1] <> z[2])) as distance from p)
-select left_id, right_id, cast(distance as int) as distance from d where distance <= 7""")
+with b as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), h as (select vec_id, list(x > 0 order by i) as bits from b where i <= 21 group by 1),
+d as (select a.vec_id as left_id, b.vec_id as right_id, len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2])) as distance from h a join h b on a.vec_id < b.vec_id)
+select left_id, right_id, cast(distance as int) as distance from d where distance <= 2""")
 def hamming_pairs(spark, sf_dir):
-    """Pairs of hashes that differ in at most 7 of 64 bits: such a pair has one of eight bytes in common, so an equi-join on bytes finds all."""
-    h = table(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("bits"))
-    byte = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255)).alias("piece")) for k in range(8)]
-    q = h.select("vec_id", "bits", F.explode(F.array(*byte)).alias("p")).select("vec_id", "bits", "p.k", "p.piece")
+    """Pairs of 21-bit hashes that differ in at most 2 bits: such a pair has one of three sevenths in common, so an
+    equi-join on these finds every pair and makes few others."""
+    h = table(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.slice("embedding", 1, 21)).alias("bits"))
+    piece = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", 7 * k).bitwiseAND(F.lit(127)).alias("piece")) for k in range(3)]
+    q = h.select("vec_id", "bits", F.explode(F.array(*piece)).alias("p")).select("vec_id", "bits", "p.k", "p.piece")
     x = q.alias("a").join(q.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    x = x.select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), hamming(F.col("a.bits"), F.col("b.bits")).alias("distance")).filter("distance <= 7")
+    x = x.select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), hamming(F.col("a.bits"), F.col("b.bits")).alias("distance")).filter("distance <= 2")
     return x.distinct()
 
 
