@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,8 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch; whole texts make Spark's 10000 a large piece of memory.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, where it isn't on their path already (once a context)."""
+    """Give the executors this package, where it isn't on their path already (once a context); smaller Arrow batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_postmill_shipped", False):
         return
@@ -50,12 +57,19 @@ def drop(spark: SparkSession, path: str) -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and no executor's loss undoes it."""
     path = shared(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._postmill_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of finished jobs now: it does so once the plans that named them are
+    collected, which a driver with little garbage puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(text: Column, doc_id: Column) -> Column:
     """A null-safe key of a document row; rows with equal id and text have the same."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\0")), F.coalesce(text, F.lit("")))
