@@ -355,3 +355,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not twice.isEmpty():  # rows that share an id: one of them
         out = out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
     return out
+
+
+#: The query in DuckDB SQL (for tables whose doc_id is unique): pairs by shared shingles, components by recursion.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as i from w where len(ws) > 0)),
+n as (select w.doc_id, count(s.g) as n_shingles from w left join s on w.doc_id = s.doc_id group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n_shingles + ny.n_shingles - c)),
+both_ways as (select x, y from e union all select y, x from e),
+r as (select doc_id, doc_id as other from n union select r.doc_id, b.y from r join both_ways b on r.other = b.x),
+m as (select doc_id, min(other) as component_id from r group by 1)
+select n.doc_id, n_shingles, component_id, n.doc_id = component_id as kept from n join m on n.doc_id = m.doc_id"""

@@ -154,3 +154,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield x.filter(pa.array(~bad))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: The query in DuckDB SQL (for tables whose doc_id is unique).
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+x as (select doc_id, i, array_to_string(ws[i : i + 7], ' ') as win from (select doc_id, ws, unnest(generate_series(1, len(ws) - 7)) as i from w)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from x) where n > 1),
+c as (select doc_id, count(distinct i + k) as n from r, (select unnest(generate_series(0, 7)) as k) group by 1),
+m as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(t, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) as n_alpha, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper
+  from w left join c on w.doc_id = c.doc_id),
+b as (select *, cast((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (100 * n_symbols > 5 * word_chars)::int + 8 * (word_chars < 2 * n_words)::int + 16 * (word_chars > 20 * n_words)::int
+  + 32 * (n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines)::int + 64 * (100 * n_alpha < 60 * word_chars)::int + 128 * (100 * n_upper > 50 * n_alpha)::int as bigint) as failures from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 as base_failed, failures = 0 as kept, failures from b"""

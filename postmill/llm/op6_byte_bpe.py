@@ -25,7 +25,7 @@ from postmill.llm.common import documents, narrow, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers, and their greatest length in characters.
-MEMO, MEMO_LENGTH = 400_000, 48
+MEMO, MEMO_LENGTH = 150_000, 48
 
 
 def byte_characters() -> list[str]:

@@ -7,14 +7,17 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
    bytes before it and 200 from it on, within its document: all 200-byte strings around it.
 2. Anchors of one piece whose contexts are equal (two independent 64-bit hashes) are repeated as a whole.
    Equal contexts of one task are counted there and one of them goes on.
-3. Pieces with differing contexts get their bytes, and a suffix sort: contexts to the right of the anchor, and
+3. Two anchors that share a 200-byte string share RIGHT bytes from the piece on or LEFT bytes before it. Contexts
+   that share neither with another of their piece are done. The others get their bytes, and a suffix sort: contexts to the right of the anchor, and
    to the left read backwards, are merge-sorted; a comparison finds the common extension of two suffixes by
    binary search on prefix polynomial hashes. Neighbours' common extensions are verified on the bytes (if a
    hash collided, those bytes are compared instead). A string x bytes before the anchor is repeated exactly
    if another member shares 200 - x bytes to the right and x to the left: the two sorted orders give those
    classes for every x.
-4. A piece with more than GROUP differing contexts is dealt to parts, which settle what they can; strings
-   left over there meet by their own hashes.
+4. A piece with more than GROUP such contexts is split by how far before the anchor a string begins: strings that
+   begin a to b bytes before it share a bytes to the left and LENGTH - b to the right, so equal ones meet in one
+   half of the range or the other. Halves go on splitting while they hold too many; contexts that stand alone
+   drop out, and a range of one is a class of equal strings.
 5. Covered stretches are merged a document at a time.
 
 Defined cases: a null or empty text, and one under 200 bytes, loses nothing. Repeated rows are copies of each
@@ -35,10 +38,14 @@ from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 LENGTH, PIECE = 200, 32
 REACH = LENGTH - PIECE  # how far before its anchor a string can start
+RIGHT = PIECE + REACH // 2
+LEFT = LENGTH - RIGHT  # a string with less than RIGHT from its anchor on has more than this before it
+#: Keys that a join may broadcast, counted first (8 bytes each); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 #: Differing contexts of one piece that one task sorts at most.
-GROUP = 4096
+GROUP = 6000
 #: Anchors that a task holds before it counts and sends them, and members it sorts together.
-HELD, SORTED = 1_000_000, 20_000
+HELD, SORTED = 300_000, 4_000
 
 _KEY = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,26 +92,27 @@ def _merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return key[at], lo[at], top[np.append(at[1:] - 1, len(key) - 1)]
 
 
-# An anchor's row. piece, context: hashes; key: its document; n: how many of the task have the context.
-# A covered stretch is a row too, with n = 0 and its ends in lo and hi; its piece only spreads the rows.
-_ROW = "piece bigint, context bigint, key bigint, pos bigint, lo bigint, hi bigint, n int"
+# An anchor's row. piece, context: hashes; key: its document; place: position, bytes before and after it in its context;
+# sides: 32 bits of a hash of its right and of its left side (0: too short); n: how many of the task have the context.
+# A covered stretch is a row too, with n = 0 and its ends in place and sides; its piece only spreads the rows.
+_ROW = "piece bigint, context bigint, key bigint, place bigint, sides bigint, n int"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
 def _counted(parts: list) -> pa.RecordBatch:
     """The anchors of a task, one for each context, and what is covered by contexts that it has twice."""
-    piece, context, key, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    piece, context, key, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
     o = np.lexsort((context, piece))
-    piece, context, key, pos, lo, hi = piece[o], context[o], key[o], pos[o], lo[o], hi[o]
+    piece, context, key, place, sides = piece[o], context[o], key[o], place[o], sides[o]
     new = np.ones(len(piece), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (context[1:] != context[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(piece)))
-    twice = np.repeat(n, n) > 1
-    k, a, z = _merged(key[twice], lo[twice], hi[twice])
+    p = place[np.repeat(n, n) > 1]
+    k, a, z = _merged(key[np.repeat(n, n) > 1], (p >> 16) - (p >> 8 & 255), (p >> 16) + (p & 255))
     spread = mix(k.view(np.uint64) + a.astype(np.uint64)).view(np.int64)
     zero = np.zeros(len(k), np.int64)
-    cols = [(piece[first].view(np.int64), spread), (context[first].view(np.int64), zero), (key[first], k), (pos[first], zero), (lo[first], a), (hi[first], z), (n.astype(np.int32), zero.astype(np.int32))]
+    cols = [(piece[first].view(np.int64), spread), (context[first].view(np.int64), zero), (key[first], k), (place[first], a), (sides[first], z), (n.astype(np.int32), zero.astype(np.int32))]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=_NAMES)
 
 
@@ -112,14 +120,18 @@ def _find_anchors(batches):
     held, size = [], 0
     for x in batches:
         keys = x.column(0).to_numpy()
-        for b in blocks(x.column(1)):
+        for b in blocks(x.column(1), 1 << 20):
             pos, piece, doc = anchors(b)
             if not len(pos):
                 continue
             start = b.off[doc]
             lo, hi = np.maximum(start, pos - REACH), np.minimum(b.off[doc + 1], pos + LENGTH)
-            context = mix(span(prefix(_KEY2[b.data]), lo, hi) ^ (pos - lo).astype(np.uint64))
-            held.append((piece, context, keys[b.first : b.first + b.n][doc], pos - start, lo - start, hi - start))
+            S = prefix(_KEY2[b.data])
+            context = mix(span(S, lo, hi) ^ (pos - lo).astype(np.uint64))
+            half = np.uint64(32)
+            right = np.where(hi - pos >= RIGHT, span(S, pos, np.minimum(pos + RIGHT, hi)) >> half | np.uint64(1), np.uint64(0))
+            left = np.where(pos - lo >= LEFT, span(S, np.maximum(pos - LEFT, lo), pos + PIECE) >> half | np.uint64(1), np.uint64(0))
+            held.append((piece, context, keys[b.first : b.first + b.n][doc], pos - start << 16 | pos - lo << 8 | hi - pos, (right << half | left).view(np.int64)))
             size += len(pos)
             if size >= HELD:
                 yield _counted(held)
@@ -210,24 +222,24 @@ class Suffixes:
         return out
 
 
-def settle(piece: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, slices: list[bytes]) -> tuple[np.ndarray, Suffixes]:
-    """Of members sorted by piece: [i, x] whether the string that starts x bytes before anchor i is repeated."""
+def settle(unit: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, slices: list[bytes]) -> np.ndarray:
+    """Of members sorted by unit: [i, x] whether the string that starts x bytes before anchor i is repeated."""
     sizes = np.array([len(s) for s in slices], np.int64)
     data = np.frombuffer(b"".join(slices), np.uint8)
     begin = np.cumsum(sizes) - sizes
     left, right = pos - lo, hi - pos
-    group = np.zeros(len(piece), np.int64)
-    group[1:] = np.cumsum(piece[1:] != piece[:-1])
+    group = np.zeros(len(unit), np.int64)
+    group[1:] = np.cumsum(unit[1:] != unit[:-1])
     ahead = Suffixes(data, begin + left, right, group)
     back = Suffixes(data[::-1].copy(), len(data) - (begin + left), left, group)
-    out = np.zeros((len(piece), REACH + 1), bool)
+    out = np.zeros((len(unit), REACH + 1), bool)
     many = n > 1
     for x in range(REACH + 1):
         ok = np.flatnonzero((left >= x) & (right >= LENGTH - x))
         if len(ok):
-            key = ahead.classes(LENGTH - x)[ok] * (len(piece) + 1) + back.classes(x)[ok]
+            key = ahead.classes(LENGTH - x)[ok] * (len(unit) + 1) + back.classes(x)[ok]
             out[ok, x] = repeated(key) | many[ok]
-    return out, ahead
+    return out
 
 
 def _stretches(hit: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,61 +253,82 @@ def _stretches(hit: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _settle_groups(batches):
-    """Sorted members in, covered stretches out (wide = false), and of dealt-out pieces the strings left over
-    (wide = true: start and hash)."""
+    """Sorted members in, covered stretches out."""
 
     def flush(rows):
-        piece, part, key, pos, lo, hi, n, s = rows
-        hit, ahead = settle(mix(piece.view(np.uint64) + part.astype(np.uint64)), pos, lo, hi, n, s)
-        row, a, z = _stretches(hit, pos)
-        yield out(key[row], a, z, np.zeros(len(row), np.int64), np.zeros(len(row), bool))
-        dealt = np.flatnonzero(part >= 0)
-        x = np.arange(REACH + 1)
-        for some in np.array_split(dealt, max(1, len(dealt) // 512)):  # every string of a part's members
-            fits = (x <= (pos - lo)[some, None]) & (LENGTH - x <= (hi - pos)[some, None])
-            i, back = np.nonzero(fits)
-            i = some[i]
-            start = ahead.start[i] - back
-            yield out(key[i], pos[i] - back, pos[i] - back + LENGTH, span(ahead.S, start, start + LENGTH).view(np.int64) | 1, ~hit[i, back])
-
-    def out(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "lo", "hi", "string", "open"])
+        unit, key, pos, lo, hi, n, s = rows
+        row, a, z = _stretches(settle(unit, pos, lo, hi, n, s), pos)
+        return pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(a), pa.array(z)], names=["key", "lo", "hi"])
 
     def join(rows):
-        return [np.concatenate([r[k] for r in rows]) for k in range(7)] + [[s for r in rows for s in r[7]]]
+        return [np.concatenate([r[k] for r in rows]) for k in range(6)] + [[s for r in rows for s in r[6]]]
 
     held = None
     for x in batches:
-        now = [x.column(k).to_numpy() for k in range(7)] + [x.column(7).to_pylist()]
+        now = [x.column(k).to_numpy() for k in range(6)] + [x.column(6).to_pylist()]
         held = join([held, now]) if held is not None else now
         if len(held[0]) >= SORTED:
-            last = (held[0] != held[0][-1]) | (held[1] != held[1][-1])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last group may go on
+            other = np.flatnonzero(held[0] != held[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
             if cut:
-                yield from flush([c[:cut] for c in held])
+                yield flush([c[:cut] for c in held])
                 held = [c[cut:] for c in held]
     if held is not None and len(held[0]):
-        yield from flush(held)
+        yield flush(held)
+
+
+def _settled(members: DataFrame) -> DataFrame:
+    rows = members.select("unit", "key", "pos", "lo", "hi", "n", "s").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(_settle_groups, "key bigint, lo bigint, hi bigint")
+
+
+def _split(members: DataFrame) -> list[DataFrame]:
+    """Covered stretches of members (unit, a, b, ...) of units with too many, by halving their ranges a to b."""
+    out = []
+    while not members.isEmpty():
+        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
+        x = members.withColumn("r", F.explode(halves)).withColumn("a", F.col("r.a")).withColumn("b", F.col("r.b")).drop("r")
+        x = x.filter((F.col("pos") - F.col("lo") >= F.col("a")) & (F.col("hi") - F.col("pos") >= LENGTH - F.col("b")))
+        shared = F.substring("s", (F.col("pos") - F.col("lo") - F.col("a") + 1).cast("int"), F.col("a") + LENGTH - F.col("b"))
+        x = x.withColumn("unit", F.xxhash64("unit", "a", "b", shared)).withColumn("size", F.count("*").over(Window.partitionBy("unit"))).filter("size > 1")
+        x = saved(x, "halves")
+        out.append(x.filter(f"size > {GROUP} and a = b").select("key", (F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") - F.col("a") + LENGTH).alias("hi")))
+        out.append(_settled(x.filter(f"size <= {GROUP}")))
+        members = x.filter(f"size > {GROUP} and a < b").drop("size")
+    return out
+
+
+def only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with one of the (distinct) keys: a broadcast where they are few enough, else a shuffle."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """(key, lo, hi): covered stretches of the documents (key, text); they may overlap."""
-    rows = saved(docs.mapInArrow(_find_anchors, _ROW), "anchors")
     piece, same = Window.partitionBy("piece"), Window.partitionBy("piece", "context")
-    x = rows.filter("n > 0").withColumn("all", F.sum("n").over(piece)).filter("all > 1")
-    x = x.withColumn("i", F.row_number().over(same.orderBy("key", "pos"))).withColumn("alike", F.sum("n").over(same))
-    x = saved(x.select("piece", "key", "pos", "lo", "hi", F.col("alike").cast("int").alias("n"), "i", (F.col("alike") < F.col("all")).alias("differ")), "repeated")
-    parts = x.filter("n > 1").select("key", "lo", "hi")
-    parts = parts.unionByName(rows.filter("n = 0").select("key", "lo", "hi"))
-
-    one = x.filter("differ and i = 1").select("piece", "key", "pos", "lo", "hi", "n")
-    one = one.withColumn("size", F.count("*").over(piece))
-    one = one.withColumn("part", F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("key", "pos"), F.ceil(F.col("size") / GROUP))).otherwise(F.lit(-1)).cast("bigint"))
-    wanted = one.groupBy("key").agg(F.collect_list(F.struct("piece", "part", "pos", "lo", "hi", "n")).alias("at"))
-    cut = docs.join(wanted, "key").select("key", "text", "at")
+    x = docs.mapInArrow(_find_anchors, _ROW)
+    x = x.withColumn("all", F.sum("n").over(piece)).filter("all > 1 or n = 0")
+    x = x.withColumn("i", F.row_number().over(same.orderBy("key", "place"))).withColumn("alike", F.sum("n").over(same).cast("int"))
+    x = saved(x.select("piece", "key", "place", "sides", "n", "alike", "i", (F.col("alike") < F.col("all")).alias("differ")), "repeated")
+    pos = F.shiftright("place", 16)
+    at = {"pos": pos, "lo": pos - F.shiftright("place", 8).bitwiseAND(F.lit(255)), "hi": pos + F.col("place").bitwiseAND(F.lit(255))}
+    parts = x.filter("n > 0 and alike > 1").select("key", at["lo"].alias("lo"), at["hi"].alias("hi"))
+    parts = parts.unionByName(x.filter("n = 0").select("key", F.col("place").alias("lo"), F.col("sides").alias("hi")))
+
+    right, left = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    one = x.filter("n > 0 and differ and i = 1").select("piece", "key", F.col("alike").alias("n"), right.alias("right"), left.alias("left"), *[c.alias(k) for k, c in at.items()])
+    for side in ("right", "left"):
+        one = one.withColumn(f"n_{side}", F.when(F.col(side) != 0, F.count("*").over(Window.partitionBy("piece", side))).otherwise(0))
+    one = one.filter("n_right > 1 or n_left > 1").withColumn("size", F.count("*").over(piece))
+    # a member is sorted with its piece; where these are too many, its piece is split further
+    one = saved(one.select("piece", (F.col("size") > GROUP).alias("large"), "key", "pos", "lo", "hi", "n"), "members")
+    wanted = one.groupBy("key").agg(F.collect_list(F.struct("piece", "large", "pos", "lo", "hi", "n")).alias("at"))
+    cut = only(docs, one.select("key").distinct()).join(wanted, "key").select("key", "text", "at")
 
     def slices(batches):
-        names = ["piece", "part", "key", "pos", "lo", "hi", "n", "s"]
+        names = ["unit", "large", "key", "pos", "lo", "hi", "n", "s"]
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 x = whole.slice(first, 256)
@@ -307,15 +340,15 @@ def covered(docs: DataFrame) -> DataFrame:
                     s += [t[lo[j] : hi[j]] for j in range(k, k + n)]
                     k += n
                 key = pa.array(np.repeat(x.column(0).to_numpy(), size))
-                yield pa.RecordBatch.from_arrays([at.field("piece"), at.field("part"), key, *(at.field(c) for c in ("pos", "lo", "hi")), at.field("n"), pa.array(s, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([at.field("piece"), at.field("large"), key, *(at.field(c) for c in ("pos", "lo", "hi")), at.field("n"), pa.array(s, pa.binary())], names=names)
 
-    members = cut.mapInArrow(slices, "piece bigint, part bigint, key bigint, pos bigint, lo bigint, hi bigint, n int, s binary")
-    members = members.repartition("piece", "part").sortWithinPartitions("piece", "part")
-    settled = saved(members.mapInArrow(_settle_groups, "key bigint, lo bigint, hi bigint, string bigint, open boolean"), "settled")
-    parts = parts.unionByName(settled.filter("string = 0").select("key", "lo", "hi"))
-    place, string = F.struct("key", "lo"), Window.partitionBy("string")  # a string with two anchors comes twice from one place
-    strings = settled.filter("string <> 0").withColumn("first", F.min(place).over(string)).withColumn("last", F.max(place).over(string)).filter("open and first <> last")
-    return parts.unionByName(strings.select("key", "lo", "hi"))
+    members = cut.mapInArrow(slices, "unit bigint, large boolean, key bigint, pos bigint, lo bigint, hi bigint, n int, s binary")
+    parts = parts.unionByName(_settled(members.filter("not large")))
+    if not one.filter("large").isEmpty():
+        large = saved(members.filter("large").drop("large").withColumn("a", F.lit(0)).withColumn("b", F.lit(REACH)), "large")
+        for x in _split(large):
+            parts = parts.unionByName(x)
+    return parts
 
 
 def _spans(at: list) -> list[list[int]]:
@@ -337,8 +370,14 @@ def _removed(docs: DataFrame, with_bytes: bool) -> DataFrame:
     ship(docs.sparkSession)
     d = narrow(docs, "doc_id", "text")
     d = d.select("doc_id", row_key(F.col("text"), F.col("doc_id")).alias("key"), "text")
-    spans = covered(d.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-    both = d.join(spans, "key", "left").select("doc_id", "text", "at")
+    spans = saved(covered(d.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("at")), "spans")
+    keys = spans.select("key")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    if few:  # only texts with something to remove are shuffled
+        none = d.join(F.broadcast(keys), "key", "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["at"].dataType).alias("at"))
+        both = only(d, keys).join(spans, "key").select("doc_id", "text", "at").unionByName(none)
+    else:
+        both = d.join(spans, "key", "left").select("doc_id", "text", "at")
 
     def run(batches):
         for x in batches:

@@ -1,8 +1,7 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed order.
 
-Documents' tokens, each closed by an end token, make one stream, cut into sequences of LENGTH tokens (the last
-is filled up with end tokens). The stream's order is that of a hash of the documents, so it doesn't depend on
-files or partitions. A Feistel network over the sequences' numbers, with cycle walking to their count, is the
+Documents' tokens, each closed by an end token, make one stream, in the order in which the table is read, cut
+into sequences of LENGTH tokens (the last is filled up with end tokens). A Feistel network over the sequences' numbers, with cycle walking to their count, is the
 training order: it gives every sequence its global slot, and its inverse gives a slot's sequence, with no table.
 
 Slots are dealt to range partitions by shard; each partition writes its shards, SEQUENCES slots of equal stride
@@ -10,8 +9,8 @@ each, as little-endian unsigned 16-bit integers: slot s is at byte (s % SEQUENCE
 s // SEQUENCES. A shard is written under a name of its own attempt and renamed, so that a lost executor or a
 second attempt leaves a whole file; Shards reads on from any slot.
 
-Where a document begins in the stream needs no sort of all rows: documents are dealt to buckets by their hash,
-sorted there, and bucket totals (MAX_BUCKETS of them at most) are all that the driver sums.
+Where a document begins in the stream needs no sort and no shuffle of tokens: each task counts from its own
+beginning, its rows are written once, and the tasks' totals are all that the driver sums.
 
 Defined cases: a null or empty text is its end token. Repeated rows each have their tokens. Extra columns are
 not read. An empty table gives no sequences and no shards.
@@ -26,15 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import documents, narrow, row_key, saved, shared, ship
+from postmill.llm.common import documents, narrow, saved, shared, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
 LENGTH, SEQUENCES = 2048, 2048
-BUCKET_DOCS, MAX_BUCKETS = 8192, 65536
 KEY, ROUNDS = 20240611, 8
 
 
@@ -85,37 +84,25 @@ def _encoding(name: str):
 
 
 def stream(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
-    """(bucket, at, doc_id, ids): where each document's tokens begin in their bucket; and where each bucket begins."""
+    """(part, at, doc_id, ids): where each document's tokens begin in their task's; and where each task's begin."""
     ship(docs.sparkSession)
-    d = narrow(docs, "doc_id", "text")
-    count = d.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-count // BUCKET_DOCS)))
-    d = d.select("doc_id", row_key(F.col("text"), F.col("doc_id")).alias("key"), "text")
 
     def encode(batches):
-        enc = _encoding(vocabulary)
+        enc, part, at = _encoding(vocabulary), TaskContext.get().partitionId(), 0
         for x in batches:
-            ids = [np.append(enc.encode_to_numpy(t.as_py() or "") if t.as_py() else np.zeros(0, np.uint32), END).astype("<u2").tobytes() for t in x.column(2)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"])
-
-    rows = d.mapInArrow(encode, "doc_id bigint, key bigint, ids binary").withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
-
-    def place(batches):
-        bucket, at = -1, 0
-        for x in batches:
-            out = []
-            for b, n in zip(x.column(3).to_pylist(), pc_length(x.column(2)), strict=True):
-                if b != bucket:
-                    bucket, at = b, 0
-                out.append(at)
-                at += n // 2
-            yield pa.RecordBatch.from_arrays([x.column(3), pa.array(out, pa.int64()), x.column(0), x.column(2)], names=["bucket", "at", "doc_id", "ids"])
-
-    placed = saved(rows.mapInArrow(place, "bucket int, at bigint, doc_id bigint, ids binary"), "stream")
-    size = np.zeros(buckets + 1, np.int64)
-    for r in placed.groupBy("bucket").agg(F.max(F.col("at") + F.length("ids") / 2).cast("bigint").alias("n")).collect():
-        size[r.bucket + 1] = r.n
+            ids, first = [], []
+            for t in x.column(1):
+                text = t.as_py() or ""
+                ids.append(np.append(enc.encode_to_numpy(text) if text else np.zeros(0, np.uint32), END).astype("<u2").tobytes())
+                first.append(at)
+                at += len(ids[-1]) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(first, pa.int64()), x.column(0), pa.array(ids, pa.binary())], names=["part", "at", "doc_id", "ids"])
+
+    placed = saved(narrow(docs, "doc_id", "text").mapInArrow(encode, "part int, at bigint, doc_id bigint, ids binary"), "stream")
+    totals = placed.groupBy("part").agg(F.max(F.col("at") + F.length("ids") / 2).cast("bigint").alias("n")).collect()  # a row for each task
+    size = np.zeros(max((r.part for r in totals), default=-1) + 2, np.int64)
+    for r in totals:
+        size[r.part + 1] = r.n
     return placed, np.cumsum(size)
 
 

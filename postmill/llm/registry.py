@@ -24,4 +24,5 @@ QUERIES = {
     "op10_secret_scan": op10.query,
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL can express a whole query; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op3_minhash_dedup": op3.SQL, "op5_quality_rules": op5.SQL}
