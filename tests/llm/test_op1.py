@@ -67,6 +67,14 @@ def test_every_kind(spark, kind):
             assert re.sub(r"[A-Z0-9]", "x", new) == re.sub(r"[A-Z0-9]", "x", v)
 
 
+def test_neighbouring_values_are_told_apart(spark):
+    got = apply(spark, ["+1 (826) 555-4081 190.137.223.204 du", "+49 30 1234567 190.137.223.204", "190.137.223.204, 4111111111111111 a@b.org"])
+    assert (got[0].n_phone, got[0].n_ip, got[1].n_phone, got[1].n_ip) == (1, 1, 1, 1)
+    assert (got[2].n_ip, got[2].n_card, got[2].n_email) == (1, 1, 1)
+    assert not any(x in got[i].text for i in range(3) for x in ("555-4081", "1234567", "190.137.223.204", "4111111111111111", "a@b.org"))
+    assert len({re.search(r"(\d+\.){3}\d+", got[i].text)[0] for i in range(3)}) == 1
+
+
 def test_permutations_have_no_collisions(spark):
     days = spark.sql(f"select {op1.walked(op1.feistel_number('id', 271, 270, repr('date')), op1.feistel_number('w', 271, 270, repr('date')), 'w < 73049', 12)} as d from range(73049)")
     assert days.distinct().count() == 73049 and days.filter("d >= 73049").count() == 0
