@@ -6,12 +6,15 @@ follows the block (or its longest single document), never the partition.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+KEPT_POWERS = (1 << 20) + (1 << 17)
 U64 = np.uint64
 
 #: Words are runs of bytes other than these; UTF-8 never uses them inside a longer character.
@@ -27,15 +30,29 @@ _BASE_INV = U64(pow(int(_BASE), -1, 2**64))
 _pow = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+def _powers(n: int) -> dict[str, np.ndarray]:
+    out = {}
+    for name, base in (("up", _BASE), ("down", _BASE_INV)):
+        x = np.full(n, base, U64)
+        x[0] = 1
+        out[name] = np.cumprod(x, dtype=U64)
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; grown on demand and kept for the worker's life."""
-    if len(_pow["up"]) < n:
-        size = max(n, 2 * len(_pow["up"]))
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _pow[name] = np.cumprod(x, dtype=U64)
-    return _pow["up"], _pow["down"]
+    """base**i and base**-i modulo 2**64 for i < n; as many as a block needs are kept for the worker's life."""
+    now = _pow
+    if len(now["up"]) < n:
+        now = _powers(max(n, KEPT_POWERS))
+        if n <= KEPT_POWERS:
+            _pow.update(now)
+    return now["up"], now["down"]
+
+
+def trim() -> None:
+    """Give freed memory back: the C library keeps it, and a worker lives on for other tasks."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -167,6 +184,7 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Itera
         last = min(last, n)
         yield Block(data[off[first] : off[last]], (off[first : last + 1] - off[first]).astype(np.int64), first)
         first = last
+    trim()
 
 
 class HashTable:

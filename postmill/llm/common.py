@@ -17,7 +17,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch; whole texts make Spark's 10000 a large piece of memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,7 +57,7 @@ def drop(spark: SparkSession, path: str) -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and no executor's loss undoes it."""
     path = shared(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._postmill_path = path
     return out

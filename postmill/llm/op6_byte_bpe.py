@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from postmill.llm.blocks import trim
 from postmill.llm.common import documents, narrow, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -145,6 +146,8 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.memo.clear()
+        trim()
 
     return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
