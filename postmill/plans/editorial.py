@@ -61,14 +61,12 @@ def major_events(spark, sf_dir):
 
 
 @query("""
-select o_orderkey, case when o_orderdate >= timestamp '1997-03-10' and o_orderdate < timestamp '1997-03-11' then 'in_day' when o_orderdate >= timestamp '1997-03-09' and o_orderdate < timestamp '1997-03-12' then 'grace' else 'outside' end as window_class
-from orders where o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1997-03-20'""")
+select o_orderkey, case when o_orderdate >= timestamp '1997-03-10' and o_orderdate < timestamp '1997-03-11' then 'in_day' when o_orderdate >= timestamp '1997-03-09' and o_orderdate < timestamp '1997-03-12' then 'grace' else 'outside' end as window_class from orders""")
 def detail_window(spark, sf_dir):
     """Details of a business day, with some hours of grace on both sides."""
     d = F.col("o_orderdate")
     t = lambda s: F.lit(s).cast("timestamp_ntz")
-    x = table(spark, sf_dir, "orders").filter((d >= t("1997-03-01")) & (d < t("1997-03-20")))
-    return x.select("o_orderkey", ladder(((d >= t("1997-03-10")) & (d < t("1997-03-11")), "in_day"), ((d >= t("1997-03-09")) & (d < t("1997-03-12")), "grace"), otherwise="outside").alias("window_class"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ladder(((d >= t("1997-03-10")) & (d < t("1997-03-11")), "in_day"), ((d >= t("1997-03-09")) & (d < t("1997-03-12")), "grace"), otherwise="outside").alias("window_class"))
 
 
 @query("""
@@ -93,32 +91,32 @@ def slot_validation(spark, sf_dir):
 
 
 @query("""
-with b as (select l_orderkey, l_linenumber, l_partkey, (l_quantity + l_tax * 100 + l_discount * 100) / 3 as y from lineitem where l_orderkey % 20 = 0) select l_orderkey, count(*) as n_lines, count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_ui, count(*) - count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_clean from b group by 1""")
+with b as (select l_orderkey, l_linenumber, l_partkey, (l_quantity + l_tax * 100 + l_discount * 100) / 3 as y from lineitem) select l_orderkey, count(*) as n_lines, count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_ui, count(*) - count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_clean from b group by 1""")
 def ui_text_filter(spark, sf_dir):
     """Lines of a frame that stand where an app shows its own text."""
     y = F.round((F.col("l_quantity") + F.col("l_tax") * 100 + F.col("l_discount") * 100) / 3, 6)
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").withColumn("ui", (y < 4) | (y > 16))
+    b = table(spark, sf_dir, "lineitem").withColumn("ui", (y < 4) | (y > 16))
     return b.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.count_if("ui").alias("n_ui"), (F.count("*") - F.count_if("ui")).alias("n_clean"))
 
 
 @query("""
 with c as (select vec_id as card_id, vec_id % 300 as story_id, label from embeddings), r as (select *, row_number() over (partition by story_id order by card_id) as i from c)
-select card_id, story_id, case when d.doc_id is null then 'unknown_story' when i > 1 then 'duplicate' else 'accepted' end as outcome from r left join (select doc_id from documents where doc_id % 3 <> 0) d on d.doc_id = story_id""")
+select card_id, story_id, case when d.doc_id is null then 'unknown_story' when i > 1 then 'duplicate' else 'accepted' end as outcome from r left join (select doc_id from documents where lang = 'en') d on d.doc_id = story_id""")
 def cards_to_facts(spark, sf_dir):
     """Cards joined to their facts: a card of an unknown story, or a second one of a story, is rejected."""
     c = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("card_id"), (F.col("vec_id") % 300).alias("story_id"))
     c = c.withColumn("i", F.row_number().over(Window.partitionBy("story_id").orderBy("card_id")))
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("known"))
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("known"))
     x = c.join(d, F.col("story_id") == F.col("known"), "left")
     return x.select("card_id", "story_id", ladder((F.col("known").isNull(), "unknown_story"), (F.col("i") > 1, "duplicate"), otherwise="accepted").alias("outcome"))
 
 
 @query("""
-with l as (select distinct o_custkey as query_id, o_orderpriority as url from orders where o_orderkey % 4 = 0), a as (select c_custkey, c_mktsegment from customer)
+with l as (select distinct o_custkey as query_id, o_orderpriority as url from orders where o_orderstatus = 'F'), a as (select c_custkey, c_mktsegment from customer)
 select c_custkey, count(url) as n_leads, min(url) as first_url from a left join l on query_id = c_custkey group by 1""")
 def leads_join(spark, sf_dir):
     """Articles with their discovery leads, each query and URL once."""
-    l = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("url")).distinct()  # noqa: E741
+    l = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("url")).distinct()  # noqa: E741
     return table(spark, sf_dir, "customer").select("c_custkey").join(l, "c_custkey", "left").groupBy("c_custkey").agg(F.count("url").alias("n_leads"), F.min("url").alias("first_url"))
 
 
@@ -145,12 +143,12 @@ def story_relations(spark, sf_dir):
 
 
 @query("""
-with p as (select o_orderkey as pack_id, o_custkey as sha from orders where o_orderkey % 10 = 0), s as (select c_custkey as sha, 'by_sha' as how from customer where c_custkey % 3 = 0), i as (select distinct l_orderkey as pack_id, 'by_id' as how from lineitem where l_linenumber = 1)
+with p as (select o_orderkey as pack_id, o_custkey as sha from orders), s as (select c_custkey as sha, 'by_sha' as how from customer where c_mktsegment = 'HOUSEHOLD'), i as (select distinct l_orderkey as pack_id, 'by_id' as how from lineitem where l_linenumber = 1)
 select p.pack_id, coalesce(s.how, i.how, 'none') as how from p left join s on p.sha = s.sha left join i on p.pack_id = i.pack_id""")
 def ledger_match(spark, sf_dir):
     """A package's entry in a consumer's ledger: by content, else by id."""
-    p = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("pack_id"), F.col("o_custkey").alias("sha"))
-    s = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("sha"), F.lit("by_sha").alias("a"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pack_id"), F.col("o_custkey").alias("sha"))
+    s = table(spark, sf_dir, "customer").filter("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("sha"), F.lit("by_sha").alias("a"))
     i = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("pack_id")).distinct().withColumn("b", F.lit("by_id"))
     return p.join(s, "sha", "left").join(i, "pack_id", "left").select("pack_id", F.coalesce("a", "b", F.lit("none")).alias("how"))
 
@@ -214,7 +212,7 @@ def official_groups(spark, sf_dir):
 def candidate_merge(spark, sf_dir):
     """Candidates that share two named anchors with the first of a group."""
     anchors = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
-    k = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", anchors.alias("tokens")).filter(F.size("tokens").between(2, 60))
+    k = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", anchors.alias("tokens")).filter(F.size("tokens") >= 2)
     return folds.token_clusters(k, ["source"], [("doc_id", True)], "tokens", 2, 0.0, grow=False).select("doc_id", "source", "cluster")
 
 
@@ -256,11 +254,11 @@ def fallback_cards(spark, sf_dir):
 
 
 @query("""
-with r as (select l_orderkey, l_partkey, l_quantity, row_number() over (partition by l_orderkey order by l_quantity desc, l_partkey, l_linenumber) as i from lineitem where l_orderkey % 10 = 0)
+with r as (select l_orderkey, l_partkey, l_quantity, row_number() over (partition by l_orderkey order by l_quantity desc, l_partkey, l_linenumber) as i from lineitem)
 select l_orderkey as episode, array_to_string(list(p_brand || ':' || l_partkey order by i), ' ') as materials, cast(sum(l_quantity) as bigint) as seconds from r join part on p_partkey = l_partkey where i <= 4 group by 1""")
 def derive_materials(spark, sf_dir):
     """An episode's materials from its delivery, the four longest in order."""
-    r = top(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber"), ["l_orderkey"], 4, F.desc("l_quantity"), F.asc("l_partkey"), F.asc("l_linenumber"), keep_rank="i")
+    r = top(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber"), ["l_orderkey"], 4, F.desc("l_quantity"), F.asc("l_partkey"), F.asc("l_linenumber"), keep_rank="i")
     x = r.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
     m = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat_ws(":", "p_brand", "l_partkey").alias("m")))), lambda v: v["m"]), " ")
     return x.groupBy(F.col("l_orderkey").alias("episode")).agg(m.alias("materials"), F.sum("l_quantity").cast("bigint").alias("seconds"))

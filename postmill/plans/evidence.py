@@ -73,22 +73,22 @@ def motion_ratio(spark, sf_dir):
 
 
 @query("""
-select l_orderkey, array_to_string(list(l_partkey order by floor(l_quantity / 10), l_extendedprice, l_partkey), ',') as reading_order, round(avg(l_tax), 6) as confidence from lineitem where l_orderkey % 5 = 0 group by 1""")
+select l_orderkey, array_to_string(list(l_partkey order by floor(l_quantity / 10), l_extendedprice, l_partkey), ',') as reading_order, round(avg(l_tax), 6) as confidence from lineitem group by 1""")
 def ocr_reading_order(spark, sf_dir):
     """Text boxes of a frame, by line and then from left to right."""
     key = F.struct(F.floor(F.col("l_quantity") / 10).alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_partkey").alias("t"))
-    x = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("b"), F.round(F.avg("l_tax"), 6).alias("confidence"))
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("b"), F.round(F.avg("l_tax"), 6).alias("confidence"))
     return x.select("l_orderkey", F.array_join(F.transform("b", lambda z: z["t"].cast("string")), ",").alias("reading_order"), "confidence")
 
 
 @query("""
-with c as (select p_partkey as k, p_size as size, p_type as stamp, 'cached' as verdict from part where p_partkey % 3 = 0), f as (select p_partkey as k, case when p_partkey % 7 = 0 then p_size + 1 else p_size end as size, p_type as stamp from part)
+with c as (select p_partkey as k, p_size as size, p_type as stamp, 'cached' as verdict from part where p_type = 'ECONOMY'), f as (select p_partkey as k, case when p_brand = 'Brand#7' then p_size + 1 else p_size end as size, p_type as stamp from part)
 select f.k, coalesce(verdict, 'fresh') as verdict from f left join c on f.k = c.k and f.size = c.size and f.stamp = c.stamp""")
 def validation_cache_replay(spark, sf_dir):
     """A cached verdict counts if size and stamp are still the same."""
     p = table(spark, sf_dir, "part")
-    c = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_type").alias("stamp"), F.lit("cached").alias("verdict"))
-    f = p.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.col("p_type").alias("stamp"))
+    c = p.filter("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_type").alias("stamp"), F.lit("cached").alias("verdict"))
+    f = p.select(F.col("p_partkey").alias("k"), F.when(F.col("p_brand") == "Brand#7", F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.col("p_type").alias("stamp"))
     return f.join(c, ["k", "size", "stamp"], "left").select("k", F.coalesce("verdict", F.lit("fresh")).alias("verdict"))
 
 
@@ -121,11 +121,11 @@ def content_fallback_chain(spark, sf_dir):
 
 
 @query("""
-with f as (select conv_id, turn, regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}]', '', 'g') as print from conversations), r as (select conv_id, turn, print, row_number() over (partition by conv_id, print order by turn) as i from f where length(print) >= 12)
+with f as (select conv_id, turn, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as print from conversations), r as (select conv_id, turn, print, row_number() over (partition by conv_id, print order by turn) as i from f where length(print) >= 12)
 select conv_id, array_to_string(list(turn order by turn), ',') as kept_turns from r where i = 1 group by 1""")
 def evidence_fingerprint_dedup(spark, sf_dir):
     """Pieces of evidence whose fingerprint, of 12 letters and more, is new, in order."""
-    f = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(F.substring("text", 1, 40)), r"[^\p{L}\p{N}]", "").alias("print")).filter("length(print) >= 12")
+    f = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "").alias("print")).filter("length(print) >= 12")
     x = best(f, ["conv_id", "print"], F.asc("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
     return x.select("conv_id", F.array_join(F.transform("t", lambda v: v.cast("string")), ",").alias("kept_turns"))
 
@@ -212,12 +212,12 @@ def segment_timecode_checks(spark, sf_dir):
 
 
 @query("""
-with a as (select doc_id as path, n_chars as bytes from documents where doc_id % 10 <> 3), b as (select doc_id as path, case when doc_id % 10 = 4 then n_chars + 1 else n_chars end as bytes from documents where doc_id % 10 <> 5)
+with a as (select doc_id as path, n_chars as bytes from documents where source <> 'src3'), b as (select doc_id as path, case when source = 'src4' then n_chars + 1 else n_chars end as bytes from documents where source <> 'src5')
 select problem, count(*) as n from (select case when b.path is null then 'missing' when a.path is null then 'unlisted' when a.bytes <> b.bytes then 'size' end as problem from a full outer join b on a.path = b.path) where problem is not null group by 1""")
 def manifest_difference(spark, sf_dir):
     """A manifest and its files, compared in both directions."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("bytes"))
-    a, b = d.filter("path % 10 <> 3"), d.filter("path % 10 <> 5").select("path", F.when(F.col("path") % 10 == 4, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("found"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("bytes"), "source")
+    a, b = d.filter("source <> 'src3'"), d.filter("source <> 'src5'").select("path", F.when(F.col("source") == "src4", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("found"))
     x = a.join(b, "path", "full_outer")
     problem = first_reason((F.col("found").isNull(), "missing"), (F.col("bytes").isNull(), "unlisted"), (F.col("bytes") != F.col("found"), "size"))
     return x.select(problem.alias("problem")).filter("problem is not null").groupBy("problem").agg(F.count("*").alias("n"))
@@ -287,11 +287,11 @@ def account_lifecycle(spark, sf_dir):
 
 
 @query("""
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 3 = 0 then l_extendedprice / 1000 when l_quantity * 400 > 10000 then l_quantity * 400 / 1000 when l_quantity > 0 then l_quantity * 400 end as seconds from lineitem where l_orderkey % 50 = 0""")
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 3 = 0 then l_extendedprice / 1000 when l_quantity * 400 > 10000 then l_quantity * 400 / 1000 when l_quantity > 0 then l_quantity * 400 end as seconds from lineitem""")
 def duration_resolution(spark, sf_dir):
     """Durations from milliseconds, or from seconds of which large ones are milliseconds."""
     ms = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", duration_seconds(ms, F.col("l_quantity") * 400).alias("seconds"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", duration_seconds(ms, F.col("l_quantity") * 400).alias("seconds"))
 
 
 @query("""

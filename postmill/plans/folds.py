@@ -20,7 +20,7 @@ def _title():
 
 
 @query(f"""
-with recursive {ARTICLES_SQL}, k as (select doc_id, lang, source || ':' || (n_chars // 40) as mark_a, {_KEY} as mark_b, lang || (doc_id % 97) as mark_c, row_number() over (partition by lang order by n_chars desc, doc_id) as rn from articles where source in ('src1', 'src2', 'src3')),
+with recursive {ARTICLES_SQL}, k as (select doc_id, lang, source || ':' || (n_chars // 40) as mark_a, {_KEY} as mark_b, lang || (doc_id % 97) as mark_c, row_number() over (partition by lang order by n_chars desc, doc_id) as rn from articles),
 f as (select lang, rn, doc_id, true as accepted, [mark_a] as a, [mark_b] as b, [mark_c] as c from k where rn = 1
   union all select k.lang, k.rn, k.doc_id, not (list_contains(f.a, k.mark_a) or list_contains(f.b, k.mark_b) or list_contains(f.c, k.mark_c)),
     case when list_contains(f.a, k.mark_a) or list_contains(f.b, k.mark_b) or list_contains(f.c, k.mark_c) then f.a else list_append(f.a, k.mark_a) end,
@@ -30,7 +30,7 @@ f as (select lang, rn, doc_id, true as accepted, [mark_a] as a, [mark_b] as b, [
 select doc_id, lang, accepted from f""")
 def multi_key_dedup(spark, sf_dir):
     """A row goes if any of three keys was registered by an accepted row; dropped rows register nothing."""
-    k = articles(spark, sf_dir).filter(F.col("source").isin("src1", "src2", "src3")).select(
+    k = articles(spark, sf_dir).select(
         "doc_id", "lang", "n_chars", F.concat_ws(":", "source", F.floor(F.col("n_chars") / 40)).alias("mark_a"), title_key(F.col("title")).alias("mark_b"), F.concat("lang", F.col("doc_id") % 97).alias("mark_c")
     )
     x = folds.multi_key_dedup(k, ["lang"], [("n_chars", False), ("doc_id", True)], ["mark_a", "mark_b", "mark_c"], "doc_id")
@@ -111,7 +111,7 @@ def story_clusters(spark, sf_dir):
     """Stories by named anchors and text, which don't chain."""
     w = words(_title())
     k = articles(spark, sf_dir).select(
-        "doc_id", "source", F.substring(F.regexp_replace(F.lower(_title()), r"[^\p{L}\p{N}]", ""), 1, 300).alias("text"), F.array_distinct(F.filter(w, lambda x: x.rlike("[0-9]"))).alias("models"),
+        "doc_id", "source", F.substring(F.regexp_replace(F.lower(_title()), r"[^\p{L}\p{N}]", ""), 1, 1000).alias("text"), F.array_distinct(F.filter(w, lambda x: x.rlike("[0-9]"))).alias("models"),
         F.array_distinct(F.filter(w, lambda x: F.length(x) >= 14)).alias("subjects"), F.array().cast("array<string>").alias("entities"), F.array_distinct(numbers(_title())).alias("dates"), F.array_distinct(w).alias("tokens"),
     )
     return folds.story_clusters(k, ["source"], [("doc_id", True)]).select("doc_id", "source", "cluster")
@@ -120,7 +120,7 @@ def story_clusters(spark, sf_dir):
 @query()
 def card_merge(spark, sf_dir):
     """Texts of a conversation's turns to cards."""
-    k = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 160).alias("t"), F.array_distinct(numbers(F.col("text"))).alias("numbers"))
+    k = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"), F.array_distinct(numbers(F.col("text"))).alias("numbers"))
     return folds.merge_cards(k, ["conv_id"], [("turn", True)], "t", "numbers").select("conv_id", "turn", "card", "card_text")
 
 
