@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def pc_length(x: pa.Array) -> list[int]:
 
 
 def pieces(placed: DataFrame, begin: np.ndarray, order: Permutation, length: int) -> DataFrame:
-    """(slot, shard, at, doc_ids, ids): stretches of sequences, put together from neighbouring documents."""
+    """(slot, shard, at, doc_ids, ids): stretches of sequences, put together from neighbouring documents; ids compressed."""
 
     def run(batches):
         for x in batches:
@@ -132,9 +133,10 @@ def pieces(placed: DataFrame, begin: np.ndarray, order: Permutation, length: int
                     else:
                         rows.append((g // length, g % length, [doc_ids[i]], [part]))
                     g = stop
+            pack = zstandard.ZstdCompressor(level=6).compress  # Spark's own codec does little for token ids
             slot = order.slot(np.array([r[0] for r in rows], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // SEQUENCES), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([b"".join(r[3]) for r in rows], pa.binary())],
+                [pa.array(slot), pa.array(slot // SEQUENCES), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([pack(b"".join(r[3])) for r in rows], pa.binary())],
                 names=["slot", "shard", "at", "doc_ids", "ids"],
             )
 
@@ -167,6 +169,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = K
     def write(batches):
         fs, top = _open(folder)
         fs.create_dir(top, recursive=True)
+        unpack = zstandard.ZstdDecompressor().decompress
         shard, out, name, done, slot, parts, ids = -1, None, "", [], -1, [], []
 
         def end_slot():
@@ -200,7 +203,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = K
                         shard, name = k, f"{top}/.{file_name(k)}.{uuid.uuid4().hex}"
                         out = fs.open_output_stream(name)
                     slot, parts, ids = s, [], []
-                parts.append(body)
+                parts.append(unpack(body))
                 ids += d
             yield flush()
         if slot >= 0:
