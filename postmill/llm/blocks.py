@@ -73,9 +73,11 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span(S: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the span stands; mixed with its length."""
-    _, down = powers(len(S))
+def span(S: np.ndarray, start: np.ndarray, end: np.ndarray, down: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[start:end], the same wherever the span stands; mixed with its length. down: powers(len(S))[1],
+    if a caller has it."""
+    if down is None:
+        _, down = powers(len(S))
     return mix((S[end] - S[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

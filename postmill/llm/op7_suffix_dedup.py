@@ -16,8 +16,9 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
    classes for every x.
 4. A piece with more than GROUP such contexts is split by how far before the anchor a string begins: strings that
    begin a to b bytes before it share a bytes to the left and LENGTH - b to the right, so equal ones meet in one
-   half of the range or the other. Halves go on splitting while they hold too many; contexts that stand alone
-   drop out, and a range of one is a class of equal strings.
+   half of the range or the other. Contexts with equal bytes as far as a range's strings reach are repeated for
+   the whole range, and one of them goes on for the others; one that stands alone drops out; halves go on
+   splitting while they hold too many. A range of one is a class of equal strings.
 5. Covered stretches are merged a document at a time.
 
 Defined cases: a null or empty text, and one under 200 bytes, loses nothing. Repeated rows are copies of each
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, blocks, mix, prefix, repeated, span
+from postmill.llm.blocks import Block, blocks, mix, powers, prefix, repeated, span
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 LENGTH, PIECE = 200, 32
@@ -43,9 +44,9 @@ LEFT = LENGTH - RIGHT  # a string with less than RIGHT from its anchor on has mo
 #: Keys that a join may broadcast, counted first (8 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 #: Differing contexts of one piece that one task sorts at most.
-GROUP = 6000
+GROUP = 4000
 #: Anchors that a task holds before it counts and sends them, and members it sorts together.
-HELD, SORTED = 300_000, 4_000
+HELD, SORTED = 300_000, 3_000
 
 _KEY = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,12 +147,12 @@ class Suffixes:
     def __init__(self, data: np.ndarray, start: np.ndarray, room: np.ndarray, group: np.ndarray):
         """start: where each suffix begins in data; room: its length; group: sorted numbers."""
         self.data, self.start, self.room, self.group = data, start, room, group
-        self.S = prefix(_KEY[data])
+        self.S, self.down = prefix(_KEY[data]), powers(len(data) + 1)[1]
         self.order = self._merge_sort()
         self.common = self._verified()
 
     def _hash(self, i: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return span(self.S, self.start[i], self.start[i] + length)
+        return span(self.S, self.start[i], self.start[i] + length, self.down)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes i and j, by binary search."""
@@ -285,17 +286,23 @@ def _settled(members: DataFrame) -> DataFrame:
 def _split(members: DataFrame) -> list[DataFrame]:
     """Covered stretches of members (unit, a, b, ...) of units with too many, by halving their ranges a to b."""
     out = []
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    before, after = F.col("pos") - F.col("lo"), F.col("hi") - F.col("pos")
+    cut = lambda first, last: F.substring("s", (before - first + 1).cast("int"), first + LENGTH - last)  # noqa: E731  bytes that strings from first to last share
+    unit, same = Window.partitionBy("unit"), Window.partitionBy("unit", "same")
     while not members.isEmpty():
-        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
-        x = members.withColumn("r", F.explode(halves)).withColumn("a", F.col("r.a")).withColumn("b", F.col("r.b")).drop("r")
-        x = x.filter((F.col("pos") - F.col("lo") >= F.col("a")) & (F.col("hi") - F.col("pos") >= LENGTH - F.col("b")))
-        shared = F.substring("s", (F.col("pos") - F.col("lo") - F.col("a") + 1).cast("int"), F.col("a") + LENGTH - F.col("b"))
-        x = x.withColumn("unit", F.xxhash64("unit", "a", "b", shared)).withColumn("size", F.count("*").over(Window.partitionBy("unit"))).filter("size > 1")
+        x = members.withColumn("b", middle).unionByName(members.withColumn("a", middle + 1))
+        x = x.filter((before >= F.col("a")) & (after >= LENGTH - F.col("b")))
+        x = x.withColumn("unit", F.xxhash64("unit", "a", "b", cut(F.col("a"), F.col("b"))))
+        wide = (before >= F.col("b")) & (after >= LENGTH - F.col("a"))
+        x = x.withColumn("same", F.when(wide, F.xxhash64(cut(F.col("b"), F.col("a")), F.lit("whole"))).otherwise(F.xxhash64("key", "pos", F.lit("own"))))
+        x = x.withColumn("i", F.row_number().over(same.orderBy("key", "pos"))).withColumn("alike", F.sum("n").over(same).cast("int"))
+        x = x.withColumn("classes", F.count(F.when(F.col("i") == 1, 1)).over(unit)).filter("classes > 1 or alike > 1")
         x = saved(x, "halves")
-        out.append(x.filter(f"size > {GROUP} and a = b").select("key", (F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") - F.col("a") + LENGTH).alias("hi")))
-        out.append(_settled(x.filter(f"size <= {GROUP}")))
-        members = x.filter(f"size > {GROUP} and a < b").drop("size")
+        out.append(x.filter(wide & (F.col("alike") > 1)).select("key", (F.col("pos") - F.col("b")).alias("lo"), (F.col("pos") - F.col("a") + LENGTH).alias("hi")))
+        one = x.filter("i = 1 and classes > 1").withColumn("n", F.lit(1)).drop("same", "i", "alike")  # for this range only
+        out.append(_settled(one.filter(f"classes <= {GROUP}")))
+        members = one.filter(f"classes > {GROUP}").drop("classes")
     return out
 
 
