@@ -69,3 +69,26 @@ def read_all(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame | None
         except Exception as e:  # noqa: BLE001  the source's failure is a row of the result
             errors.append({"source": s["name"], "error": type(e).__name__})
     return out, errors
+
+
+def image_candidates(spark: SparkSession, paths: list[str], most: int = 8) -> DataFrame:
+    """(link, url, kind, place): pictures of feed entries: media tags, then enclosures of an image type, then pictures in
+    the entry's HTML; each URL once an entry, at most `most`."""
+    t = spark.read.text(paths, wholetext=True)
+    blocks = t.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?is)<(?:\w+:)?(?:item|entry)(?: [^>]*)?>.*?</(?:\w+:)?(?:item|entry)>"), F.lit(0))).alias("block"))
+    b = F.col("block")
+    plain = F.replace(F.replace(F.replace(b, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"'))
+    found = {
+        "media": F.regexp_extract_all(b, F.lit(r'(?i)<media:(?:content|thumbnail) [^>]*url="([^"]+)"'), F.lit(1)),
+        "enclosure": F.regexp_extract_all(b, F.lit(r'(?i)<enclosure (?=[^>]*type="image/)[^>]*url="([^"]+)"'), F.lit(1)),
+        "embedded": F.regexp_extract_all(plain, F.lit(r'(?i)<img [^>]*src="([^"]+)"'), F.lit(1)),
+    }
+
+    def tagged(rank, kind, urls):
+        return F.transform(urls, lambda u, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.lit(kind).alias("kind"), u.alias("url")))
+
+    x = blocks.select(_link(b).alias("link"), F.explode(F.flatten(F.array(*[tagged(r, k, v) for r, (k, v) in enumerate(found.items())]))).alias("c")).select("link", "c.*")
+    x = x.filter("link is not null").groupBy("link", "url").agg(F.min(F.struct("rank", "i", "kind")).alias("c")).select("link", "url", "c.rank", "c.i", "c.kind")
+    from postmill.operators.select import top
+
+    return top(x, ["link"], most, F.asc("rank"), F.asc("i"), keep_rank="place").select("link", "url", "kind", "place")

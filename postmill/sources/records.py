@@ -116,3 +116,9 @@ def with_hints(posts: DataFrame, hints: DataFrame) -> DataFrame:
     h = F.broadcast(hints.limit(10_000).select(F.col("account_id").alias("_id"), F.col("account_name").alias("_name")))  # an account list of the configuration
     x = posts.join(h, (F.col("source") == "creator") & F.contains(F.lower("raw_file"), F.lower("_id")), "left")
     return x.withColumn("account_id", F.coalesce("_id", "account_id")).withColumn("account_name", F.coalesce("_name", "account_name")).drop("_id", "_name")
+
+
+def newest(spark: SparkSession, folder: str, pattern: str = "*", most: int = 20) -> list[str]:
+    """Paths of the newest files of a folder; only their metadata is read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
+    return [r.path for r in f.orderBy(F.desc("modificationTime"), F.desc("path")).limit(most).collect()]
