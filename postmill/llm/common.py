@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -60,9 +61,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._postmill_path = path
+    if not _written:
+        atexit.register(_clean)
+    _written.append((df.sparkSession, path))
     return out
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    """At the driver's end: what saved() wrote is of no more use. A context that was stopped before keeps its files."""
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:
+            drop(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished jobs now: it does so once the plans that named them are
     collected, which a driver with little garbage puts off for long."""
