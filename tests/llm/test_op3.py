@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 
@@ -83,3 +84,29 @@ def test_stage_keeps_one_of_each_group_even_of_repeated_ids(spark):
 def test_posterior_bound_keeps_similar_pairs():
     least = op3.least_matches()
     assert len(least) == op3.HASHES // op3.BATCH and (least < 0.86 * op3.BATCH * (1 + __import__("numpy").arange(len(least)))).all()
+
+
+def at_percent(percent, rows):
+    """brute() with another threshold: kept ids."""
+    source = inspect.getsource(brute)
+    assert ">= 85 *" in source
+    names = dict(globals())
+    exec(source.replace(">= 85 *", f">= {percent} *"), names)
+    return names["brute"](rows)
+
+
+def test_another_similarity(spark):
+    rows = corpus()
+    assert at_percent(80, rows) != brute(rows)
+    got = op3.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 80).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == at_percent(80, rows)
+    for percent in (80, 85, 90):
+        assert (1 - (percent / 100) ** op3.ROWS) ** op3.band_count(percent) < 1e-6
+
+
+def test_stage_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = "a b c d e f g", "other words stand here for now", "these words have no id at all", "one more text that stands alone"
+    rows = [(0, a), (1, a), (1, b), (1, c + " x"), (2, b), (None, c), (None, c), (None, a), (None, None), (3, d), (3, "")]
+    for order in (rows, rows[::-1]):
+        got = op3.stage(spark, spark.createDataFrame(order, "doc_id bigint, text string"), "").collect()
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in got) == sorted([(0, a), (1, b), (1, c + " x"), (-1, c), (-1, ""), (3, d), (3, "")])
