@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and strings that a BPE vocabulary can only spell in very short pieces.
 
 Base kinds (fixed values of the contract): assign, access, hex. The method's kind, `token`, takes maximal
-runs of [A-Za-z0-9+/_=-] of MIN_RUN characters and more that mix digits with letters (or change case often),
-leaves out known digests (hex of a standard length), UUIDs and what overlaps a base span, and reports those
+runs of [A-Za-z0-9+/_=-], less the base spans in them, of MIN_RUN characters and more that mix digits with letters
+(or change case often), leaves out known digests (hex of a standard length) and UUIDs, and reports those
 with at most MAX_RATIO characters per token of a tiktoken vocabulary: trained merges cover words, not
-random strings.
+random strings. What is above that ratio is judged again in its parts between / and =, and those between _ and -,
+each of MIN_RUN and more, so words joined to a secret do not hide it. A hex span inside a longer random word is
+reported with that whole word. Not found: a secret that its own separators cut into parts under MIN_RUN, behind words.
 
 Work is on UTF-8 bytes, a block of documents at a time; spans are in code points.
 
@@ -36,6 +38,8 @@ MIN_HEX, MIN_ACCESS, MIN_VALUE = 24, 20, 6
 #: The method's own.
 MIN_RUN, MAX_RATIO = 20, 2.0
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
+#: Parts of a run, from coarse to fine.
+PARTS = (re.compile(rb"[^/=]+"), re.compile(rb"[^/=_-]+"))
 UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 
@@ -88,6 +92,34 @@ def _random(s: bytes, vocabulary: str) -> bool:
     return len(s) <= MAX_RATIO * len(_encoding(vocabulary).encode_ordinary(s.decode()))
 
 
+def _hidden(data: bytes, s: int, e: int, base: list[tuple[int, int, int]], vocabulary: str) -> list[tuple[int, int]]:
+    """Start and end of the random strings in a run: its words around hex spans, its parts outside base spans, and their parts."""
+    out: list[tuple[int, int]] = []
+    cuts = [(x, y) for x, k, y in base]
+    for x, k, y in base:
+        if k == 2:
+            for m in PARTS[1].finditer(data, s, e):
+                a, b = m.span()
+                alone = all(q == 2 or not (v < b and a < w) for v, q, w in base)
+                if a <= x and y <= b and y - x < b - a and alone and (a, b) not in out and _random(m[0], vocabulary):
+                    out.append((a, b))
+    open_parts, at = [], s
+    for x, y in sorted(cuts + out):
+        open_parts.append((at, x))
+        at = max(at, y)
+    open_parts.append((at, e))
+    for k in range(len(PARTS) + 1):
+        held = []
+        for a, b in open_parts:
+            if b - a >= MIN_RUN:
+                if _random(data[a:b], vocabulary):
+                    out.append((a, b))
+                elif k < len(PARTS):
+                    held += [m.span() for m in PARTS[k].finditer(data, a, b)]
+        open_parts = held
+    return out
+
+
 def find(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end), sorted; kind: an index in KINDS."""
     out: list[list[tuple[int, int, int]]] = []
@@ -108,8 +140,9 @@ def find(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[list[tuple[int,
                 if m.end() - m.start() >= MIN_ACCESS:
                     found.setdefault(d, []).append((m.start(), 1, m.end()))
         for d, s, e in zip(*(x.tolist() for x in _runs(b, RUN_CHARS, MIN_RUN)), strict=True):
-            if not any(x < e and s < y for x, _, y in found.get(d, ())) and _random(whole[s:e], vocabulary):
-                found.setdefault(d, []).append((s, 3, e))
+            base = [(x, k, y) for x, k, y in found.get(d, ()) if k < 3 and x < e and s < y]
+            for x, y in _hidden(whole, s, e, base, vocabulary):
+                found.setdefault(d, []).append((x, 3, y))
         out += [[] for _ in range(b.n)]
         for d, spans in found.items():
             text = whole[off[d] : off[d + 1]]

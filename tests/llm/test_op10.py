@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from postmill.llm import op10_secret_scan as op10
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,6 +50,28 @@ def test_random_strings_are_found_and_words_and_digests_are_not(spark):
     assert not any(got[100 + i] for i in range(len(fine))) and not got[200]
 
 
+def test_words_joined_to_a_random_string_do_not_hide_it(spark):
+    r = random.Random(7)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ahead = ["/api/downloads/private/customer-documents/", "/the/international/government/development/information/of/all/customers/", "customer_documents_of_the_international_government_"]
+    hidden = ["".join(r.choice(alnum) for _ in range(32)) for _ in range(60)]
+    texts = [f"né {ahead[i % 3]}{s} et" for i, s in enumerate(hidden)]
+    got = {x.doc_id: x.spans for x in run(spark, [(i, t, "") for i, t in enumerate(texts)]).collect()}
+    for i, t in enumerate(texts):
+        spans = [tuple(map(int, p.split(":")[1:])) for p in got[i].split(",") if p]
+        assert any(s <= t.index(hidden[i]) and e >= t.index(hidden[i]) + 32 for s, e in spans), (t, got[i])
+
+
+def test_a_key_around_a_hex_span_is_found_whole(spark):
+    key = "Zk9QxW3vTy" + "0123456789abcdef01234567" + "Pq7LmR2sGh"
+    apart = "Zk9QxW3vTy7LmR2sGhB8nC4j-" + "0123456789abcdef01234567"
+    rows = [(0, f"a {key} b", ""), (1, f"a {apart} b", ""), (2, "a customer-" + "0123456789abcdef01234567 b", "")]
+    got = {x.doc_id: x for x in run(spark, rows).collect()}
+    assert "[SECRET]" in (t := op10.redact(rows[0][1], op10.find(pa.array([rows[0][1]]))[0])) and t == "a [SECRET] b"
+    assert "Zk9Q" not in op10.redact(rows[1][1], op10.find(pa.array([rows[1][1]]))[0])
+    assert got[0].n_hex == got[1].n_hex == got[2].n_hex == 1 and got[2].n_token == 0
+
+
 def test_stage_redacts(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh z", "en", "s", 18), (2, None, "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in op10.stage(spark, df, "").collect()}
