@@ -6,7 +6,7 @@ Q[u] . (C1 R[u1] + C2 R[u2]) + b[u]; a word of a class then has its smoothed sha
 count, with one share for unknown words. Probabilities are normalised exactly: batched matrix products over
 all pairs of context units give a table of log partition sums, so a token costs a dot product and a look-up.
 
-Training: training documents of a fixed share (one in TRAIN_SHARE, so that it grows with the corpus) are dealt to shards
+Training: all training documents are dealt to shards
 of about SHARD_DOCS documents; every shard trains in numpy from the same start by noise-contrastive
 estimation, with noise words drawn from the unit frequencies and shared by a minibatch, and the shards'
 parameters are averaged by a grouped aggregation.
@@ -34,8 +34,8 @@ SAMPLE_DOCS, FREQUENT = 20_000, 120_000
 TOP, CLASSES = 960, 63
 UNITS = 1 + TOP + CLASSES
 WIDTH = 32
-#: One training document in so many trains the network; shards of about so many of them.
-TRAIN_SHARE, SHARD_DOCS = 2, 4096
+#: Training documents of a shard, about.
+SHARD_DOCS = 4096
 BATCH, NOISE, RATE = 1024, 128, 0.15
 
 
@@ -220,7 +220,7 @@ def train(docs: DataFrame, lex: Lexicon, unit_share: np.ndarray) -> dict[str, np
     start = start_model(unit_share)
     parts = list(start)
     first = np.cumsum([0] + [len(start[k]) for k in parts])
-    picked = docs.filter("train").filter(F.pmod(F.xxhash64("key", F.lit("net")), F.lit(TRAIN_SHARE)) == 0).select("key", "text")
+    picked = docs.filter("train").select("key", "text")
     shards = max(1, -(-picked.count() // SHARD_DOCS))
 
     def units(batches):

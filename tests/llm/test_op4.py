@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from postmill.llm import op4_lm_scoring as op4
 from postmill.llm.common import documents
@@ -73,3 +74,16 @@ def test_empty_and_untrained(spark):
     held = next(d for d in range(100) if not is_train(d))
     (r,) = op4.score(spark.createDataFrame([(held, "a b", "")], SCHEMA)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.base_score) < 1e-9
+
+
+def test_every_training_document_trains_the_network(spark):
+    docs = op4._with_keys(spark.createDataFrame([(i, "one two three two one four") for i in range(40)], "doc_id bigint, text string"))
+    n = sum(is_train(i) for i in range(40))
+    lex = op4.Lexicon(op4.frequent_words(docs))
+    share = np.full(op4.UNITS, 1 / op4.UNITS)
+    b = next(iter(op4.blocks(pa.array(["one two three two one four"]))))
+    u = np.append(lex.find(b, b.words(lower=True))[1], 0)
+    before = np.concatenate([[0, 0], u[:-1]])
+    want = op4.train_shard(op4.start_model(share), share, *(np.tile(z, n) for z in (u, before[1:], before[:-1])))
+    got = op4.train(docs, lex, share)
+    assert all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
