@@ -75,7 +75,7 @@ class Lexicon:
 
     def __init__(self, hashes: np.ndarray):
         self.table = HashTable(hashes)
-        self.size = len(self.table.kept)
+        self.size = len(hashes)
 
     def find(self, b, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: its index among the frequent ones or -1, its unit, its class."""
@@ -114,7 +114,7 @@ def counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
                     kind = (1 + cls[order[start]]) * np.where(train[d], 1, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(keys[d]), pa.array(n)], names=names)
         at = np.flatnonzero(own)
-        h = np.append(lex.table.hashes[1:][at].view(np.int64), 0)
+        h = np.append(lex.table.hashes[at].view(np.int64), 0)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.zeros(len(h), np.int32)), pa.array(np.append(at * 64 + of[at], -1)), pa.array(np.append(own[at], ends))], names=names)
 
     seen = docs.select("key", "train", "text").mapInArrow(run, "h bigint, kind int, k bigint, n bigint")

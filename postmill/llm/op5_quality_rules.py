@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Words, blocks, per_doc_keys, repeated, span
+from postmill.llm.blocks import Words, blocks, hashes, per_doc_keys, repeated
 from postmill.llm.common import documents, narrow, ship
 
 SYMBOLS = np.zeros(256, bool)
@@ -36,8 +36,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """The measurements of each whole text, an array a field."""
     out = {k: [] for k in FIELDS}
     for b in blocks(texts):
-        S = b.hashed()
-        w = Words(b, S=S)
+        w = Words(b)
         first_byte = (b.data & 0xC0) != 0x80
         # lines with a word; a line ends before its \n or with its document
         cuts = np.flatnonzero(b.data == 10)
@@ -50,7 +49,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         keep = solid[end] > solid[start]
         start, end, doc = start[keep], end[keep], doc[keep]
         lines = np.bincount(doc, minlength=b.n)
-        _, at = np.unique(per_doc_keys(span(S, start, end), doc), return_index=True)
+        _, at = np.unique(per_doc_keys(hashes(b.data, start, end), doc), return_index=True)
         out["n_dup_lines"].append(lines - np.bincount(doc[at], minlength=b.n))
         out["n_lines"].append(lines)
         at, h = w.windows(WINDOW)

@@ -5,7 +5,7 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
 1. Anchors. Of every 200-byte string the 32-byte piece with the smallest hash is an anchor, so equal strings
    have equal anchors at equal places, about one anchor in 85 bytes. An anchor's context is the at most 168
    bytes before it and 200 from it on, within its document: all 200-byte strings around it.
-2. Anchors of one piece whose contexts are equal (two independent 64-bit hashes) are repeated as a whole.
+2. Anchors of one piece whose contexts are equal (of two independent hashes, a polynomial modulo 2**61 - 1 and the piece's) are repeated as a whole.
    Equal contexts of one task are counted there and one of them goes on.
 3. Two anchors that share a 200-byte string share RIGHT bytes from the piece on or LEFT bytes before it. Contexts
    that share neither with another of their piece are done. The others get their bytes, and a suffix sort: contexts to the right of the anchor, and
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, blocks, mix, powers, prefix, repeated, span
+from postmill.llm.blocks import Block, blocks, eights, joined, mix, polynomial, powers, prefix, repeated, span
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 LENGTH, PIECE = 200, 32
@@ -48,9 +48,6 @@ GROUP = 4000
 #: Anchors that a task holds before it counts and sends them, and members it sorts together.
 HELD, SORTED = 300_000, 3_000
 
-_KEY = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEY2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def _slide(v: np.ndarray, size: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) over every `size` neighbours, by doubling."""
@@ -66,9 +63,9 @@ def anchors(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(b.data)
     if n < LENGTH:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    S = prefix(_KEY[b.data])
-    at = np.arange(n - PIECE + 1)
-    h = span(S, at, at + PIECE) | np.uint64(1)
+    h = mix(eights(b.data)[: n - 7])
+    h = joined(h[:-8], h[8:])
+    h = joined(h[:-16], h[16:]) | np.uint64(1)
     low = _slide(h, REACH + 1, np.minimum)  # of each string
     doc = np.repeat(np.arange(b.n), np.diff(b.off))
     low[b.off[doc[: len(low)] + 1] - np.arange(len(low)) < LENGTH] = 0  # no string across documents
@@ -127,7 +124,7 @@ def _find_anchors(batches):
                 continue
             start = b.off[doc]
             lo, hi = np.maximum(start, pos - REACH), np.minimum(b.off[doc + 1], pos + LENGTH)
-            S = prefix(_KEY2[b.data])
+            S = prefix(b.data)
             context = mix(span(S, lo, hi) ^ (pos - lo).astype(np.uint64))
             half = np.uint64(32)
             right = np.where(hi - pos >= RIGHT, span(S, pos, np.minimum(pos + RIGHT, hi)) >> half | np.uint64(1), np.uint64(0))
@@ -147,12 +144,12 @@ class Suffixes:
     def __init__(self, data: np.ndarray, start: np.ndarray, room: np.ndarray, group: np.ndarray):
         """start: where each suffix begins in data; room: its length; group: sorted numbers."""
         self.data, self.start, self.room, self.group = data, start, room, group
-        self.S, self.down = prefix(_KEY[data]), powers(len(data) + 1)[1]
+        self.S, self.down = prefix(data), powers(len(data) + 1)[1]
         self.order = self._merge_sort()
         self.common = self._verified()
 
     def _hash(self, i: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return span(self.S, self.start[i], self.start[i] + length, self.down)
+        return polynomial(self.S, self.start[i], self.start[i] + length, self.down)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes i and j, by binary search."""

@@ -1,34 +1,42 @@
 """Benchmark decontamination: every passage of the documents queries a BM25 index of benchmark items.
 
-Words are runs of letters and digits, lower-cased (bytes past ASCII count as letters). An item's term weights
-are its BM25 weights divided by their sum, so a passage with all of an item's words scores 1 against it.
-Passages are PASSAGE words long and begin every PASSAGE / 2.
+Words are runs of letters and digits, lower-cased (bytes past ASCII count as letters; a character from U+3000 on is a
+word of its own). An item of more than PART words is indexed as overlapping parts of PART words, so that each fits
+into one passage; shorter items are one part. A part's term weights are its BM25 weights divided by their sum, so a
+passage with all of a part's words scores 1 against it. Passages are PASSAGE words long and begin every PASSAGE / 2.
 
-Retrieval is block-max WAND over numpy arrays of many passages at once. The terms in most blocks of items whose
+Retrieval is block-max WAND over numpy arrays of many passages at once. The terms in most blocks of parts whose
 greatest weights sum to at most LIGHT together cannot make a candidate: their lists stay closed and count by
-that bound. The other terms' block maxima (ITEM_BLOCK items a block) are summed for every half passage, and
+that bound. The other terms' block maxima (ITEM_BLOCK parts a block) are summed for every half passage, and
 a passage's block is opened only if both halves' sums and the bound reach THRESHOLD. What is left is scored
 exactly with all terms, and everything at or above the threshold is retrieved.
 
-A retrieved item is verified on its surroundings in the document (the passage and half a passage on each
-side): idf-weighted overlap of the question (its first two thirds) and of the answer (the rest), and a
-common run of RUN words.
+A retrieved item is verified where it would stand in the document as a whole (the passage, half a passage on each
+side, and what its other parts take up, with a quarter more): idf-weighted overlap of the question (its first two
+thirds) and of the answer (the rest), and a common run of RUN words. Items of fewer words are verified by their whole
+sequence of words; one of a single word has no answer to verify.
 
-Items are held by tasks SHARD at a time (a fixed bound on what is broadcast); more items mean more passes.
+Items are dealt to shards of about SHARD parts. A task builds each shard's index; one shard at a time goes to all
+tasks (SHARD bounds what is broadcast), and more items mean more passes.
 
-Defined cases: null and empty documents match nothing; items of fewer than RUN words are left out, as no run
-of theirs can be verified. Equal items match alike. Repeated rows each get their rows. Extra columns are not
-read; an empty table on either side gives no rows.
+Defined cases: null and empty documents match nothing, items without words are left out. Equal items match alike, each
+under its id (null too); equal scores are all retrieved. A row without doc_id has rows without one. Repeated rows each
+get their rows. Extra columns are not read; an empty table on either side gives no rows. A text takes about 60 bytes of
+memory for each of its own while its task works on it.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, Words, blocks, distinct, prefix, span
+from postmill.llm.blocks import Block, Words, blocks, distinct, grams
 from postmill.llm.common import documents, narrow, saved, ship
 
 PASSAGE, ITEM_BLOCK, RUN = 128, 4, 5
@@ -36,7 +44,7 @@ LIGHT, CELLS = 0.1, 4_000_000
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.6
 SHARD = 20_000
-STEP = PASSAGE // 2
+STEP = PART = PASSAGE // 2
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
@@ -52,25 +60,33 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def item_words(texts: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for b in blocks(texts):
-        w = Words(b, lower=True, space=NOT_WORD)
+        w = Words(b, lower=True, space=NOT_WORD, alone=True)
         out += [w.h[i:j] for i, j in zip(w.off[:-1], w.off[1:], strict=True)]
     return out
 
 
+def part_starts(n: int) -> list[int]:
+    """Where the parts of an item of n words begin."""
+    return [0] if n <= PART else [*range(0, n - PART, PART // 2), n - PART]
+
+
 class Index:
-    """Items in blocks of ITEM_BLOCK; postings by term and item with block maxima."""
+    """Items' parts in blocks of ITEM_BLOCK; postings by term and part with block maxima."""
 
-    def __init__(self, ids: list[int], texts: list[str], whole: tuple[int, float, dict[int, int]] | None = None):
-        """whole: if these are a shard, the number of all items, their mean length, and how many have each term."""
+    def __init__(self, ids: list, texts: list[str], whole: tuple[int, float, dict[int, int]] | None = None):
+        """whole: if these are a shard, the number of all parts, their mean length, and how many have each term."""
         words = item_words(pa.array(texts, pa.string()))
-        long = [i for i, w in enumerate(words) if len(w) >= RUN]
+        long = [i for i, w in enumerate(words) if len(w)]
         self.ids, self.words = [ids[i] for i in long], [words[i] for i in long]
-        n = len(long)
-        self.terms, tid = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]), return_inverse=True)
-        size = np.array([len(w) for w in self.words], np.int64)
+        parts = [(i, at) for i, w in enumerate(self.words) for at in part_starts(len(w))]
+        self.part_item, self.part_at = (np.array(x, np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+        self.n = n = len(parts)
+        pieces = [self.words[i][at : at + PART] for i, at in parts]
+        self.terms, tid = np.unique(np.concatenate([*pieces, np.zeros(0, np.uint64)]), return_inverse=True)
+        size = np.array([len(w) for w in pieces], np.int64)
         item = np.repeat(np.arange(n), size)
         key, tf = np.unique(tid * max(n, 1) + item, return_counts=True)
-        term, item = key // max(n, 1), key % max(n, 1)  # sorted by term, then item
+        term, item = key // max(n, 1), key % max(n, 1)  # sorted by term, then part
         df = np.bincount(term, minlength=len(self.terms))
         count, mean = (n, max(size.mean(), 1) if n else 1)
         if whole:
@@ -94,7 +110,7 @@ class Index:
         self.light[wide] = True
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.terms >> np.uint64(44)).astype(np.int64)] = True
-        self.runs = [set(span(prefix(w), np.arange(len(w) - RUN + 1), np.arange(RUN, len(w) + 1)).tolist()) for w in self.words]
+        self.runs = [distinct(grams(w, min(RUN, len(w)))) for w in self.words]
 
     def term_ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words are terms, and their numbers."""
@@ -107,7 +123,7 @@ class Index:
 
     def retrieve(self, half: np.ndarray, term: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """half, term: distinct pairs, sorted. second[h]: the other half of the passage that begins with h, h itself
-        for one that has no other, -1 for none. All (passage's first half, item, score) at or above THRESHOLD."""
+        for one that has no other, -1 for none. All (passage's first half, part, score) at or above THRESHOLD."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         step = max(1, CELLS // self.n_blocks)
         for h in range(0, len(second), step):  # some halves at a time, and the one after them
@@ -142,10 +158,10 @@ class Index:
         ok = self.block_key[k] == want
         k, x = k[ok], x[ok]
         q, j = _ranges(self.first[k], self.first[k + 1])
-        key, place = np.unique(a[x[j]] * len(self.ids) + self.item[q], return_inverse=True)
+        key, place = np.unique(a[x[j]] * self.n + self.item[q], return_inverse=True)
         score = np.bincount(place, weights=self.weight[q])
         ok = score >= low
-        return key[ok] // len(self.ids), key[ok] % len(self.ids), score[ok]
+        return key[ok] // self.n, key[ok] % self.n, score[ok]
 
     def overlaps(self, item: int, around: np.ndarray) -> tuple[float, float, bool]:
         """idf-weighted overlap of the question and of the answer with the words around, and a common run."""
@@ -153,15 +169,14 @@ class Index:
         cut = -(-2 * len(w) // 3)
         there = np.isin(w, around)
         idf = self.idf[np.searchsorted(self.terms, w)]
-        share = lambda c: float((idf[c] * there[c]).sum() / idf[c].sum())
-        n = len(around) - RUN + 1
-        run = n > 0 and not self.runs[item].isdisjoint(span(prefix(around), np.arange(n), np.arange(RUN, n + RUN)).tolist())
+        share = lambda c: float((idf[c] * there[c]).sum() / idf[c].sum()) if len(idf[c]) else 1.0
+        run = bool(np.isin(grams(around, min(RUN, len(w))), self.runs[item]).any())
         return share(slice(0, cut)), share(slice(cut, None)), run
 
 
 def search(index: Index, b: Block) -> list[tuple[int, int, float, float, float]]:
     """(document, item, score, question overlap, answer overlap) of verified items, each once a document."""
-    w = Words(b, lower=True, space=NOT_WORD)
+    w = Words(b, lower=True, space=NOT_WORD, alone=True)
     at, term = index.term_ids(w.h)
     if not len(at):
         return []
@@ -173,46 +188,82 @@ def search(index: Index, b: Block) -> list[tuple[int, int, float, float, float]]
     last = (base + halves - 1)[halves > 0]
     second[last] = np.where(halves[halves > 0] == 1, last, -1)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for q, item, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.terms), key % len(index.terms), second)), strict=True):
-        d = int(np.searchsorted(base, q, "right")) - 1
-        start = int(w.off[d]) + (q - int(base[d])) * STEP
-        around = w.h[max(int(w.off[d]), start - STEP) : min(int(w.off[d + 1]), start + PASSAGE + STEP)]
-        question, answer, run = index.overlaps(item, around)
+    seen: dict[tuple[int, int, int], tuple[float, float, bool]] = {}
+    for q, part, score in zip(*(x.tolist() for x in index.retrieve(key // len(index.terms), key % len(index.terms), second)), strict=True):
+        d, item = int(np.searchsorted(base, q, "right")) - 1, int(index.part_item[part])
+        start, size = int(w.off[d]) + (q - int(base[d])) * STEP, len(index.words[item])
+        before, slack = int(index.part_at[part]), STEP + max(0, size - PART) // 4
+        lo = max(int(w.off[d]), start - before - slack)
+        hi = min(int(w.off[d + 1]), start + PASSAGE + max(0, size - before - PART) + slack)
+        if (item, lo, hi) not in seen:
+            seen[item, lo, hi] = index.overlaps(item, w.h[lo:hi])
+        question, answer, run = seen[item, lo, hi]
         if run and question >= QUESTION and answer >= ANSWER:
             found[d, item] = max(found.get((d, item), (0.0, 0.0, 0.0)), (score, question, answer))
     return [(d, item, *v) for (d, item), v in found.items()]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The items, SHARD at a time; each index is built here, once, from a bounded number of rows."""
+def indexes(benchmark: DataFrame) -> DataFrame:
+    """(shard, index): a row for each shard, its pickled index. Shards are built in tasks, from their own items and
+    the numbers over all items that weights take."""
+    spark = benchmark.sparkSession
+    ship(spark)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    shards = max(1, -(-items.count() // SHARD))
 
-    def terms(batches):
+    def lengths(batches):
+        for x in batches:
+            n = [p for w in item_words(x.column(0)) if len(w) for p in (min(len(w), PART),) * len(part_starts(len(w)))]
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["n", "words"])
+
+    n, size = items.select("text").mapInArrow(lengths, "n bigint, words bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD))
+    rows = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard"), "item_id", "text")
+    if shards > 1:  # weights are those of one index over all items: shards get their terms' counts too
+
+        def terms(batches):
+            for x in batches:
+                of, h = [], [np.zeros(0, np.uint64)]
+                for shard, w in zip(x.column(0).to_pylist(), item_words(x.column(2)), strict=True):
+                    for at in part_starts(len(w)):
+                        h.append(np.unique(w[at : at + PART]))
+                        of += [shard] * len(h[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate(h).view(np.int64))], names=["shard", "term"])
+
+        by_shard = saved(rows.mapInArrow(terms, "shard bigint, term bigint").groupBy("shard", "term").count(), "terms")
+        total = by_shard.groupBy("term").agg(F.sum("count").alias("df"))
+        known = by_shard.join(total, "term").select("shard", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("string").alias("text"), "term", "df")
+        rows = rows.select("*", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("bigint").alias("df")).unionByName(known)
+    else:
+        rows = rows.select("*", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("bigint").alias("df"))
+
+    def build(batches):
+        held: dict[int, tuple[list, dict]] = {}
         for x in batches:
-            w = [v for v in item_words(x.column(0)) if len(v) >= RUN]
-            t = [np.unique(v) for v in w]
-            h = np.concatenate([*t, np.zeros(0, np.uint64)]).view(np.int64)
-            length = np.array([len(v) for v in w], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.zeros(len(w), np.int64))), pa.array(np.append(np.zeros(len(h), np.int64), length))], names=["term", "length"])
-
-    table = whole = None
-    if shards > 1:  # weights are those of one index over all items
-        ship(benchmark.sparkSession)
-        table = items.select("text").mapInArrow(terms, "term bigint, length bigint")
-        n, mean = table.filter("length > 0").agg(F.count("*"), F.avg("length")).first()
-        table = saved(table.filter("length = 0").groupBy("term").count(), "terms")
-    out = []
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
-        ids, texts = [r.item_id for r in rows], [r.text for r in rows]
-        if table is not None:
-            mine = np.unique(np.concatenate([*item_words(pa.array(texts, pa.string())), np.zeros(0, np.uint64)])).view(np.int64)
-            mine = benchmark.sparkSession.createDataFrame([(int(t),) for t in mine], "term bigint")
-            whole = (n, mean, {r.term: r["count"] for r in table.join(mine, "term", "left_semi").collect()})
-        out.append(Index(ids, texts, whole))
-    return [x for x in out if x.ids]
+            for shard, item_id, text, term, df in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                own = held.setdefault(shard, ([], {}))
+                if text is None:
+                    own[1][term] = df
+                else:
+                    own[0].append((item_id is None, item_id or 0, text))
+        for shard, (own, df) in held.items():
+            own.sort()
+            index = Index([None if none else i for none, i, _ in own], [t for *_, t in own], (n, max(size / n, 1), df) if shards > 1 else None)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zstandard.ZstdCompressor().compress(pickle.dumps(index))], pa.binary())], names=["shard", "index"])
+
+    return saved(rows.repartition(shards, "shard").mapInArrow(build, "shard bigint, index binary"), "index")
+
+
+@lru_cache(1)
+def _opened(packed: bytes) -> Index:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
+
+def _by_shard(benchmark: DataFrame):
+    """Each shard's packed index as a broadcast, one at a time."""
+    table = indexes(benchmark)
+    for r in table.select("shard").orderBy("shard").collect():
+        packed = table.filter(F.col("shard") == r.shard).first()["index"]
+        yield benchmark.sparkSession.sparkContext.broadcast(bytes(packed))
 
 
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
@@ -221,10 +272,11 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double,
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified match."""
     ship(docs.sparkSession)
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for index in indexes(benchmark):
+    out = None
+    for packed in _by_shard(benchmark):
 
-        def run(batches, index=index):
+        def run(batches, packed=packed):
+            index = _opened(packed.value)
             for x in batches:
                 for b in blocks(x.column(1)):
                     hits = search(index, b)
@@ -232,8 +284,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = x.column(0).take(pa.array([b.first + d for d in cols[0]], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA))
-    return out
+        if out is not None:  # what an earlier shard found is written, so that its index can go
+            out = saved(out, "matches")
+        found = narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,15 +298,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with no verified benchmark item."""
     ship(spark)
-    at = docs.schema.names.index("text")
-    for index in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    at, first = docs.schema.names.index("text"), True
+    for packed in _by_shard(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
 
-        def run(batches, index=index):
+        def run(batches, packed=packed):
+            index = _opened(packed.value)
             for x in batches:
                 good = np.ones(x.num_rows, bool)
                 for b in blocks(x.column(at)):
                     good[[b.first + d for d, *_ in search(index, b)]] = False
                 yield x.filter(pa.array(good))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (docs if first else saved(docs, "clean")).mapInArrow(run, docs.schema)
+        first = False
     return docs
