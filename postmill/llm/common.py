@@ -41,9 +41,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A new folder's path below spark.checkpoint.dir; where that is unset a temporary one, if all runs on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = getattr(spark.sparkContext, "_postmill_tmp", None) or tempfile.mkdtemp(prefix="postmill-")
         spark.sparkContext._postmill_tmp = top
     return f"{top.rstrip('/')}/postmill/{name}-{uuid.uuid4().hex}"
@@ -61,17 +63,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._postmill_path = path
+    transient(df.sparkSession, path)
+    return out
+
+
+def transient(spark: SparkSession, path: str) -> None:
+    """Have the path deleted at the driver's end."""
     if not _written:
         atexit.register(_clean)
-    _written.append((df.sparkSession, path))
-    return out
+    _written.append((spark, path))
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def _clean() -> None:
-    """At the driver's end: what saved() wrote is of no more use. A context that was stopped before keeps its files."""
+    """At the driver's end: what was written for its time is of no more use. A context that was stopped before keeps its files."""
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             drop(spark, path)

@@ -1,19 +1,22 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed order.
 
-Documents' tokens, each closed by an end token, make one stream, in the order in which the table is read, cut
-into sequences of LENGTH tokens (the last is filled up with end tokens). A Feistel network over the sequences' numbers, with cycle walking to their count, is the
-training order: it gives every sequence its global slot, and its inverse gives a slot's sequence, with no table.
+Documents' tokens, each closed by an end token, make one stream, in the order of doc_id (null first) and a hash of
+the text, cut into sequences of LENGTH tokens (the last is filled up with end tokens). The order of the input's files
+and how they are read play no part. A Feistel network over the sequences' numbers, with cycle walking to their count,
+is the training order: it gives every sequence its global slot, and its inverse gives a slot's sequence, with no table.
 
 Slots are dealt to range partitions by shard; each partition writes its shards, SEQUENCES slots of equal stride
 each, as little-endian unsigned 16-bit integers: slot s is at byte (s % SEQUENCES) * stride of shard
-s // SEQUENCES. A shard is written under a name of its own attempt and renamed, so that a lost executor or a
-second attempt leaves a whole file; Shards reads on from any slot.
+s // SEQUENCES. A shard is written under a name of its own attempt and renamed (a whole one that is there already
+stays), so that a lost executor or a second attempt leaves a whole file; Shards reads on from any slot.
 
-Where a document begins in the stream needs no sort and no shuffle of tokens: each task counts from its own
-beginning, its rows are written once, and the tasks' totals are all that the driver sums.
+Where a document begins in the stream needs no shuffle of tokens: each task writes its documents' tokens once; their
+lengths are sorted by range and summed, a total for each range going to the driver; and every task's offsets are
+written to the shared folder beside its tokens, to be read by whoever reads these.
 
-Defined cases: a null or empty text is its end token. Repeated rows each have their tokens. Extra columns are
-not read. An empty table gives no sequences and no shards.
+Defined cases: a null or empty text is its end token. Repeated rows each have their tokens; rows of one id and text
+(ties) have the same tokens, so their order is of no matter. Extra columns are not read. An empty table gives no
+sequences and no shards. A text's tokens are held whole by its task.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import documents, narrow, saved, shared, ship
+from postmill.llm.common import documents, narrow, row_key, saved, shared, ship, transient
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
@@ -84,27 +87,74 @@ def _encoding(name: str):
     return tiktoken.Encoding("order", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def stream(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
-    """(part, at, doc_id, ids): where each document's tokens begin in their task's; and where each task's begin."""
-    ship(docs.sparkSession)
+def stream(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, str, np.ndarray]:
+    """(part, i, doc_id, ids): each document's tokens, as the i-th of a task; a folder with the offsets of each task's
+    documents within their range; and where each range begins in the stream."""
+    spark = docs.sparkSession
+    ship(spark)
 
     def encode(batches):
-        enc, part, at = _encoding(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, i = _encoding(vocabulary), TaskContext.get().partitionId(), 0
         for x in batches:
-            ids, first = [], []
-            for t in x.column(1):
+            ids = []
+            for t in x.column(2):
                 text = t.as_py() or ""
                 ids.append(np.append(enc.encode_to_numpy(text) if text else np.zeros(0, np.uint32), END).astype("<u2").tobytes())
-                first.append(at)
-                at += len(ids[-1]) // 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(first, pa.int64()), x.column(0), pa.array(ids, pa.binary())], names=["part", "at", "doc_id", "ids"])
+            at = np.arange(i, i + len(ids))
+            i += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(at), x.column(0), x.column(1), pa.array(ids, pa.binary())], names=["part", "i", "doc_id", "key", "ids"])
 
-    placed = saved(narrow(docs, "doc_id", "text").mapInArrow(encode, "part int, at bigint, doc_id bigint, ids binary"), "stream")
-    totals = placed.groupBy("part").agg(F.max(F.col("at") + F.length("ids") / 2).cast("bigint").alias("n")).collect()  # a row for each task
-    size = np.zeros(max((r.part for r in totals), default=-1) + 2, np.int64)
+    d = narrow(docs, "doc_id", "text").select("doc_id", row_key(F.col("text"), F.col("doc_id")).alias("key"), "text")
+    placed = saved(d.mapInArrow(encode, "part int, i bigint, doc_id bigint, key bigint, ids binary"), "stream")
+    lengths = placed.select("doc_id", "key", "part", "i", (F.length("ids") / 2).cast("bigint").alias("n"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("key"), F.asc("part"), F.asc("i")]
+
+    def run_up(batches):
+        here, total = TaskContext.get().partitionId(), 0
+        for x in batches:
+            n = x.column(4).to_numpy()
+            at = np.cumsum(n) - n + total
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([x.column(2), x.column(3), pa.array(np.full(len(n), here, np.int32)), pa.array(at), x.column(4)], names=["part", "i", "range", "at", "n"])
+
+    offsets = saved(lengths.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run_up, "part int, i bigint, range int, at bigint, n bigint"), "offsets")
+    totals = offsets.groupBy("range").agg(F.sum("n").alias("n")).collect()  # a row for each range
+    size = np.zeros(max((r.range for r in totals), default=-1) + 2, np.int64)
     for r in totals:
-        size[r.part + 1] = r.n
-    return placed, np.cumsum(size)
+        size[r.range + 1] = r.n
+    folder = shared(spark, "offsets-of-parts")
+    offsets.select("part", "i", "range", "at").repartition("part").sortWithinPartitions("part", "i").write.partitionBy("part").parquet(folder)
+    transient(spark, folder)
+    return placed.drop("key"), folder, np.cumsum(size)
+
+
+class Offsets:
+    """Where documents begin in the stream: those of the parts that a task meets, read once each."""
+
+    def __init__(self, folder: str, begin: np.ndarray):
+        self.folder, self.begin = folder, begin
+        self.parts: dict[int, np.ndarray] = {}
+
+    def of(self, part: np.ndarray, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(part), np.int64)
+        for p in np.unique(part).tolist():
+            if p not in self.parts:
+                self.parts = {p: self._read(p)}  # one at a time: a task's rows come part by part
+            mine = part == p
+            out[mine] = self.parts[p][i[mine]]
+        return out
+
+    def _read(self, part: int) -> np.ndarray:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        f, top = _open(self.folder)
+        files = [x.path for x in f.get_file_info(fs.FileSelector(f"{top}/part={part}")) if x.path.endswith(".parquet")]
+        tables = [pq.read_table(f.open_input_file(x), columns=["i", "range", "at"]) for x in files]
+        i, r, at = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("i", "range", "at"))
+        out = np.zeros(len(i), np.int64)
+        out[i] = self.begin[r] + at
+        return out
 
 
 def pc_length(x: pa.Array) -> list[int]:
@@ -113,16 +163,17 @@ def pc_length(x: pa.Array) -> list[int]:
     return pc.binary_length(x).to_pylist()
 
 
-def pieces(placed: DataFrame, begin: np.ndarray, order: Permutation, length: int) -> DataFrame:
+def pieces(placed: DataFrame, folder: str, begin: np.ndarray, order: Permutation, length: int) -> DataFrame:
     """(slot, shard, at, doc_ids, ids): stretches of sequences, put together from neighbouring documents; ids compressed."""
 
     def run(batches):
+        offsets = Offsets(folder, begin)
         for x in batches:
             n = np.array(pc_length(x.column(3)), np.int64) // 2
-            first = begin[x.column(0).to_numpy()] + x.column(1).to_numpy()
+            first = offsets.of(x.column(0).to_numpy(), x.column(1).to_numpy())
             ids, doc_ids = x.column(3), x.column(2).to_pylist()
             rows: list[tuple[int, int, list, list]] = []
-            for i in range(x.num_rows):
+            for i in np.argsort(first, kind="stable").tolist():
                 body, g, end = ids[i].as_buffer(), int(first[i]), int(first[i] + n[i])
                 while g < end:
                     stop = min(end, (g // length + 1) * length)
@@ -153,15 +204,26 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def commit(fs, name: str, target: str) -> None:
+    """Gives a finished file its name. One of its size is an earlier attempt's, with the same bytes: it stays."""
+    size, there = fs.get_file_info([name, target])
+    if there.is_file and there.size == size.size:
+        fs.delete_file(name)
+        return
+    if there.is_file:  # of another run, with other settings
+        fs.delete_file(target)
+    fs.move(name, target)
+
+
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """Writes the shards below folder (shared by all executors); returns a row for each slot: slot, shard, byte_offset,
     sequence, n_tokens (without filling), sha256 of its bytes, doc_ids in it."""
-    placed, begin = stream(docs)
+    placed, offsets, begin = stream(docs)
     total = int(begin[-1])
     count = -(-total // length)
     order = Permutation(count, key)
     shards = max(1, -(-count // SEQUENCES))
-    rows = pieces(placed, begin, order, length).repartitionByRange(shards, "shard").sortWithinPartitions("slot", "at")
+    rows = pieces(placed, offsets, begin, order, length).repartitionByRange(shards, "shard").sortWithinPartitions("slot", "at")
     stride = 2 * length
     filler = np.full(length, END, "<u2").tobytes()
     schema = "slot bigint, shard bigint, byte_offset bigint, sequence bigint, n_tokens bigint, sha256 string, doc_ids array<bigint>"
@@ -181,7 +243,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = K
 
         def end_shard():
             out.close()
-            fs.move(name, f"{top}/{file_name(shard)}")
+            commit(fs, name, f"{top}/{file_name(shard)}")
 
         def flush():
             cols = list(zip(*done, strict=True)) or [()] * 6
@@ -231,4 +293,7 @@ class Shards:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(documents(spark, sf_dir), shared(spark, "shards"))
+    """The manifest; the shards themselves, in the shared folder, go with the driver."""
+    folder = shared(spark, "shards")
+    transient(spark, folder)
+    return materialise(documents(spark, sf_dir), folder)

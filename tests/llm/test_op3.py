@@ -1,7 +1,10 @@
 import inspect
+import math
 import random
 import re
 
+import numpy as np
+
 from postmill.llm import op3_minhash_dedup as op3
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +98,27 @@ def at_percent(percent, rows):
     return names["brute"](rows)
 
 
+def test_pairs_at_the_threshold_are_missed_once_in_a_million_by_all_looks_together():
+    for percent in (80, 85):
+        t = percent / 100
+        look = [math.comb(op3.BATCH, k) * t**k * (1 - t) ** (op3.BATCH - k) for k in range(op3.BATCH + 1)]
+        alive = np.ones(1)
+        for least in op3.least_matches(percent):
+            alive = np.convolve(alive, look)
+            alive[:least] = 0
+        assert 1 - alive.sum() < 1.2e-6
+
+
+def test_texts_that_collide_under_polynomials_modulo_a_power_of_two_are_apart(spark):
+    a = "a"
+    while len(a) < 2048:  # Thue and Morse
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, a), (4, " ".join(a)), (5, " ".join(b))]
+    got = op3.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == brute(rows)
+
+
 def test_another_similarity(spark):
     rows = corpus()
     assert at_percent(80, rows) != brute(rows)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from postmill.llm import op5_quality_rules as op5
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string"
@@ -72,3 +74,20 @@ def test_stage_keeps_rows_whole(spark):
 
 def test_empty_table(spark):
     assert op5.apply_policy(op5.ledger(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_the_stage_s_ledger_holds_bits_and_measurements(spark):
+    df = spark.createDataFrame(rows(), SCHEMA).withColumnRenamed("n_words", "_ledger")
+    want = sorted((r.doc_id, r.failures, r.n_words, r.n_dup_lines) for r in op5.ledger(df).collect())
+    assert sorted((r.doc_id, r.x.failures, r.x.n_words, r.x.n_dup_lines) for r in op5.judged(df, "x").collect()) == want
+    assert op5.stage(spark, df, "").columns == df.columns
+
+
+def test_lines_and_windows_that_collide_under_polynomials_modulo_a_power_of_two():
+    a = "a"
+    while len(a) < 2048:  # Thue and Morse
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    t = f"{a}\n{b}\n{' '.join(a[:1024])}\n{' '.join(b[:1024])}\n{a}"
+    m = op5.measure(pa.array([t]))
+    assert tuple(int(m[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(t)

@@ -52,3 +52,22 @@ def test_a_second_run_gives_the_same_order(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert op9.materialise(spark.createDataFrame([], "doc_id bigint, text string"), str(tmp_path)).count() == 0
+
+
+def test_the_order_does_not_depend_on_files_or_partitions(spark, tmp_path):
+    rows = list(enumerate(texts())) + [(None, "no id"), (None, "no id either"), (3, "twice"), (3, "twice")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = []
+    for k, x in enumerate((df.coalesce(1), df.repartition(7), df.orderBy("text").coalesce(2))):
+        m = op9.materialise(x, f"{tmp_path}/{k}", 128)
+        got.append((sorted((r.slot, r.sequence, r.n_tokens, r.sha256, sorted(r.doc_ids, key=str)) for r in m.collect()), [b.tobytes() for b in op9.Shards(f"{tmp_path}/{k}", m.count(), 128).read()]))
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_second_attempt_leaves_a_whole_shard(tmp_path):
+    fs, top = op9._open(str(tmp_path))
+    for name, body in (("a", b"one"), ("b", b"one"), ("c", b"other")):
+        with fs.open_output_stream(f"{top}/{name}") as f:
+            f.write(body)
+        op9.commit(fs, f"{top}/{name}", f"{top}/shard")
+        assert (tmp_path / "shard").read_bytes() == body and [x.name for x in tmp_path.iterdir()] == ["shard"]

@@ -36,7 +36,7 @@ def test_stages_match_brute_force(spark, folder):
         return not (n < 20 or 100 * repeats > 30 * n or 100 * symbols > 5 * chars or chars < 2 * n or chars > 20 * n or (len(lines) >= 4 and 2 * dup > len(lines)) or 100 * letters < 60 * chars or 100 * upper > 50 * letters)
 
     docs = {d: t for d, t in docs.items() if good(t)}
-    docs = {d: docs[d] for d, _, _, kept in test_op3.brute(sorted(docs.items())) if kept}
+    docs = {d: docs[d] for d, _, _, kept in test_op3.at_percent(80, sorted(docs.items())) if kept}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     ids = sorted(docs)
     bad = {ids[k] for k, _ in test_op8.brute(items, [docs[d] for d in ids])}
@@ -62,4 +62,4 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     os.symlink(f"{folder}/benchmark.parquet", f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert op8.indexes(spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert op8.indexes(spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 1
