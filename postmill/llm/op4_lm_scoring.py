@@ -1,23 +1,25 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
-Units: the document end, the TOP most frequent words, and CLASSES classes of all other words (by a word's
-last two bytes). A unit's log-bilinear score in the context of the two units before it is
-Q[u] . (C1 R[u1] + C2 R[u2]) + b[u]; a word of a class then has its smoothed share of the class's training
-count, with one share for unknown words. Probabilities are normalised exactly: batched matrix products over
-all pairs of context units give a table of log partition sums, so a token costs a dot product and a look-up.
+What is predicted: one of UNITS units, the document end, the TOP most frequent words, and CLASSES classes of all other
+words (by a word's last two bytes). What it is predicted from: the two tokens before, each as one of CONTEXTS: the
+units, and the MORE next frequent words. A unit's score is Q[u] . (C1 R[c1] + C2 R[c2]) + b[u]; batched matrix products
+over a block's tokens give all units' scores, and so exactly normalised log-probabilities. A word of a class then has
+its smoothed share of the class's training count, with one share for unknown words.
 
-Training: all training documents are dealt to shards
-of about SHARD_DOCS documents; every shard trains in numpy from the same start by noise-contrastive
-estimation, with noise words drawn from the unit frequencies and shared by a minibatch, and the shards'
-parameters are averaged by a grouped aggregation.
+Training: the tokens of all training documents are dealt, in pieces, to shards of about SHARD_TOKENS tokens; every
+shard trains in numpy from the same start by noise-contrastive estimation, with noise units drawn from their
+frequencies and shared by a minibatch, and the shards' parameters are averaged by a grouped aggregation (a context's
+vector by how often each shard saw it).
 
 Counts cover all training tokens. A bounded sample (SAMPLE_DOCS) only decides which words (FREQUENT at most)
 are counted by position in each task; occurrences of all other words are shuffled by word, counted there,
-and come back as one partial sum a document. The sample decides how much is shuffled, not any count.
+and come back as one partial sum a document. The sample decides how much is shuffled, not any count; which of its
+words are units is decided by their counts over all training tokens.
 
 Defined cases: a null or empty text is one token, the end. A null doc_id is a training document. Rows with
-equal id and text score alike, each in its own row. Without training tokens every word is unknown and the
-base score is 0. Extra columns are not read; an empty table gives no rows.
+equal id and text score alike, each in its own row. Words of equal count are ranked by their place in the sample, and
+there by hash. Without training tokens every word is unknown and the base score is 0. Extra columns are not read; an
+empty table gives no rows. A text takes about 60 bytes of memory for each of its own while its task works on it.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from postmill.llm.blocks import HashTable, Words, blocks, mix
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 SAMPLE_DOCS, FREQUENT = 20_000, 120_000
-TOP, CLASSES = 960, 63
+TOP, CLASSES, MORE = 448, 63, 7680
 UNITS = 1 + TOP + CLASSES
+CONTEXTS = UNITS + MORE
 WIDTH = 32
-#: Training documents of a shard, about.
-SHARD_DOCS = 4096
-BATCH, NOISE, RATE = 1024, 128, 0.15
+#: Training tokens of a shard, about (never over twice as many), and of a piece of a document.
+SHARD_TOKENS, PIECE = 1 << 21, 1 << 16
+BATCH, NOISE, RATE = 512, 64, 0.3
+#: Tokens whose scores of all units are computed at once.
+CHUNK = 2048
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -71,16 +76,27 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
 
 
 class Lexicon:
-    """Frequent words by hash; the first TOP of them are units of their own."""
+    """Frequent words by hash."""
 
     def __init__(self, hashes: np.ndarray):
         self.table = HashTable(hashes)
         self.size = len(hashes)
+        self.rank_by(np.zeros(self.size))
 
-    def find(self, b, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word: its index among the frequent ones or -1, its unit, its class."""
-        at, cls = self.table.find(w.h), _classes(b, w)
-        return at, np.where((at >= 0) & (at < TOP), at + 1, 1 + TOP + cls), cls
+    def rank_by(self, count: np.ndarray) -> None:
+        """The words with the highest counts are units and contexts of their own."""
+        self.rank = np.full(self.size + 1, 1 << 40)  # its last: no frequent word
+        self.rank[np.lexsort((np.arange(self.size), -count))] = np.arange(self.size)
+
+    def find(self, b, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: its index among the frequent ones or -1, its class."""
+        return self.table.find(w.h), _classes(b, w)
+
+    def units(self, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: what it is when it is predicted, and when it is predicted from."""
+        rank = self.rank[at]
+        unit = np.where(rank < TOP, rank + 1, 1 + TOP + cls)
+        return unit, np.where((rank >= TOP) & (rank < TOP + MORE), UNITS - TOP + rank, unit)
 
 
 def counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -97,7 +113,7 @@ def counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
             ends += int(train_all.sum())
             for b in blocks(x.column(2)):
                 w = b.words(lower=True)
-                at, _, cls = lex.find(b, w)
+                at, cls = lex.find(b, w)
                 train, keys = train_all[b.first : b.first + b.n], keys_all[b.first : b.first + b.n]
                 mine = at >= 0
                 of[at[mine]] = cls[mine]
@@ -131,7 +147,7 @@ def counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 class Totals:
-    """What scoring needs of the training counts; its size is bounded by FREQUENT."""
+    """What scoring needs of the training counts; its size is bounded by FREQUENT. Ranks the lexicon's words."""
 
     def __init__(self, lex: Lexicon, table: DataFrame):
         self.count = np.zeros(lex.size + 1)  # its last: no frequent word
@@ -144,32 +160,33 @@ class Totals:
                 self.docs += r.x
             else:
                 self.count[r.k // 64], cls[r.k // 64] = r.x, r.k % 64
+        lex.rank_by(self.count[:-1])
         known = self.count[:-1] > 0
         self.tokens = self.docs + self.count.sum() + in_class.sum()
         self.types = (self.docs > 0) + known.sum() + distinct.sum()
-        tail = np.flatnonzero(known)
-        tail = tail[tail >= TOP]
+        tail = np.flatnonzero(known & (lex.rank[:-1] >= TOP))
         words = distinct + np.bincount(cls[tail], minlength=CLASSES)
         total = in_class + np.bincount(cls[tail], weights=self.count[tail], minlength=CLASSES)
         #: log10 of each class's mass: its count, half for each word, half for the unknown ones.
         self.class_mass = np.log10(total + 0.5 * (words + 1))
         units = np.zeros(UNITS)
         units[0] = self.docs
-        units[1 : 1 + min(TOP, lex.size)] = self.count[: min(TOP, lex.size)]
+        top = np.flatnonzero(lex.rank[:-1] < TOP)
+        units[1 + lex.rank[top]] = self.count[top]
         units[1 + TOP :] = total
         self.unit_share = (units + 0.5) / (units + 0.5).sum()
         self.log_denominator = np.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def _unit_stream(w: Words, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units of a block with each document's end (0), those one and two before, and each token's document."""
+def _token_stream(w: Words, unit: np.ndarray, context: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's tokens, each document's end (0) after its words: units, contexts one and two before, documents."""
     ends = w.off[1:] + np.arange(n)
-    u = np.zeros(len(unit) + n, np.int64)
-    is_word = np.ones(len(u), bool)
+    is_word = np.ones(len(unit) + n, bool)
     is_word[ends] = False
+    u, c = np.zeros(len(is_word), np.int64), np.zeros(len(is_word) + 2, np.int64)
     u[is_word] = unit
-    one, two = np.zeros_like(u), np.zeros_like(u)
-    one[1:], two[2:] = u[:-1], u[:-2]
+    c[2:][is_word] = context
+    one, two = c[1:-1], c[:-2].copy()
     two[w.off[:-1] + np.arange(n)] = 0  # a document's first token has only ends before it
     return u, one, two, np.repeat(np.arange(n), w.n + 1)
 
@@ -177,7 +194,15 @@ def _unit_stream(w: Words, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 def start_model(unit_share: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(4)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return {"R": small(UNITS, WIDTH), "Q": small(UNITS, WIDTH), "C1": np.eye(WIDTH, dtype=np.float32), "C2": 0.5 * np.eye(WIDTH, dtype=np.float32), "b": np.log(unit_share).astype(np.float32).reshape(-1, WIDTH)}
+    return {"R": small(CONTEXTS, WIDTH), "Q": small(UNITS, WIDTH), "C1": np.eye(WIDTH, dtype=np.float32), "C2": 0.5 * np.eye(WIDTH, dtype=np.float32), "b": np.log(unit_share).astype(np.float32).reshape(-1, WIDTH)}
+
+
+def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places in at, and the sum of each one's gradients."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(g[order], first, axis=0)
 
 
 def train_shard(model: dict[str, np.ndarray], unit_share: np.ndarray, u: np.ndarray, one: np.ndarray, two: np.ndarray) -> dict[str, np.ndarray]:
@@ -188,8 +213,6 @@ def train_shard(model: dict[str, np.ndarray], unit_share: np.ndarray, u: np.ndar
     log_q = np.log(unit_share).astype(np.float32) + np.float32(np.log(NOISE))
     steps = np.cumsum(unit_share)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    lanes = np.arange(WIDTH)
-    scatter = lambda at, g: np.bincount((at[:, None] * WIDTH + lanes).ravel(), weights=g.ravel(), minlength=UNITS * WIDTH).reshape(UNITS, WIDTH)
     order = rng.permutation(len(u))
     for s in range(0, len(u), BATCH):
         at = order[s : s + BATCH]
@@ -202,65 +225,95 @@ def train_shard(model: dict[str, np.ndarray], unit_share: np.ndarray, u: np.ndar
         gn = sigmoid(p @ qn.T + (b - log_q)[noise])
         gp = gt[:, None] * qt + gn @ qn
         grads = {
-            "Q": scatter(np.concatenate([t, noise]), np.concatenate([gt[:, None] * p, gn.T @ p])),
-            "R": scatter(np.concatenate([w1, w2]), np.concatenate([gp @ m["C1"], gp @ m["C2"]])),
-            "C1": gp.T @ r1,
-            "C2": gp.T @ r2,
-            "b": np.bincount(np.concatenate([t, noise]), weights=np.concatenate([gt, gn.sum(0)]), minlength=UNITS).reshape(-1, WIDTH),
+            "Q": _summed(np.concatenate([t, noise]), np.concatenate([gt[:, None] * p, gn.T @ p])),
+            "R": _summed(np.concatenate([w1, w2]), np.concatenate([gp @ m["C1"], gp @ m["C2"]])),
+            "C1": (slice(None), gp.T @ r1),
+            "C2": (slice(None), gp.T @ r2),
+            "b": _summed(np.concatenate([t, noise]), np.concatenate([gt, gn.sum(0)])),
         }
-        for k, g in grads.items():
-            g = (g / len(at)).astype(np.float32)
-            past[k] += g * g
-            m[k] -= np.float32(RATE) * g / np.sqrt(past[k])
+        for k, (i, g) in grads.items():
+            g = g * np.float32(1 / len(at))
+            have, past_k = (m[k].ravel(), past[k].ravel()) if k == "b" else (m[k], past[k])  # b's rows are views of its values
+            past_k[i] += g * g
+            have[i] -= np.float32(RATE) * g / np.sqrt(past_k[i])
     return m
 
 
-def train(docs: DataFrame, lex: Lexicon, unit_share: np.ndarray) -> dict[str, np.ndarray]:
-    """The averaged model of all shards."""
+def train(docs: DataFrame, lex: Lexicon, tokens: float, unit_share: np.ndarray) -> dict[str, np.ndarray]:
+    """The averaged model of all shards. tokens: how many there are to train on."""
     start = start_model(unit_share)
     parts = list(start)
     first = np.cumsum([0] + [len(start[k]) for k in parts])
-    picked = docs.filter("train").select("key", "text")
-    shards = max(1, -(-picked.count() // SHARD_DOCS))
+    shards = max(1, int(-(-tokens // SHARD_TOKENS)))
 
-    def units(batches):
+    def pieces(batches):
         for x in batches:
             for b in blocks(x.column(1)):
                 w = b.words(lower=True)
-                u = lex.find(b, w)[1].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([x.column(0).slice(b.first, b.n), pa.array([u[i:j].tobytes() for i, j in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)], pa.binary())], names=["key", "u"])
+                u, one, two, doc = _token_stream(w, *lex.units(*lex.find(b, w)), b.n)
+                off = np.searchsorted(doc, np.arange(b.n + 1))
+                of, i, body = [], [], []
+                for d in range(b.n):
+                    for k, at in enumerate(range(int(off[d]), int(off[d + 1]), PIECE)):
+                        cut = slice(at, min(at + PIECE, int(off[d + 1])))
+                        of.append(b.first + d)
+                        i.append(k)
+                        body.append(np.stack([u[cut], one[cut], two[cut]]).astype(np.int16).tobytes())
+                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(of, pa.int64())), pa.array(i, pa.int32()), pa.array(body, pa.binary())], names=["key", "piece", "t"])
 
     def learn(batches):
-        all_u = [[np.zeros(0, np.int64)] * 3]
-        for x in batches:
-            for v in x.column(1).to_pylist():
-                u = np.append(np.frombuffer(v, np.int16).astype(np.int64), 0)
-                before = np.concatenate([[0, 0], u[:-1]])
-                all_u.append((u, before[1:], before[:-1]))
-        u, one, two = (np.concatenate(z) for z in zip(*all_u, strict=True))
-        if len(u):
+        held, size = [], 0
+
+        def model():
+            u, one, two = np.concatenate(held, axis=1).astype(np.int64)
             m = train_shard(start, unit_share, u, one, two)
-            rows = np.concatenate([m[k] for k in parts]) * np.float32(len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float32())), pa.array(np.full(len(rows), float(len(u))))], names=["i", "v", "n"])
+            n = {k: np.full(len(v), float(len(u))) for k, v in m.items()}
+            n["R"] = np.bincount(np.concatenate([one, two]), minlength=CONTEXTS) + 1e-6
+            n = np.concatenate([n[k] for k in parts])
+            rows = np.concatenate([m[k] for k in parts]) * n[:, None]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["i", "v", "n"])
 
-    shared = picked.mapInArrow(units, "key bigint, u binary").repartition(shards, "key").sortWithinPartitions("key")
-    learned = shared.mapInArrow(learn, "i bigint, v array<float>, n double")
-    mean = learned.groupBy("i").agg(F.array(*[F.sum(F.col("v")[j].cast("double")) / F.sum("n") for j in range(WIDTH)]).alias("v")).orderBy("i").collect()
+        for x in batches:
+            for v in x.column(2):
+                held.append(np.frombuffer(v.as_buffer(), np.int16).reshape(3, -1))
+                size += held[-1].shape[1]
+                if size > 2 * SHARD_TOKENS - PIECE:
+                    yield model()
+                    held, size = [], 0
+        if size:
+            yield model()
+
+    dealt = docs.filter("train").select("key", "text").mapInArrow(pieces, "key bigint, piece int, t binary").repartition(shards, "key", "piece").sortWithinPartitions("key", "piece")
+    learned = dealt.mapInArrow(learn, "i bigint, v array<double>, n double")
+    mean = learned.groupBy("i").agg(F.array(*[F.sum(F.col("v")[j]) / F.sum("n") for j in range(WIDTH)]).alias("v")).orderBy("i").collect()
     if not mean:
         return start
     rows = np.array([r.v for r in mean], np.float32)
     return {k: rows[first[j] : first[j + 1]] for j, k in enumerate(parts)}
 
 
-def partition_sums(model: dict[str, np.ndarray]) -> np.ndarray:
-    """log of the sum over all units, for each pair of units before: [one, two]."""
-    a1, a2, b = model["R"] @ model["C1"].T, model["R"] @ model["C2"].T, model["b"].ravel()
-    out = np.empty((UNITS, UNITS), np.float32)
-    for two in range(UNITS):
-        s = (a1 + a2[two]) @ model["Q"].T + b
-        top = s.max(1)
-        out[:, two] = top + np.log(np.exp(s - top[:, None]).sum(1))
-    return out
+class Network:
+    """The trained parameters, ready to score."""
+
+    def __init__(self, model: dict[str, np.ndarray]):
+        self.a1, self.a2 = model["R"] @ model["C1"].T, model["R"] @ model["C2"].T
+        self.q, self.bias = np.ascontiguousarray(model["Q"].T), model["b"].ravel()
+        length = lambda x: float(np.sqrt((x * x).sum(1)).max())
+        #: Whether no score can be so large that its power overflows.
+        self.small = (length(self.a1) + length(self.a2)) * length(model["Q"]) + float(np.abs(self.bias).max()) < 80
+
+    def log_p(self, u: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each unit after its contexts."""
+        out = np.empty(len(u), np.float32)
+        for at in range(0, len(u), CHUNK):
+            c = slice(at, at + CHUNK)
+            s = (self.a1[one[c]] + self.a2[two[c]]) @ self.q
+            s += self.bias
+            if not self.small:
+                s -= s.max(1, keepdims=True)
+            own = s[np.arange(len(s)), u[c]]
+            out[c] = own - np.log(np.exp(s, out=s).sum(1))
+        return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -270,9 +323,11 @@ def score(docs: DataFrame) -> DataFrame:
     lex = Lexicon(frequent_words(docs))
     table = saved(counts(docs, lex), "counts")
     tot = Totals(lex, table)
-    model = train(docs, lex, tot.unit_share)
-    log_z = partition_sums(model)
-    a1, a2, q, bias = model["R"] @ model["C1"].T, model["R"] @ model["C2"].T, model["Q"], model["b"].ravel()
+    return scored(docs, lex, table, tot, Network(train(docs, lex, tot.tokens, tot.unit_share)))
+
+
+def scored(docs: DataFrame, lex: Lexicon, table: DataFrame, tot: Totals, network: Network) -> DataFrame:
+    """score(), from what was learned."""
     log_c, known = np.log10(tot.count + 0.5), tot.count > 0
     log_c[-1] = 0  # other words: their sums come from the table
     end, end_known, mass = np.log10(tot.docs + 0.5), int(tot.docs > 0), tot.class_mass
@@ -282,16 +337,12 @@ def score(docs: DataFrame) -> DataFrame:
         for x in batches:
             for b in blocks(x.column(3)):
                 w = b.words(lower=True)
-                at, unit, cls = lex.find(b, w)
-                u, one, two, doc = _unit_stream(w, unit, b.n)
-                p = np.empty(len(u), np.float32)
-                for s in range(0, len(u), 1 << 15):
-                    c = slice(s, s + (1 << 15))
-                    p[c] = np.einsum("ij,ij->i", a1[one[c]] + a2[two[c]], q[u[c]]) + bias[u[c]] - log_z[one[c], two[c]]
+                at, cls = lex.find(b, w)
+                unit, context = lex.units(at, cls)
+                u, one, two, doc = _token_stream(w, unit, context, b.n)
                 base = np.bincount(w.doc, weights=log_c[at], minlength=b.n) + end
-                in_class = unit > TOP
-                shares = np.where(in_class, log_c[at] - mass[cls], 0)
-                own = np.bincount(doc, weights=p, minlength=b.n) * nats + np.bincount(w.doc, weights=shares, minlength=b.n)
+                shares = np.where(unit > TOP, log_c[at] - mass[cls], 0)
+                own = np.bincount(doc, weights=network.log_p(u, one, two), minlength=b.n) * nats + np.bincount(w.doc, weights=shares, minlength=b.n)
                 yield pa.RecordBatch.from_arrays(
                     [*(x.column(k).slice(b.first, b.n) for k in range(3)), pa.array(w.n + 1), pa.array(np.bincount(w.doc[known[at]], minlength=b.n) + end_known), pa.array(base), pa.array(own)],
                     names=["doc_id", "key", "train", "n_tokens", "n", "base", "own"],
