@@ -1,10 +1,10 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
-What is predicted: one of UNITS units, the document end, the TOP most frequent words, and CLASSES classes of all other
-words (by a word's last two bytes). What it is predicted from: the two tokens before, each as one of CONTEXTS: the
-units, and the MORE next frequent words. A unit's score is Q[u] . (C1 R[c1] + C2 R[c2]) + b[u]; batched matrix products
-over a block's tokens give all units' scores, and so exactly normalised log-probabilities. A word of a class then has
-its smoothed share of the class's training count, with one share for unknown words.
+Units: the document end, the TOP most frequent words, and CLASSES classes of all other words (by a word's last two
+bytes). A unit's score in the context of the two units before it is Q[u] . (C1 R[u1] + C2 R[u2]) + b[u]. Probabilities
+are normalised exactly: batched matrix products over all pairs of context units, dealt to tasks, give a table of log
+partition sums, so a token costs a dot product and a look-up. A word of a class then has its smoothed share of the
+class's training count, with one share for unknown words.
 
 Training: the tokens of all training documents are dealt, in pieces, to shards of about SHARD_TOKENS tokens; every
 shard trains in numpy from the same start by noise-contrastive estimation, with noise units drawn from their
@@ -33,15 +33,12 @@ from postmill.llm.blocks import HashTable, Words, blocks, mix
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 SAMPLE_DOCS, FREQUENT = 20_000, 120_000
-TOP, CLASSES, MORE = 448, 63, 7680
+TOP, CLASSES = 960, 63
 UNITS = 1 + TOP + CLASSES
-CONTEXTS = UNITS + MORE
 WIDTH = 32
 #: Training tokens of a shard, about (never over twice as many), and of a piece of a document.
 SHARD_TOKENS, PIECE = 1 << 21, 1 << 16
-BATCH, NOISE, RATE = 512, 64, 0.3
-#: Tokens whose scores of all units are computed at once.
-CHUNK = 2048
+BATCH, NOISE, RATE = 1024, 64, 0.4
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -84,7 +81,7 @@ class Lexicon:
         self.rank_by(np.zeros(self.size))
 
     def rank_by(self, count: np.ndarray) -> None:
-        """The words with the highest counts are units and contexts of their own."""
+        """The words with the highest counts are units of their own."""
         self.rank = np.full(self.size + 1, 1 << 40)  # its last: no frequent word
         self.rank[np.lexsort((np.arange(self.size), -count))] = np.arange(self.size)
 
@@ -92,11 +89,10 @@ class Lexicon:
         """For each word: its index among the frequent ones or -1, its class."""
         return self.table.find(w.h), _classes(b, w)
 
-    def units(self, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word: what it is when it is predicted, and when it is predicted from."""
+    def units(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The unit of each word."""
         rank = self.rank[at]
-        unit = np.where(rank < TOP, rank + 1, 1 + TOP + cls)
-        return unit, np.where((rank >= TOP) & (rank < TOP + MORE), UNITS - TOP + rank, unit)
+        return np.where(rank < TOP, rank + 1, 1 + TOP + cls)
 
 
 def counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -178,23 +174,22 @@ class Totals:
         self.log_denominator = np.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def _token_stream(w: Words, unit: np.ndarray, context: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's tokens, each document's end (0) after its words: units, contexts one and two before, documents."""
+def _token_stream(w: Words, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's units, each document's end (0) after its words; those one and two before; each one's document."""
     ends = w.off[1:] + np.arange(n)
     is_word = np.ones(len(unit) + n, bool)
     is_word[ends] = False
-    u, c = np.zeros(len(is_word), np.int64), np.zeros(len(is_word) + 2, np.int64)
-    u[is_word] = unit
-    c[2:][is_word] = context
-    one, two = c[1:-1], c[:-2].copy()
+    c = np.zeros(len(is_word) + 2, np.int64)
+    c[2:][is_word] = unit
+    two = c[:-2].copy()
     two[w.off[:-1] + np.arange(n)] = 0  # a document's first token has only ends before it
-    return u, one, two, np.repeat(np.arange(n), w.n + 1)
+    return c[2:], c[1:-1], two, np.repeat(np.arange(n), w.n + 1)
 
 
 def start_model(unit_share: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(4)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return {"R": small(CONTEXTS, WIDTH), "Q": small(UNITS, WIDTH), "C1": np.eye(WIDTH, dtype=np.float32), "C2": 0.5 * np.eye(WIDTH, dtype=np.float32), "b": np.log(unit_share).astype(np.float32).reshape(-1, WIDTH)}
+    return {"R": small(UNITS, WIDTH), "Q": small(UNITS, WIDTH), "C1": np.eye(WIDTH, dtype=np.float32), "C2": 0.5 * np.eye(WIDTH, dtype=np.float32), "b": np.log(unit_share).astype(np.float32).reshape(-1, WIDTH)}
 
 
 def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +245,7 @@ def train(docs: DataFrame, lex: Lexicon, tokens: float, unit_share: np.ndarray)
         for x in batches:
             for b in blocks(x.column(1)):
                 w = b.words(lower=True)
-                u, one, two, doc = _token_stream(w, *lex.units(*lex.find(b, w)), b.n)
+                u, one, two, doc = _token_stream(w, lex.units(*lex.find(b, w)), b.n)
                 off = np.searchsorted(doc, np.arange(b.n + 1))
                 of, i, body = [], [], []
                 for d in range(b.n):
@@ -268,7 +263,7 @@ def train(docs: DataFrame, lex: Lexicon, tokens: float, unit_share: np.ndarray)
             u, one, two = np.concatenate(held, axis=1).astype(np.int64)
             m = train_shard(start, unit_share, u, one, two)
             n = {k: np.full(len(v), float(len(u))) for k, v in m.items()}
-            n["R"] = np.bincount(np.concatenate([one, two]), minlength=CONTEXTS) + 1e-6
+            n["R"] = np.bincount(np.concatenate([one, two]), minlength=UNITS) + 1e-6
             n = np.concatenate([n[k] for k in parts])
             rows = np.concatenate([m[k] for k in parts]) * n[:, None]
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["i", "v", "n"])
@@ -296,24 +291,37 @@ class Network:
     """The trained parameters, ready to score."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        self.a1, self.a2 = model["R"] @ model["C1"].T, model["R"] @ model["C2"].T
-        self.q, self.bias = np.ascontiguousarray(model["Q"].T), model["b"].ravel()
-        length = lambda x: float(np.sqrt((x * x).sum(1)).max())
-        #: Whether no score can be so large that its power overflows.
-        self.small = (length(self.a1) + length(self.a2)) * length(model["Q"]) + float(np.abs(self.bias).max()) < 80
+        self.a1, self.a2, self.q, self.bias = model["R"] @ model["C1"].T, model["R"] @ model["C2"].T, model["Q"], model["b"].ravel()
+
+    def partition_sums(self, two: np.ndarray) -> np.ndarray:
+        """log of the sum over all units, for these units two before and each unit one before."""
+        out = np.empty((len(two), UNITS), np.float32)
+        for i, k in enumerate(two):
+            s = (self.a1 + self.a2[k]) @ self.q.T + self.bias
+            top = s.max(1)
+            out[i] = top + np.log(np.exp(s - top[:, None]).sum(1))
+        return out
+
+    def normalised(self, spark: SparkSession) -> Network:
+        """With the table of log partition sums, of UNITS * UNITS numbers, made in tasks."""
+
+        def run(batches):
+            for x in batches:
+                two = x.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([r.tobytes() for r in self.partition_sums(two)], pa.binary())], names=["two", "z"])
+
+        tasks = spark.sparkContext.defaultParallelism
+        rows = spark.range(0, UNITS, 1, min(UNITS, 4 * tasks)).toDF("two").mapInArrow(run, "two bigint, z binary").orderBy("two").collect()
+        self.log_z = np.stack([np.frombuffer(r.z, np.float32) for r in rows])
+        return self
 
     def log_p(self, u: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural log-probability of each unit after its contexts."""
-        out = np.empty(len(u), np.float32)
-        for at in range(0, len(u), CHUNK):
-            c = slice(at, at + CHUNK)
-            s = (self.a1[one[c]] + self.a2[two[c]]) @ self.q
-            s += self.bias
-            if not self.small:
-                s -= s.max(1, keepdims=True)
-            own = s[np.arange(len(s)), u[c]]
-            out[c] = own - np.log(np.exp(s, out=s).sum(1))
-        return out
+        p = np.empty(len(u), np.float32)
+        for at in range(0, len(u), 1 << 15):
+            c = slice(at, at + (1 << 15))
+            p[c] = np.einsum("ij,ij->i", self.a1[one[c]] + self.a2[two[c]], self.q[u[c]]) + self.bias[u[c]] - self.log_z[two[c], one[c]]
+        return p
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -323,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
     lex = Lexicon(frequent_words(docs))
     table = saved(counts(docs, lex), "counts")
     tot = Totals(lex, table)
-    return scored(docs, lex, table, tot, Network(train(docs, lex, tot.tokens, tot.unit_share)))
+    return scored(docs, lex, table, tot, Network(train(docs, lex, tot.tokens, tot.unit_share)).normalised(docs.sparkSession))
 
 
 def scored(docs: DataFrame, lex: Lexicon, table: DataFrame, tot: Totals, network: Network) -> DataFrame:
@@ -338,8 +346,8 @@ def scored(docs: DataFrame, lex: Lexicon, table: DataFrame, tot: Totals, network
             for b in blocks(x.column(3)):
                 w = b.words(lower=True)
                 at, cls = lex.find(b, w)
-                unit, context = lex.units(at, cls)
-                u, one, two, doc = _token_stream(w, unit, context, b.n)
+                unit = lex.units(at, cls)
+                u, one, two, doc = _token_stream(w, unit, b.n)
                 base = np.bincount(w.doc, weights=log_c[at], minlength=b.n) + end
                 shares = np.where(unit > TOP, log_c[at] - mass[cls], 0)
                 own = np.bincount(doc, weights=network.log_p(u, one, two), minlength=b.n) * nats + np.bincount(w.doc, weights=shares, minlength=b.n)
