@@ -88,57 +88,20 @@ def best_title_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tupl
     return fold(df, keys, order, decide, "cluster int")
 
 
-def relation(a: dict, b: dict) -> str:
-    """same, related or different, for two signatures: sets models, subjects, entities, dates, tokens, and text.
-
-    Named conflicts first: models that differ altogether, or entities that do with no product in common, keep stories
-    apart whatever else they share.
-    """
-    common = {k: a[k] & b[k] for k in ("models", "subjects", "entities", "dates", "tokens")}
-    if a["models"] and b["models"] and not common["models"]:
-        return "different"
-    if a["entities"] and b["entities"] and not (common["entities"] or common["subjects"] or common["models"]):
-        return "different"
-    if common["models"]:
-        fewer = min(len(a["models"]), len(b["models"]))
-        return "related" if fewer >= 3 and len(common["models"]) < 2 and len(common["models"]) < 0.5 * fewer else "same"
-    if common["subjects"]:
-        return "same"
-    if common["entities"] and common["dates"]:
-        left, right = a["text"], b["text"]
-        for name in sorted(common["entities"] | common["dates"], key=len, reverse=True):
-            left, right = left.replace(name, ""), right.replace(name, "")
-        if SequenceMatcher(None, left, right).find_longest_match().size >= 3:
-            return "same"
-    n, union = len(common["tokens"]), len(a["tokens"] | b["tokens"])
-    jaccard = n / max(1, union)
-    if (n >= 5 and jaccard >= 0.52) or (common["entities"] and n >= 4 and jaccard >= 0.22):
-        return "same"
-    if a["text"] and b["text"] and SequenceMatcher(None, a["text"], b["text"]).ratio() >= 0.68:
-        return "same"
-    return "related" if common["entities"] or n >= 2 else "different"
-
-
-SIGNATURE = ("models", "subjects", "entities", "dates", "tokens")
-
-
-def story_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Joins a row to the first story whose first row is the same story and none of whose rows is a different one.
-    Chains don't form: every member was compared. df has the columns of SIGNATURE and text. Adds cluster (from 0)."""
+def joined_stories(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], same: str, near: str, own: str) -> DataFrame:
+    """Joins a row to the first story whose first row is in its `same` ids and all of whose rows are in its `near` ids,
+    else opens one. Chains don't form: a row was compared with every member. Adds cluster (from 0)."""
 
     def decide(rows):
-        stories: list[list[dict]] = []
+        stories: list[list] = []
         out = []
-        for r in rows[[*SIGNATURE, "text"]].to_dict("records"):
-            s = {k: set(r[k]) for k in SIGNATURE} | {"text": r["text"] or ""}
-            for i, members in enumerate(stories):
-                if relation(s, members[0]) == "same" and all(relation(s, m) != "different" for m in members[1:]):
-                    members.append(s)
-                    break
-            else:
-                i = len(stories)
-                stories.append([s])
-            out.append(i)
+        for i, ok, compatible in zip(rows[own], rows[same], rows[near], strict=True):
+            ok, compatible = set(ok), set(compatible)
+            place = next((k for k, members in enumerate(stories) if members[0] in ok and compatible.issuperset(members)), len(stories))
+            if place == len(stories):
+                stories.append([])
+            stories[place].append(i)
+            out.append(place)
         return {"cluster": out}
 
     return fold(df, keys, order, decide, "cluster int")

@@ -74,3 +74,44 @@ def same_sets(df: DataFrame, owner: str, member: str) -> DataFrame:
     sets = df.groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias("members"))
     x = sets.groupBy("members").agg(F.array_sort(F.collect_list(owner)).alias("owners")).filter(F.size("owners") > 1)
     return x.select(F.col("owners"), F.size("members").alias("n_members"))
+
+
+def near_hashes(df: DataFrame, own: str, bits: str, most: int, keys: Sequence[str] = ()) -> DataFrame:
+    """left_id, right_id, distance: pairs of 64-bit hashes, of one key, that differ in at most `most` bits.
+
+    Equal hashes are a class: its first row is linked with each other one (distance 0), and stands for them in pairs
+    with other classes. Two hashes within `most` bits have one of most + 1 pieces in common, so classes meet by an
+    equi-join on pieces (of 8 bits and more, so `most` is 1 to 7).
+    """
+    first = df.groupBy(*keys, bits).agg(F.min(own).alias("left_id"))
+    same = df.join(first, [*keys, bits]).filter(F.col(own) != F.col("left_id")).select("left_id", F.col(own).alias("right_id"), F.lit(0).alias("distance"))
+    width = 64 // (most + 1)
+    size = [width] * most + [64 - width * most]  # the last piece takes what is left
+    marks = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(bits, k * width).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for k, n in enumerate(size)])
+    x = first.select(*keys, "left_id", bits, F.explode(marks).alias("m"))
+    y = x.select(*keys, F.col("left_id").alias("right_id"), F.col(bits).alias("_other"), "m")
+    p = x.join(y, [*keys, "m"]).filter("left_id < right_id").withColumn("distance", F.bit_count(F.col(bits).bitwiseXOR(F.col("_other")))).filter(F.col("distance") <= most)
+    return p.select("left_id", "right_id", "distance").distinct().unionByName(same)
+
+
+def similar_sets(df: DataFrame, own: str, items: str, least: int, share: float) -> DataFrame:
+    """left_id, right_id, n_shared, overlap: pairs of sets with `least` shared items and an overlap of `share` of the
+    smaller set. Equal sets are a class: its first row is linked with each other one, and stands for them.
+
+    A pair shares at least m = max(least, share * n) of the smaller set's n items, so one of that set's n - m + 1
+    rarest: these are joined with all items of the sets that are as large or larger. No pair is lost, and what most
+    sets have meets few. Pairs are counted on the full sets.
+    """
+    sets = df.select(own, F.array_sort(items).alias("s")).filter(F.size("s") >= least)
+    first = sets.groupBy("s").agg(F.min(own).alias("left_id"))
+    same = sets.join(first, "s").filter(F.col(own) != F.col("left_id")).select("left_id", F.col(own).alias("right_id"), F.size("s").cast("bigint").alias("n_shared"), F.lit(1.0).alias("overlap"))
+    one = first.select("left_id", "s", F.size("s").alias("n"), F.explode("s").alias("item"))
+    frequency = one.groupBy("item").agg(F.count("*").alias("df"))
+    placed = one.join(frequency, "item").withColumn("place", F.row_number().over(Window.partitionBy("left_id").orderBy("df", "item")))
+    need = F.greatest(F.lit(least), F.ceil(F.col("n") * share - 1e-9))
+    rare = placed.filter(F.col("place") <= F.col("n") - need + 1).select(F.col("left_id").alias("a"), F.col("n").alias("na"), "item")
+    near = rare.join(one.select(F.col("left_id").alias("b"), F.col("n").alias("nb"), "item"), "item").filter("na < nb or (na = nb and a < b)").select("a", "b").distinct()
+    p = near.join(first.toDF("sa", "a"), "a").join(first.toDF("sb", "b"), "b").withColumn("n_shared", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
+    overlap = F.col("n_shared") / F.least(F.size("sa"), F.size("sb"))
+    p = p.filter((F.col("n_shared") >= least) & (overlap >= share - 1e-12)).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "n_shared", overlap.alias("overlap"))
+    return p.unionByName(same)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.sinks.scratch import stored
+
 
 def best(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -25,6 +27,16 @@ def ranked(df: DataFrame, name: str, *order: Column, within: Sequence[str] = ())
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """With each row's place in the whole table: sorted by range, numbered within a range, moved on by the ranges before."""
+    low = (1 << 33) - 1  # of these bits is a row's number in its partition
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    x = stored(x, "numbered").withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(low)))
+    size = x.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = size.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return x.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def first_reason(*rules: tuple[Column, str]) -> Column:
     """The reason of the first condition that holds; null if none does. A null condition doesn't hold."""
     out = F.lit(None).cast("string")

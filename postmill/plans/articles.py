@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import categorise, has_all_parts, has_any, hits, numbers, sentences, title_key, words
 from postmill.operators import text_rules as rules
-from postmill.operators.joins import first_of_sources, token_overlap
-from postmill.operators.select import audit, best, first_reason, ranked, top, within_budget
+from postmill.operators.joins import first_of_sources, similar_sets, token_overlap
+from postmill.operators.select import audit, best, first_reason, numbered, ranked, top, within_budget
 from postmill.plans.registry import query
 from postmill.sources.tables import ARTICLES_SQL, articles, table
 
@@ -107,19 +107,16 @@ def token_overlap_attach(spark, sf_dir):
 
 
 @query(f"""
-with {ARTICLES_SQL}, t as (select doc_id, {_WORDS("title")} as tokens from articles),
-x as (select doc_id, len(tokens) as n, unnest(tokens) as token from t), f as (select token from x group by 1 having count(*) <= 40),
-p as (select a.doc_id as left_id, b.doc_id as right_id, a.n as n_left, b.n as n_right, count(*) as n_shared from x a join f using (token) join x b using (token) where a.doc_id < b.doc_id group by all)
-select left_id, right_id, n_shared, round(n_shared / greatest(1, least(n_left, n_right)), 6) as overlap from p where n_shared >= 3 and n_shared / greatest(1, least(n_left, n_right)) >= 0.55""")
+with {ARTICLES_SQL}, t as (select doc_id, list_sort({_WORDS("title")}) as tokens from articles), s as (select * from t where len(tokens) >= 3),
+c as (select tokens, min(doc_id) as left_id from s group by 1), x as (select left_id, len(tokens) as n, unnest(tokens) as token from c),
+p as (select a.left_id, b.left_id as right_id, least(a.n, b.n) as n, count(*) as n_shared from x a join x b using (token) where a.left_id < b.left_id group by all)
+select left_id, right_id, n_shared, round(n_shared / n, 6) as overlap from p where n_shared >= 3 and n_shared / n >= 0.55
+union all select left_id, doc_id, len(tokens), 1.0 from s join c using (tokens) where doc_id <> left_id""")
 def overlap_coefficient_pairs(spark, sf_dir):
-    """Pairs of titles with three and more shared rarer tokens and an overlap of 0.55: an equi-join on tokens."""
+    """Pairs of different titles with three and more shared tokens and an overlap of 0.55; titles of equal tokens as
+    members of a class, which one of them stands for."""
     t = articles(spark, sf_dir).select("doc_id", F.array_distinct(words(F.col("title"))).alias("tokens"))
-    x = t.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    x = x.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df <= 40")
-    p = x.alias("a").join(x.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    p = p.groupBy(F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"), F.col("a.n").alias("n_left"), F.col("b.n").alias("n_right")).agg(F.count("*").alias("n_shared"))
-    share = F.col("n_shared") / F.greatest(F.lit(1), F.least("n_left", "n_right"))
-    return p.filter((F.col("n_shared") >= 3) & (share >= 0.55)).select("left_id", "right_id", "n_shared", F.round(share, 6).alias("overlap"))
+    return similar_sets(t, "doc_id", "tokens", 3, 0.55).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"""
@@ -153,7 +150,7 @@ def delivery_priority(spark, sf_dir):
     x = d.join(F.broadcast(most))  # one row
     p = rules.delivery_priority(F.col("n_chars"), F.col("most"), rules.flags(F.col("text"), TERMS))
     x = x.select("doc_id", *[c.alias(k) for k, c in p.items()])
-    return ranked(x, "delivery_rank", F.desc("priority"), F.asc("doc_id"))
+    return numbered(x, "delivery_rank", F.desc("priority"), F.asc("doc_id"))
 
 
 @query(f"""

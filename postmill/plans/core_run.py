@@ -9,6 +9,7 @@ from postmill.config import EngineConfig
 from postmill.functions.text import title_key
 from postmill.functions.url import canonical
 from postmill.operators import folds, scores
+from postmill.operators.components import components
 from postmill.operators.joins import upsert_seen
 from postmill.operators.select import first_reason
 from postmill.sinks.export import artefacts
@@ -42,15 +43,9 @@ def deduplicate(scored: DataFrame) -> DataFrame:
     runs by the components of shared keys, not over a day's rows in one task."""
     x = scored.withColumn("url_key", canonical(F.col("url"))).withColumn("title_key", title_key(F.col("title"))).withColumn("row_id", F.xxhash64("video_id", "url", "title", "raw_file", F.col("position").cast("string")))
     keys = x.select("row_id", F.explode(F.array(F.concat(F.lit("i:"), "video_id"), F.concat(F.lit("u:"), "url_key"), F.concat(F.lit("t:"), "title_key"))).alias("key")).filter("length(key) > 2")
-    label = x.select("row_id", F.col("row_id").alias("component"))
-    while True:  # the smallest row id within reach: each round reaches one key further
-        least = keys.join(label, "row_id").groupBy("key").agg(F.min("component").alias("m"))
-        new = keys.join(least, "key").groupBy("row_id").agg(F.min("m").alias("component"))
-        new = new.persist()
-        if new.join(label.withColumnRenamed("component", "old"), "row_id").filter("component <> old").isEmpty():
-            break
-        label = new
-    x = x.join(new, "row_id")
+    first = keys.groupBy("key").agg(F.min("row_id").alias("first"))
+    groups = components(keys.join(first, "key").select("row_id", "first"))
+    x = x.join(groups.toDF("row_id", "component"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     out = folds.multi_key_dedup(x.withColumn("vid", F.xxhash64("video_id")).drop("missing", "position"), ["component"], [("score", False), ("video_id", True)], ["video_id", "url_key", "title_key"], "vid")
     return out.drop("component", "row_id", "vid", "url_key", "title_key")
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from postmill.functions.ids import sign_bits
 from postmill.functions.text import numbers, pairs_of_characters, title_key, tokens, words
-from postmill.operators import folds
+from postmill.operators import folds, stories
+from postmill.operators.components import components
+from postmill.operators.joins import near_hashes
 from postmill.plans.registry import query
 from postmill.sources.tables import ARTICLES_SQL, POSTS_SQL, articles, posts, table
 
@@ -33,7 +35,12 @@ def multi_key_dedup(spark, sf_dir):
     k = articles(spark, sf_dir).select(
         "doc_id", "lang", "n_chars", F.concat_ws(":", "source", F.floor(F.col("n_chars") / 40)).alias("mark_a"), title_key(F.col("title")).alias("mark_b"), F.concat("lang", F.col("doc_id") % 97).alias("mark_c")
     )
-    x = folds.multi_key_dedup(k, ["lang"], [("n_chars", False), ("doc_id", True)], ["mark_a", "mark_b", "mark_c"], "doc_id")
+    # rows that share no mark can't meet: the fold is by components of shared marks, not over a language's rows
+    marks = k.select("doc_id", F.explode(F.array(*[F.concat_ws(":", F.lit(m), "lang", m) for m in ("mark_a", "mark_b", "mark_c")])).alias("mark"))
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    groups = components(marks.join(first, "mark").select("doc_id", "first"))
+    k = k.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    x = folds.multi_key_dedup(k, ["root"], [("n_chars", False), ("doc_id", True)], ["mark_a", "mark_b", "mark_c"], "doc_id")
     return x.select("doc_id", "lang", F.col("duplicate_of").isNull().alias("accepted"))
 
 
@@ -114,7 +121,7 @@ def story_clusters(spark, sf_dir):
         "doc_id", "source", F.substring(F.regexp_replace(F.lower(_title()), r"[^\p{L}\p{N}]", ""), 1, 1000).alias("text"), F.array_distinct(F.filter(w, lambda x: x.rlike("[0-9]"))).alias("models"),
         F.array_distinct(F.filter(w, lambda x: F.length(x) >= 14)).alias("subjects"), F.array().cast("array<string>").alias("entities"), F.array_distinct(numbers(_title())).alias("dates"), F.array_distinct(w).alias("tokens"),
     )
-    return folds.story_clusters(k, ["source"], [("doc_id", True)]).select("doc_id", "source", "cluster")
+    return stories.story_clusters(k, ["source"], "doc_id").select("doc_id", "source", "cluster")
 
 
 @query()
@@ -124,11 +131,19 @@ def card_merge(spark, sf_dir):
     return folds.merge_cards(k, ["conv_id"], [("turn", True)], "t", "numbers").select("conv_id", "turn", "card", "card_text")
 
 
-@query()
+@query("""
+with recursive h as (select vec_id, label, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits, row_number() over (partition by label order by vec_id) as rn from embeddings),
+f as (select label, rn, vec_id, true as accepted, [bits] as taken from h where rn = 1
+  union all select h.label, h.rn, h.vec_id, not list_bool_or(list_transform(f.taken, lambda t: hamming(t, h.bits) <= 4)),
+    case when list_bool_or(list_transform(f.taken, lambda t: hamming(t, h.bits) <= 4)) then f.taken else list_append(f.taken, h.bits) end from f join h on h.label = f.label and h.rn = f.rn + 1)
+select vec_id, label, accepted from f""")
 def near_dup_keep_first(spark, sf_dir):
-    """Hashes of a label in order, near ones of those kept left out."""
-    k = table(spark, sf_dir, "embeddings").select("vec_id", "label", sign_bits(F.slice("embedding", 1, 24)).alias("bits"))
-    return folds.drop_near_hashes(k, ["label"], [("vec_id", True)], "bits", 4).select("vec_id", "label", "pick")
+    """Hashes of a label in order, those within 4 bits of one kept left out; folded by components of near hashes."""
+    k = table(spark, sf_dir, "embeddings").select("vec_id", "label", sign_bits(F.col("embedding")).alias("bits"))
+    groups = components(near_hashes(k, "vec_id", "bits", 4, ["label"]).select("left_id", "right_id"))
+    x = k.join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+    x = folds.drop_near_hashes(x, ["label", "root"], [("vec_id", True)], "bits", 4)
+    return x.select("vec_id", "label", F.col("pick").isNotNull().alias("accepted"))
 
 
 @query()

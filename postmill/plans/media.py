@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmill.functions.ids import derived_id, hamming, sign_bits
+from postmill.functions.ids import derived_id, sign_bits
 from postmill.functions.number import clock
 from postmill.functions.url import canonical, host, redact
 from postmill.operators import verdicts
-from postmill.operators.joins import in_windows
+from postmill.operators.joins import in_windows, near_hashes
 from postmill.operators.select import chunks, evenly
 from postmill.plans.registry import query
 from postmill.sources import html
@@ -125,18 +125,12 @@ def face_class(spark, sf_dir):
 
 
 @query("""
-with b as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings), h as (select vec_id, list(x > 0 order by i) as bits from b where i <= 21 group by 1),
-d as (select a.vec_id as left_id, b.vec_id as right_id, len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2])) as distance from h a join h b on a.vec_id < b.vec_id)
-select left_id, right_id, cast(distance as int) as distance from d where distance <= 2""")
+with h as (select vec_id, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits from embeddings), c as (select bits, min(vec_id) as left_id from h group by 1)
+select a.left_id, b.left_id as right_id, cast(hamming(a.bits, b.bits) as int) as distance from c a join c b on a.left_id < b.left_id where hamming(a.bits, b.bits) <= 3
+union all select left_id, vec_id, 0 from h join c using (bits) where vec_id <> left_id""")
 def hamming_pairs(spark, sf_dir):
-    """Pairs of 21-bit hashes that differ in at most 2 bits: such a pair has one of three sevenths in common, so an
-    equi-join on these finds every pair and makes few others."""
-    h = table(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.slice("embedding", 1, 21)).alias("bits"))
-    piece = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bits", 7 * k).bitwiseAND(F.lit(127)).alias("piece")) for k in range(3)]
-    q = h.select("vec_id", "bits", F.explode(F.array(*piece)).alias("p")).select("vec_id", "bits", "p.k", "p.piece")
-    x = q.alias("a").join(q.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    x = x.select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), hamming(F.col("a.bits"), F.col("b.bits")).alias("distance")).filter("distance <= 2")
-    return x.distinct()
+    """Pairs of 64-bit hashes that differ in at most 3 bits; equal ones as members of a class, which one of them stands for."""
+    return near_hashes(table(spark, sf_dir, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 3)
 
 
 @query("""

@@ -112,10 +112,14 @@ def first_seen(posts: DataFrame) -> DataFrame:
 
 
 def with_hints(posts: DataFrame, hints: DataFrame) -> DataFrame:
-    """Creator files whose path names an account (account_id, account_name) belong to it."""
-    h = F.broadcast(hints.limit(10_000).select(F.col("account_id").alias("_id"), F.col("account_name").alias("_name")))  # an account list of the configuration
-    x = posts.join(h, (F.col("source") == "creator") & F.contains(F.lower("raw_file"), F.lower("_id")), "left")
-    return x.withColumn("account_id", F.coalesce("_id", "account_id")).withColumn("account_name", F.coalesce("_name", "account_name")).drop("_id", "_name")
+    """Creator files whose path names an account (account_id, account_name) belong to it; of several accounts that a
+    path names, to the one with the longest id (then the first). Paths are matched once each, posts join by their file."""
+    h = hints.select(F.col("account_id").alias("_id"), F.col("account_name").alias("_name")).filter("_id <> ''")
+    files = posts.filter("source = 'creator'").select("raw_file").distinct()
+    named = files.join(h, F.contains(F.lower("raw_file"), F.lower("_id")))
+    named = named.groupBy("raw_file").agg(F.min_by(F.struct("_id", "_name"), F.struct(-F.length("_id"), "_id", "_name")).alias("_hint"))
+    x = posts.join(named, "raw_file", "left").withColumn("_hint", F.when(F.col("source") == "creator", F.col("_hint")))
+    return x.withColumn("account_id", F.coalesce("_hint._id", "account_id")).withColumn("account_name", F.coalesce("_hint._name", "account_name")).select(*posts.columns)
 
 
 def newest(spark: SparkSession, folder: str, pattern: str = "*", most: int = 20) -> list[str]:
