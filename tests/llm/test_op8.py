@@ -14,9 +14,9 @@ def corpus(seed=8):
     r = random.Random(seed)
     vocab = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 6))) for _ in range(900)]
     say = lambda n: " ".join(vocab[min(int(r.paretovariate(0.6)), 899)] for _ in range(n))
-    items = [(i, say(r.randint(5, 90))) for i in range(70)] + [(70, None), (71, "a b"), (72, "")]
+    items = [(i, say(r.randint(5, 90))) for i in range(70)] + [(70, None), (71, "zz yy"), (72, "")]
     items += [(73, items[3][1]), (74, say(150)), (75, say(700)), (76, "日本語の問題です。答えは何ですか"), (None, "no id has this one here")]
-    docs = [None, "", "x", say(3000), "so a b it is", "a x b", say(300) + " " + items[74][1] + " " + say(90), say(40) + " " + items[75][1], "これは日本語の問題です。答えは何ですか？ " + say(9), "no id has this one here"]
+    docs = [None, "", "x", say(3000), "so zz yy it is", "zz x yy", say(300) + " " + items[74][1] + " " + say(90), say(40) + " " + items[75][1], "これは日本語の問題です。答えは何ですか？ " + say(9), "no id has this one here"]
     docs.append(say(77) + " " + " ".join(x for i, x in enumerate(items[75][1].split()) if i % 9))  # some words left out
     for i in range(60):
         t = say(r.randint(1, 400))

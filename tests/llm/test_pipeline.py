@@ -18,7 +18,8 @@ def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("pipe"))
     items, leaking = test_op8.corpus()
     texts = [t for _, t in test_op3.corpus()] + leaking + test_op5.texts()
-    texts += [f"{t}\npassword=abcdef{i} end of a line with enough words to stay" for i, t in enumerate(leaking[4:24])]
+    # words in another order: neither near copies of the others nor benchmark items
+    texts += [f"{' '.join(reversed(t.split()))}\npassword=abcdef{i} end of a line with enough words to stay" for i, t in enumerate(leaking[14:34])]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
