@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -87,8 +88,10 @@ def _clean() -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished jobs now: it does so once the plans that named them are
     collected, which a driver with little garbage puts off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the driver's JVM a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def row_key(text: Column, doc_id: Column) -> Column:
