@@ -122,11 +122,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The query in DuckDB SQL: the list by an exact semi-join.
 SQL = r"""
-with a as (select page_id, url, coalesce(instr(url, '://'), 0) as at from pages),
-b as (select page_id, url, case when at > 0 then substr(url, at + 3) else '' end as rest, at from a),
+with a as (select page_id, url, coalesce(instr(url, '://'), 0) as pos from pages),
+b as (select page_id, url, case when pos > 0 then substr(url, pos + 3) else '' end as rest, pos from a),
 c as (select *, regexp_extract(rest, '^[^/?#]*') as h from b),
-d as (select page_id, url, at, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from c),
-e as (select *, case when at > 0 then regexp_replace(case when lower(substr(url, 1, 5)) = 'https' then regexp_replace(host, ':443\z', '') else regexp_replace(host, ':80\z', '') end, '^www\.', '') || regexp_replace(path, '/+\z', '') end as key from d),
+d as (select page_id, url, pos, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from c),
+e as (select *, case when pos > 0 then regexp_replace(case when lower(substr(url, 1, 5)) = 'https' then regexp_replace(host, ':443\z', '') else regexp_replace(host, ':80\z', '') end, '^www\.', '') || regexp_replace(path, '/+\z', '') end as key from d),
 l as (select distinct key from e where list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) and key is not null),
 r as (select e.*, case when host = 'example.com' or ends_with(host, '.example.com') then starts_with(path, '/de/') else false end as com,
     (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') as net_en, (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') as net, (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') as org from e)
