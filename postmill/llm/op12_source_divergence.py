@@ -26,12 +26,15 @@ gives no rows. A very long text is read in pieces of PIECE bytes (and the rest o
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,8 +47,8 @@ PIECE = 1 << 20
 SCALE = 10**9
 MIN_DOCS = 3
 TOP = 200
-#: Counters of a task's tries (about 200 bytes each), rows of an Arrow batch, pairs at a time, pairs' sums of a task, and groups to broadcast.
-MAX_COUNTERS, ROWS, PAIRS, MAX_SUMS, MAX_GROUPS = 1 << 18, 2000, 1 << 21, 1 << 20, 100_000
+#: Counters of a task's tries (about 300 bytes each, with their terms), rows of an Arrow batch, pairs at a time, pairs' sums of a task, and groups to broadcast.
+MAX_COUNTERS, ROWS, PAIRS, MAX_SUMS, MAX_GROUPS = 1 << 20, 2000, 1 << 21, 1 << 20, 100_000
 LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 
 
@@ -61,14 +64,23 @@ class Node:
 
 
 class RadixTrie:
-    """Terms by their bytes; an edge holds all bytes up to the next branch or the end of a term."""
+    """Terms by their bytes; an edge holds all bytes up to the next branch or the end of a term. ends: the leaves by term,
+    so that only a new term is walked down to its place."""
 
     def __init__(self):
         self.root = Node()
+        self.ends: dict[bytes, Node] = {}
         self.counters = 0
 
     def leaf(self, term: bytes) -> Node:
         """The node at which the term ends, made where it isn't there yet."""
+        node = self.ends.get(term)
+        if node is None:
+            node = self.ends[term] = self._made(term)
+            node.counts = {}
+        return node
+
+    def _made(self, term: bytes) -> Node:
         node, at, n = self.root, 0, len(term)
         while at < n:
             if node.edges is None:
@@ -90,13 +102,16 @@ class RadixTrie:
             node, at = below, at + len(label)
         return node
 
-    def add(self, term: bytes, source: str, count: int) -> None:
-        node = self.leaf(term)
-        if node.counts is None:
-            node.counts = {}
-        if source not in node.counts:
-            self.counters += 1
-        node.counts[source] = node.counts.get(source, 0) + count
+    def add(self, source: str, counts: Mapping[bytes, int]) -> None:
+        """Occurrences of terms in a source."""
+        get = self.ends.get
+        for term, n in counts.items():
+            held = (get(term) or self.leaf(term)).counts
+            if source in held:
+                held[source] += n
+            else:
+                held[source] = n
+                self.counters += 1
 
     def leaves(self) -> Iterator[tuple[bytes, Node]]:
         """All terms, in the order of their bytes."""
@@ -124,32 +139,30 @@ def pieces(text: bytes) -> Iterator[bytes]:
 def written(tries: dict[str, RadixTrie]) -> Iterator[pa.RecordBatch]:
     """The tries' leaves, language by language, in the order of their bytes."""
     for lang, trie in tries.items():
-        yield from batches_of((lang, t, x.docs, list(x.counts), list(x.counts.values())) for t, x in trie.leaves())
-
+        leaves = trie.leaves()
+        while part := list(islice(leaves, ROWS)):
+            off = np.cumsum([0, *(len(x.counts) for _, x in part)], dtype=np.int32)
+            names, counts = chain.from_iterable(x.counts for _, x in part), chain.from_iterable(x.counts.values() for _, x in part)
+            yield leaf_batch(pa.array([lang] * len(part)), pa.array([t for t, _ in part], pa.binary()), pa.array([x.docs for _, x in part]), off, pa.array(names, pa.string()), pa.array(counts, pa.int64()))
 
-def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    part = []
-    for r in rows:
-        part.append(r)
-        if len(part) == ROWS:
-            yield leaf_batch(part)
-            part = []
-    if part:
-        yield leaf_batch(part)
 
-
-def leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, docs, sources, counts = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang), pa.array(term, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-        names=["lang", "term", "docs", "sources", "counts"],
-    )
+def leaf_batch(lang: pa.Array, term: pa.Array, docs: pa.Array, off: np.ndarray, names: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    """off: where each leaf's counters (names, counts) begin, and the end of the last."""
+    off = pa.array(off, pa.int32())
+    return pa.RecordBatch.from_arrays([lang, term.cast(pa.string()), docs, pa.ListArray.from_arrays(off, names), pa.ListArray.from_arrays(off, counts)], names=["lang", "term", "docs", "sources", "counts"])
 
 
 def tries(docs: DataFrame) -> DataFrame:
     """Leaves of the tries of all tasks: lang, term, docs, sources, counts."""
 
     def run(batches):
+        gc.disable()  # millions of live objects without a cycle: looking for cycles took half of the time
+        try:
+            yield from counted(batches)
+        finally:
+            gc.enable()
+
+    def counted(batches):
         held, names = {}, {}
         for x in batches:
             text = x.column(0).cast(pa.large_string()).cast(pa.large_binary())
@@ -163,12 +176,11 @@ def tries(docs: DataFrame) -> DataFrame:
                     seen.update(terms)
                 in_docs.setdefault(lang, Counter()).update(seen)
             for (lang, source), count in counts.items():
-                trie = held.setdefault(lang, RadixTrie())
-                for term, n in count.items():
-                    trie.add(term, source, n)
+                held.setdefault(lang, RadixTrie()).add(source, count)
             for lang, seen in in_docs.items():
+                ends = held[lang].ends
                 for term, n in seen.items():
-                    held[lang].leaf(term).docs += n
+                    ends[term].docs += n
             if sum(t.counters for t in held.values()) > MAX_COUNTERS:
                 yield from written(held)
                 held = {}
@@ -177,29 +189,47 @@ def tries(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang", "source").mapInArrow(run, LEAF)
 
 
+def summed(x: pa.RecordBatch, min_docs: int, ends: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """Leaves in order -> one a term, of those in min_docs documents; and, unless the rows end here, the last term's
+    leaf apart, since its rows may go on."""
+    lang, term, docs, sources, counts = x.columns
+    other = lambda c: pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    new = np.concatenate([[True], other(lang) | other(term)])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(docs.to_numpy(), first)
+    keep = total >= min_docs
+    if not ends:
+        keep[-1] = True
+    group = (np.cumsum(keep) - 1)[np.cumsum(new) - 1]  # among those to keep
+    entry = np.repeat(keep[np.cumsum(new) - 1], np.diff(sources.offsets))
+    names = sources.values.slice(sources.offsets[0].as_py(), len(entry)).dictionary_encode()
+    value = counts.values.slice(counts.offsets[0].as_py(), len(entry)).to_numpy()[entry]
+    key = np.repeat(group, np.diff(sources.offsets))[entry] * len(names.dictionary) + names.indices.to_numpy()[entry]
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    value, key = (np.add.reduceat(value, at), key[at]) if len(at) else (value, key)
+    size = max(1, len(names.dictionary))
+    off = np.searchsorted(key // size, np.arange(int(keep.sum()) + 1))
+    kept = pa.array(first[keep])
+    out = leaf_batch(lang.take(kept), term.take(kept).cast(pa.binary()), pa.array(total[keep]), off, names.dictionary.take(pa.array(key % size)), pa.array(value))
+    return (out, None) if ends else (out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1))
+
+
 def merged(leaves: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One leaf a term of a language, of those in min_docs documents; each task has a range of prefixes."""
 
     def run(batches):
-        def rows():
-            at, docs, counts = None, 0, {}
-            for x in batches:
-                langs, terms, ns = x.column(0).to_pylist(), x.column(1).cast(pa.binary()).to_pylist(), x.column(2).to_pylist()
-                sources, values = x.column(3), x.column(4)
-                off = sources.offsets.to_pylist()
-                flat, value = sources.values.to_pylist(), values.values.to_pylist()
-                for k, key in enumerate(zip(langs, terms)):
-                    if key != at:
-                        if docs >= min_docs:
-                            yield (*at, docs, list(counts), list(counts.values()))
-                        at, docs, counts = key, 0, {}
-                    docs += ns[k]
-                    for i in range(off[k], off[k + 1]):
-                        counts[flat[i]] = counts.get(flat[i], 0) + value[i]
-            if docs >= min_docs:
-                yield (*at, docs, list(counts), list(counts.values()))
-
-        return batches_of(rows())
+        carry = None
+        for x in batches:
+            if x.num_rows:
+                x = pa.RecordBatch.from_arrays(x.columns, names=["lang", "term", "docs", "sources", "counts"])
+                if carry is not None:
+                    x = pa.Table.from_batches([carry, x.cast(carry.schema)]).combine_chunks().to_batches()[0]
+                out, carry = summed(x, min_docs, ends=False)
+                yield out
+        if carry is not None:
+            yield summed(carry, min_docs, ends=True)[0]
 
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return leaves.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)

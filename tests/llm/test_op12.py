@@ -83,7 +83,7 @@ def test_the_trie_is_an_ordered_map():
     for _ in range(5000):
         term = bytes(rnd.choices(b"ab\xc3\xa9\xff", k=rnd.randrange(1, 7)))
         source = rnd.choice("xyz")
-        trie.add(term, source, 2)
+        trie.add(source, {term: 2})
         want[term][source] += 2
     assert [(t, x.counts) for t, x in trie.leaves()] == sorted((t, dict(c)) for t, c in want.items())
     assert trie.counters == sum(map(len, want.values()))
