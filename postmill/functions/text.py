@@ -118,8 +118,14 @@ def tokens(text: Column) -> Column:
 
 def pairs_of_characters(title: Column) -> Column:
     """Distinct pairs of neighbouring characters among a title's ASCII letters, digits and CJK characters."""
-    t = F.regexp_replace(F.lower(title), r"[^0-9a-z一-鿿]", "")
-    return F.when(F.length(t) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(runs_of(F.regexp_replace(F.lower(title), r"[^0-9a-z一-鿿]", ""), 2), F.array().cast("array<string>"))
+
+
+def runs_of(text: Column, size: int) -> Column:
+    """Distinct runs of `size` characters. The text is an element, so that it isn't made anew for each of its runs."""
+    last = lambda t: F.length(t) - (size - 1)
+    cut = lambda t: F.when(last(t) >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last(t), F.lit(1))), lambda i: F.substring(t, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(text), cut)[0]
 
 
 def overlap(a: Column, b: Column) -> Column:

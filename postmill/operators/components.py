@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.sinks.scratch import stored
+from postmill.sinks.scratch import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     both = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
     label = stored(both.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    before = label
     while True:
         near = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", F.least("root", "near").alias("via"), F.col("root").alias("old"))
         jump = label.select(F.col("node").alias("via"), F.col("root").alias("far"))
         now = stored(step.join(jump, "via").select("node", F.least("via", "far").alias("root"), "old"), "labels")
-        label = now.select("node", "root")
+        forget(before)
+        label, before = now.select("node", "root"), now
         if now.filter("root <> old").isEmpty():
+            forget(both)
             return label

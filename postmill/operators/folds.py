@@ -12,6 +12,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from postmill.operators.joins import near_hashes
+from postmill.operators.rounds import first_fit, in_order, kept_out, picks
+from postmill.operators.select import numbered
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], decide: Callable[[pd.DataFrame], dict[str, list]], added: str) -> DataFrame:
@@ -26,28 +31,12 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]],
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def multi_key_dedup(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], marks: Sequence[str], id_column: str) -> DataFrame:
-    """Drops a row if one of its marks was registered by a row that was accepted before; a dropped row registers none.
-    Empty and null marks never match. Adds duplicate_of (null: accepted)."""
-
-    def decide(rows):
-        seen: list[dict] = [{} for _ in marks]
-        out = []
-        for values, own in zip(rows[list(marks)].itertuples(index=False), rows[id_column], strict=True):
-            hit = next((s[v] for s, v in zip(seen, values, strict=True) if v and not pd.isna(v) and v in s), None)
-            out.append(hit)
-            if hit is None:
-                for s, v in zip(seen, values, strict=True):
-                    if v and not pd.isna(v):
-                        s[v] = own
-        return {"duplicate_of": pd.array(out, dtype="Int64")}
-
-    return fold(df, keys, order, decide, "duplicate_of bigint")
-
-
 def token_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], tokens: str, least: int = 3, share: float = 0.55, grow: bool = True) -> DataFrame:
     """Joins a row to the first cluster with `least` shared tokens and an overlap of `share` of the smaller set, else
-    opens one. grow: a cluster takes its rows' tokens up; otherwise its first row's stand for it. Adds cluster (from 0)."""
+    opens one. grow: a cluster takes its rows' tokens up, so that it depends on all rows before it; otherwise its first
+    row's stand for it, and rounds find the clusters. Adds cluster (from 0)."""
+    if not grow:
+        return first_fit(df, keys, order, tokens, least, share)
 
     def decide(rows):
         clusters: list[set] = []
@@ -61,8 +50,7 @@ def token_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
             else:
                 i = len(clusters)
                 clusters.append(set())
-            if grow or not clusters[i]:
-                clusters[i] |= t
+            clusters[i] |= t
             out.append(i)
         return {"cluster": out}
 
@@ -71,21 +59,7 @@ def token_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
 
 def best_title_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], pairs: str, share: float = 0.55) -> DataFrame:
     """Joins an article to the event whose first title is most like its own (overlap of `share`), else opens one."""
-
-    def decide(rows):
-        titles: list[set] = []
-        out = []
-        for t in rows[pairs]:
-            t = set(t)
-            scores = [len(t & c) / max(1, min(len(t), len(c))) for c in titles]
-            best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
-            if best is None or scores[best] < share or scores[best] <= 0:
-                best = len(titles)
-                titles.append(t)
-            out.append(best)
-        return {"cluster": out}
-
-    return fold(df, keys, order, decide, "cluster int")
+    return first_fit(df, keys, order, pairs, 1, share, best=True)
 
 
 def joined_stories(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], same: str, near: str, own: str) -> DataFrame:
@@ -138,25 +112,16 @@ def merge_cards(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, b
 def drop_near_hashes(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], bits: str, most: int = 3, limit: int | None = None, scene: str | None = None) -> DataFrame:
     """Takes rows in order unless their hash is within `most` bits of one taken. With a limit and a scene column, each
     pick is the first row of a scene not taken yet, or the first at all. Adds pick (from 0; null: left out)."""
-
-    def decide(rows):
-        values = [int(v) & (2**64 - 1) for v in rows[bits]]
-        scenes = list(rows[scene]) if scene else [None] * len(rows)
-        pick: list[int | None] = [None] * len(rows)
-        taken: list[int] = []
-        left = list(range(len(rows)))
-        while left and (limit is None or len(taken) < limit):
-            left = [i for i in left if all((values[i] ^ values[j]).bit_count() > most for j in taken)]
-            if not left:
-                break
-            used = {scenes[j] for j in taken}
-            i = next((i for i in left if scenes[i] is not None and scenes[i] not in used), left[0])
-            pick[i] = len(taken)
-            taken.append(i)
-            left.remove(i)
-        return {"pick": pd.array(pick, dtype="Int32")}
-
-    return fold(df, keys, order, decide, "pick int")
+    if limit is not None:
+        far = lambda taken: F.forall(taken, lambda t: F.bit_count(t[bits].bitwiseXOR(F.col(bits))) > most)
+        new = (lambda taken: far(taken) & F.col(scene).isNotNull() & ~F.exists(taken, lambda t: F.coalesce(t[scene] == F.col(scene), F.lit(False)))) if scene else (lambda taken: F.lit(False))
+        return picks(df, keys, order, [bits, *([scene] if scene else [])], [(new, far)] * limit, "pick")
+    x = numbered(df, "_place", *in_order(order))
+    out = kept_out(near_hashes(x, "_place", bits, most, keys).select("left_id", "right_id"))
+    x = x.join(out.select(F.col("node").alias("_place")).distinct().withColumn("_out", F.lit(True)), "_place", "left")
+    taken = numbered(x.filter("_out is null").select(F.struct(*keys).alias("_key"), F.col("_place").alias("_own")), "_n", F.asc("_key"), F.asc("_own"))
+    taken = taken.join(taken.groupBy("_key").agg(F.min("_n").alias("_begin")), "_key").select(F.col("_own").alias("_place"), (F.col("_n") - F.col("_begin")).cast("int").alias("pick"))
+    return x.drop("_out").join(taken, "_place", "left").drop("_place")
 
 
 def download_budget(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: str, usable: str, most_items: int, most_bytes: int, most_item: int) -> DataFrame:
@@ -208,29 +173,13 @@ def material_quota(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
 
 
 def main_and_support(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], author: str, source: str, seconds: str, least_seconds: float, mains: int = 2) -> DataFrame:
-    """At most two mains, one an author: first of different sources, then of any; if none is long enough, the first
+    """At most `mains` mains, one an author: first of different sources, then of any; if none is long enough, the first
     at all. The others support. Adds role."""
-
-    def decide(rows):
-        chosen: list[int] = []
-
-        def fill(least, new_source):
-            for i in range(len(rows)):
-                if len(chosen) >= mains:
-                    return
-                r = rows.iloc[i]
-                taken = rows.iloc[chosen]
-                if i in chosen or r[seconds] < least or r[author] in set(taken[author]) or (new_source and r[source] in set(taken[source])):
-                    continue
-                chosen.append(i)
-
-        fill(least_seconds, True)
-        fill(least_seconds, False)
-        if not chosen:
-            fill(0.0, False)
-        return {"role": ["main" if i in chosen else "support" for i in range(len(rows))]}
-
-    return fold(df, keys, order, decide, "role string")
+    new = lambda c: lambda taken: ~F.exists(taken, lambda t: t[c].eqNullSafe(F.col(c)))
+    long = lambda taken: (F.col(seconds) >= least_seconds) & new(author)(taken)
+    rounds = [(lambda taken: long(taken) & new(source)(taken), long, lambda taken: (F.col(seconds) >= 0) & new(author)(taken) & F.forall(taken, lambda t: t[seconds] < least_seconds))] * mains
+    x = picks(df, keys, order, [author, source, seconds], rounds, "_main")
+    return x.withColumn("role", F.when(F.col("_main").isNotNull(), "main").otherwise("support")).drop("_main")
 
 
 def text_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], length: str, budget: int) -> DataFrame:

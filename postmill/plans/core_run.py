@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from postmill.config import EngineConfig
 from postmill.functions.text import title_key
 from postmill.functions.url import canonical
-from postmill.operators import folds, scores
-from postmill.operators.components import components
+from postmill.operators import scores
 from postmill.operators.joins import upsert_seen
+from postmill.operators.rounds import first_of_marks
 from postmill.operators.select import first_reason
 from postmill.sinks.export import artefacts
 from postmill.sources import records
@@ -39,15 +39,10 @@ def score(posts: DataFrame, day: str, zone: str) -> DataFrame:
 
 
 def deduplicate(scored: DataFrame) -> DataFrame:
-    """Best score first, a post goes if its id, URL or title was taken. Rows that share no key can't meet, so the fold
-    runs by the components of shared keys, not over a day's rows in one task."""
-    x = scored.withColumn("url_key", canonical(F.col("url"))).withColumn("title_key", title_key(F.col("title"))).withColumn("row_id", F.xxhash64("video_id", "url", "title", "raw_file", F.col("position").cast("string")))
-    keys = x.select("row_id", F.explode(F.array(F.concat(F.lit("i:"), "video_id"), F.concat(F.lit("u:"), "url_key"), F.concat(F.lit("t:"), "title_key"))).alias("key")).filter("length(key) > 2")
-    first = keys.groupBy("key").agg(F.min("row_id").alias("first"))
-    groups = components(keys.join(first, "key").select("row_id", "first"))
-    x = x.join(groups.toDF("row_id", "component"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    out = folds.multi_key_dedup(x.withColumn("vid", F.xxhash64("video_id")).drop("missing", "position"), ["component"], [("score", False), ("video_id", True)], ["video_id", "url_key", "title_key"], "vid")
-    return out.drop("component", "row_id", "vid", "url_key", "title_key")
+    """Best score first, a post goes if its id, URL or title was taken by one that was accepted."""
+    x = scored.withColumn("url_key", canonical(F.col("url"))).withColumn("title_key", title_key(F.col("title"))).withColumn("vid", F.xxhash64("video_id")).drop("missing", "position")
+    out = first_of_marks(x, [], [("score", False), ("video_id", True)], ["video_id", "url_key", "title_key"], "vid")
+    return out.drop("vid", "url_key", "title_key")
 
 
 def run(spark: SparkSession, paths: list[str], day: str, config: EngineConfig | None = None, state: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from postmill.operators import folds
 from postmill.operators.select import best, first_reason, ranked, top
 from postmill.operators.text_rules import ladder
 from postmill.plans.articles import any_of, h
+from postmill.plans.folds import first_fit_sql, first_like
 from postmill.plans.registry import query
 from postmill.sources.tables import ARTICLES_SQL, POSTS_SQL, articles, posts, table
 
@@ -201,14 +202,14 @@ def frame_dedup(spark, sf_dir):
     return folds.fold(k, ["conv_id"], [("turn", True)], decide, "kept boolean").select("conv_id", "turn", "kept")
 
 
-@query()
+@query(f"with recursive {ARTICLES_SQL}, " + first_fit_sql(r"select doc_id, source, list_distinct(regexp_extract_all(lower(substr(title, 1, 180)), '[\p{L}\p{N}]{2,}')) as t from articles", first_like(2, 0.4)))
 def official_groups(spark, sf_dir):
     """Official articles by identity, or by the overlap of their titles with a group's first."""
     k = articles(spark, sf_dir).select("doc_id", "source", F.array_distinct(words(F.substring("title", 1, 180))).alias("tokens"))
     return folds.token_clusters(k, ["source"], [("doc_id", True)], "tokens", 2, 0.4, grow=False).select("doc_id", "source", "cluster")
 
 
-@query()
+@query("with recursive " + first_fit_sql("select * from (select doc_id, source, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')) as t from documents) where len(t) >= 2", first_like(2, 0.0)))
 def candidate_merge(spark, sf_dir):
     """Candidates that share two named anchors with the first of a group."""
     anchors = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))

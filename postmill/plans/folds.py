@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from postmill.functions.ids import sign_bits
 from postmill.functions.text import numbers, pairs_of_characters, title_key, tokens, words
 from postmill.operators import folds, stories
-from postmill.operators.components import components
-from postmill.operators.joins import near_hashes
+from postmill.operators.rounds import first_of_marks
 from postmill.plans.registry import query
 from postmill.sources.tables import ARTICLES_SQL, POSTS_SQL, articles, posts, table
 
@@ -16,6 +15,28 @@ _KEY = "case when regexp_replace(lower(title), '[^\\p{L}\\p{N}_]', '', 'g') = ''
 
 
 
+def first_fit_sql(rows: str, hit: str) -> str:
+    """SQL of a loop over each source's rows, which carries the sets (t) of the clusters' first rows. hit: a place in f.heads, or null."""
+    return f"""
+k as (select *, row_number() over (partition by source order by doc_id) as rn from ({rows})),
+f as (select source, rn, doc_id, 0 as cluster, [t] as heads from k where rn = 1
+  union all select source, rn, doc_id, coalesce(pos - 1, len(heads)), case when pos is null then list_append(heads, t) else heads end from (select k.source, k.rn, k.doc_id, k.t, f.heads, {hit} as pos from f join k on k.source = f.source and k.rn = f.rn + 1))
+select doc_id, source, cast(cluster as int) as cluster from f"""
+
+
+_COMMON = "len(list_intersect(h, k.t))"
+_SHARE = f"{_COMMON} / greatest(1, least(len(h), len(k.t)))"
+
+
+def first_like(least: int, share: float) -> str:
+    """The first cluster with so many shared members and such a share of the smaller set."""
+    return f"nullif(list_position(list_transform(f.heads, lambda h: {_COMMON} >= {least} and {_SHARE} >= {share}), true), 0)"
+
+
+_MOST_LIKE = f"case when list_max(list_transform(f.heads, lambda h: {_SHARE})) >= 0.55 then list_position(list_transform(f.heads, lambda h: {_SHARE}), list_max(list_transform(f.heads, lambda h: {_SHARE}))) end"
+_PAIRS = "select doc_id, source, list_distinct(list_transform(generate_series(1, length(a) - 1), lambda i: a[i : i + 1])) as t from (select doc_id, source, regexp_replace(lower(substr(title, 1, 180)), '[^0-9a-z一-鿿]', '', 'g') as a from articles)"
+
+
 def _title():
     """Titles are cut at 180 characters, as events show them."""
     return F.substring("title", 1, 180)
@@ -35,12 +56,7 @@ def multi_key_dedup(spark, sf_dir):
     k = articles(spark, sf_dir).select(
         "doc_id", "lang", "n_chars", F.concat_ws(":", "source", F.floor(F.col("n_chars") / 40)).alias("mark_a"), title_key(F.col("title")).alias("mark_b"), F.concat("lang", F.col("doc_id") % 97).alias("mark_c")
     )
-    # rows that share no mark can't meet: the fold is by components of shared marks, not over a language's rows
-    marks = k.select("doc_id", F.explode(F.array(*[F.concat_ws(":", F.lit(m), "lang", m) for m in ("mark_a", "mark_b", "mark_c")])).alias("mark"))
-    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    groups = components(marks.join(first, "mark").select("doc_id", "first"))
-    k = k.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    x = folds.multi_key_dedup(k, ["root"], [("n_chars", False), ("doc_id", True)], ["mark_a", "mark_b", "mark_c"], "doc_id")
+    x = first_of_marks(k, ["lang"], [("n_chars", False), ("doc_id", True)], ["mark_a", "mark_b", "mark_c"], "doc_id")
     return x.select("doc_id", "lang", F.col("duplicate_of").isNull().alias("accepted"))
 
 
@@ -106,7 +122,7 @@ def greedy_token_clusters(spark, sf_dir):
     return folds.token_clusters(k, ["source"], [("doc_id", True)], "tokens").select("doc_id", "source", "cluster")
 
 
-@query()
+@query(f"with recursive {ARTICLES_SQL}, {first_fit_sql(_PAIRS, _MOST_LIKE)}")
 def article_clusters(spark, sf_dir):
     """Articles to the event with the most similar first title, by source."""
     k = articles(spark, sf_dir).select("doc_id", "source", pairs_of_characters(_title()).alias("pairs"))
@@ -138,22 +154,34 @@ f as (select label, rn, vec_id, true as accepted, [bits] as taken from h where r
     case when list_bool_or(list_transform(f.taken, lambda t: hamming(t, h.bits) <= 4)) then f.taken else list_append(f.taken, h.bits) end from f join h on h.label = f.label and h.rn = f.rn + 1)
 select vec_id, label, accepted from f""")
 def near_dup_keep_first(spark, sf_dir):
-    """Hashes of a label in order, those within 4 bits of one kept left out; folded by components of near hashes."""
+    """Hashes of a label in order, those within 4 bits of one kept left out."""
     k = table(spark, sf_dir, "embeddings").select("vec_id", "label", sign_bits(F.col("embedding")).alias("bits"))
-    groups = components(near_hashes(k, "vec_id", "bits", 4, ["label"]).select("left_id", "right_id"))
-    x = k.join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
-    x = folds.drop_near_hashes(x, ["label", "root"], [("vec_id", True)], "bits", 4)
+    x = folds.drop_near_hashes(k, ["label"], [("vec_id", True)], "bits", 4)
     return x.select("vec_id", "label", F.col("pick").isNotNull().alias("accepted"))
 
 
-@query()
+@query("""
+with recursive h as (select vec_id, label, vec_id % 5 as scene, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits from embeddings),
+f as (select distinct label, 0 as n, cast(null as bigint) as vec_id, cast(null as bigint) as scene, cast([] as struct(vec_id bigint, scene bigint, bits varchar)[]) as taken from h
+  union all select label, n, vec_id, scene, list_append(taken, {'vec_id': vec_id, 'scene': scene, 'bits': bits}) from (
+    select h.label, f.n + 1 as n, h.vec_id, h.scene, h.bits, f.taken from f join h on h.label = f.label where f.n < 8 and not coalesce(list_bool_or(list_transform(f.taken, lambda t: t.vec_id = h.vec_id or hamming(t.bits, h.bits) <= 4)), false)
+    qualify row_number() over (partition by h.label order by coalesce(list_bool_or(list_transform(f.taken, lambda t: t.scene = h.scene)), false), h.vec_id) = 1))
+select vec_id, label, scene, cast(n - 1 as int) as pick from f where n > 0""")
 def diverse_pick(spark, sf_dir):
     """Eight pictures of each label, of new scenes first."""
     k = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("scene"), sign_bits(F.col("embedding")).alias("bits"))
     return folds.drop_near_hashes(k, ["label"], [("vec_id", True)], "bits", 4, 8, "scene").filter("pick is not null").select("vec_id", "label", "scene", "pick")
 
 
-@query()
+@query("""
+with recursive k as (select p_partkey, p_brand as author, p_type as source, p_partkey % 40 as pool, cast(p_size as double) as seconds, p_retailprice as price from part),
+f as (select distinct pool, 0 as n, cast([] as struct(id bigint, author varchar, source varchar, seconds double)[]) as taken from k
+  union all select pool, n, list_append(taken, {'id': p_partkey, 'author': author, 'source': source, 'seconds': seconds}) from (
+    select k.*, f.n + 1 as n, f.taken, coalesce(list_bool_or(list_transform(f.taken, lambda t: t.source = k.source)), false) as old, coalesce(list_bool_or(list_transform(f.taken, lambda t: t.seconds >= 30)), false) as long
+    from f join k on k.pool = f.pool where f.n < 2 and not coalesce(list_bool_or(list_transform(f.taken, lambda t: t.author = k.author)), false) and (k.seconds >= 30 or not coalesce(list_bool_or(list_transform(f.taken, lambda t: t.seconds >= 30)), false))
+    qualify row_number() over (partition by k.pool order by k.seconds < 30, k.seconds >= 30 and old, k.price desc, k.p_partkey) = 1)),
+m as (select unnest(list_transform(taken, lambda t: t.id)) as p_partkey from f)
+select p_partkey, pool, case when p_partkey in (select p_partkey from m) then 'main' else 'support' end as role from k""")
 def main_support_split(spark, sf_dir):
     """Mains and supporting clips of each pool."""
     k = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.col("p_brand").alias("author"), F.col("p_type").alias("source"), (F.col("p_partkey") % 40).alias("pool"), F.col("p_size").cast("double").alias("seconds"))
