@@ -11,12 +11,13 @@ from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.joins import near_hashes
 from postmill.operators.rounds import first_fit, in_order, kept_out, picks
 from postmill.operators.select import numbered
+from postmill.sinks.scratch import stored
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], decide: Callable[[pd.DataFrame], dict[str, list]], added: str) -> DataFrame:
@@ -83,30 +84,46 @@ def joined_stories(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
 
 def merge_cards(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], text: str, numbers: str, similarity: float = 0.85) -> DataFrame:
     """Joins a frame's text to the first card that contains it, that it contains, or that is similar; never one with
-    other numbers. A card keeps its longest text. Adds card (from 0; null for an empty text) and card_text."""
+    other numbers. A card keeps its longest text. Adds card (from 0; null for an empty text) and card_text.
+
+    Which different texts of a key are alike is found first, as pairs of their ids; the fold sees ids and lengths. A card
+    always shows the text of some row, so what fits it is a question about two texts.
+    """
+    x = numbered(df, "_place", *in_order(order)).withColumn("_key", F.struct(*keys)).withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_set", F.array_sort(F.array_distinct(numbers)))
+    own = stored(x.filter("_text <> ''").groupBy("_key", "_text", "_set").agg(F.min("_place").alias("id")), "texts")
+    a, b = own.select("_key", F.struct("id", "_text", "_set").alias("a")), own.select("_key", F.struct("id", "_text", "_set").alias("b"))
+    clash = (F.size("a._set") > 0) & (F.size("b._set") > 0) & (F.col("a._set") != F.col("b._set"))
+    inside = F.contains("a._text", F.col("b._text")) | F.contains("b._text", F.col("a._text"))
+    short, long = (f(F.length("a._text"), F.length("b._text")) for f in (F.least, F.greatest))
+    p = a.join(b, "_key").filter((F.col("a.id") < F.col("b.id")) & ~clash & (inside | (2 * short >= similarity * (short + long))))
+    p = p.filter(inside | (matching_share("a._text", "b._text") >= similarity)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    near = p.union(p.select("b", "a")).union(own.select("id", "id")).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("near"))
+    ids = own.join(near, "id").select("id", "_key", "_text", "_set", "near", F.length("_text").alias("n"))
 
     def decide(rows):
-        cards: list[tuple[str, set]] = []
-        out = []
-        for t, n in zip(rows[text], rows[numbers], strict=True):
-            t, n = t or "", set(n)
-            if not t:
-                out.append(None)
-                continue
-            for i, (own, old) in enumerate(cards):
-                if n and old and n != old:
-                    continue
-                if t in own or own in t or SequenceMatcher(None, own, t).ratio() >= similarity:
-                    if len(t) > len(own):
-                        cards[i] = (t, n)
-                    break
-            else:
-                i = len(cards)
-                cards.append((t, n))
-            out.append(i)
-        return {"card": pd.array(out, dtype="Int32"), "card_text": [None if i is None else cards[i][0] for i in out]}
+        shown: list[tuple[int, int]] = []  # the text that each card shows: its id and length
+        card = []
+        for own_id, near, n in zip(rows["id"], rows["near"], rows["n"], strict=True):
+            fits = set(near)
+            k = next((k for k, (i, _) in enumerate(shown) if i in fits), len(shown))
+            shown[k:] = shown[k:] or [(own_id, n)]
+            shown[k] = max(shown[k], (own_id, n), key=lambda t: t[1])
+            card.append(k)
+        return {"card": card, "_shown": [shown[k][0] for k in card]}
+
+    folded = fold(x.select("_place", "_key", "_text", "_set").join(ids, ["_key", "_text", "_set"]).select("_place", "_key", "id", "near", "n"), ["_key"], [("_place", True)], decide, "card int, _shown bigint")
+    folded = folded.select("_place", "card", F.col("_shown").alias("id")).join(own.select("id", F.col("_text").alias("card_text")), "id").drop("id")
+    return x.join(folded, "_place", "left").drop("_place", "_key", "_text", "_set")
+
+
+def matching_share(left: str, right: str) -> Column:
+    """Characters in common blocks of two texts, as a share of both."""
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return fold(df, keys, order, decide, "card int, card_text string")
+    return share(left, right)
 
 
 def drop_near_hashes(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], bits: str, most: int = 3, limit: int | None = None, scene: str | None = None) -> DataFrame:
