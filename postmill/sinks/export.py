@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators.select import ranked
+from postmill.sinks.packages import put_text
 
 #: Columns that an export may hold, and keys that it must not.
 ALLOWED = ("video_id", "source", "title", "account_id", "account_name", "url", "published", "likes", "comments", "shares", "collects", "plays", "duration_seconds", "keyword")
@@ -14,7 +15,8 @@ SENSITIVE_KEY = r"(?i)(cookie|token|secret|password|session|authorization|signat
 
 def artefacts(scored: DataFrame, top_n: int = 30) -> dict[str, DataFrame]:
     """The hot board, the benchmark videos (creators only, marked where plays are unknown), the candidates, a report row."""
-    top = ranked(scored, "rank", F.desc("score"), F.asc("video_id")).filter(F.col("rank") <= top_n)
+    order = (F.desc("score"), F.asc("video_id"))
+    top = ranked(scored.orderBy(*order).limit(top_n), "rank", *order)
     flag = F.when(F.col("plays").isNull(), F.lit("play_count_missing"))
     return {
         "hotboard": top,
@@ -24,9 +26,10 @@ def artefacts(scored: DataFrame, top_n: int = 30) -> dict[str, DataFrame]:
     }
 
 
-def write_artefacts(parts: dict[str, DataFrame], folder: str, format: str = "json") -> None:
+def write_artefacts(parts: dict[str, DataFrame], folder: str) -> None:
+    """A file of JSON lines each, replaced by one rename, so a reader finds the old file or the new one. top_n rows at most."""
     for name, df in parts.items():
-        df.coalesce(1).write.mode("overwrite").format(format).save(f"{folder}/{name}")  # top_n rows at most
+        put_text(df.sparkSession, f"{folder}/{name}.jsonl", "".join(f"{r}\n" for (r,) in df.select(F.to_json(F.struct(*df.columns))).collect()))
 
 
 def sanitised(df: DataFrame, cap: int | None = None, order: list | None = None) -> tuple[DataFrame, list[str], list[str]]:

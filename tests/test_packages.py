@@ -67,6 +67,15 @@ def test_text_is_replaced(spark, tmp_path):
     assert [f for f in os.listdir(tmp_path) if f.endswith(".tmp")] == [] and packages.read_text(spark, f"{tmp_path}/none") is None
 
 
+def test_artefacts_are_replaced(spark, tmp_path):
+    from postmill.sinks.export import write_artefacts
+
+    for n in (3, 2):
+        write_artefacts({"board": spark.range(n).orderBy("id")}, f"{tmp_path}/out")
+        with open(f"{tmp_path}/out/board.jsonl") as f:
+            assert [json.loads(x) for x in f] == [{"id": k} for k in range(n)]
+
+
 def test_a_size_that_counts_itself(spark, tmp_path):
     for size in (*range(0, 130), *(10**k + d for k in range(2, 13) for d in range(-140, 20))):
         files = [{"path": "ü", "bytes": max(0, size)}]
