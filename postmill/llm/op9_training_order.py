@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from functools import lru_cache
 
@@ -194,6 +195,10 @@ def pieces(placed: DataFrame, folder: str, begin: np.ndarray, order: Permutation
     return placed.mapInArrow(run, "slot bigint, shard bigint, at bigint, doc_ids array<bigint>, ids binary")
 
 
+#: A shard's file; with a dot before and a mark behind while it is written.
+SHARD_NAME = re.compile(r"(\.)?shard-([0-9]{8,})\.bin(?:\.[0-9a-f]{32})?")
+
+
 def file_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -205,16 +210,38 @@ def _open(uri: str):
 
 
 def commit(fs, name: str, target: str) -> None:
-    """Gives a finished file its name. One of its size is an earlier attempt's, with the same bytes: it stays."""
-    size, there = fs.get_file_info([name, target])
-    if there.is_file and there.size == size.size:
+    """Gives a finished file its name. A file of the same bytes, as another attempt of its task leaves, stays; one of another run
+    goes, for all full shards have one size."""
+    if _equal(fs, name, target):
         fs.delete_file(name)
         return
-    if there.is_file:  # of another run, with other settings
+    if fs.type_name != "local" and fs.get_file_info(target).is_file:  # a local rename replaces its target
         fs.delete_file(target)
     fs.move(name, target)
 
 
+def _equal(fs, a: str, b: str, piece: int = 1 << 22) -> bool:
+    x, y = fs.get_file_info([a, b])
+    if not y.is_file or x.size != y.size:
+        return False
+    with fs.open_input_stream(a) as f, fs.open_input_stream(b) as g:
+        while chunk := f.read(piece):
+            if chunk != g.read(piece):
+                return False
+    return True
+
+
+def clear_beyond(folder: str, shards: int) -> None:
+    """Deletes an earlier, longer run's last shards, and what its lost attempts left."""
+    from pyarrow.fs import FileSelector
+
+    fs, top = _open(folder)
+    for f in fs.get_file_info(FileSelector(top, allow_not_found=True)):
+        shard = SHARD_NAME.fullmatch(f.base_name)
+        if f.is_file and shard and (shard[1] or int(shard[2]) >= shards):
+            fs.delete_file(f.path)
+
+
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """Writes the shards below folder (shared by all executors); returns a row for each slot: slot, shard, byte_offset,
     sequence, n_tokens (without filling), sha256 of its bytes, doc_ids in it."""
@@ -273,7 +300,9 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, key: int = K
             end_shard()
             yield flush()
 
-    return saved(rows.mapInArrow(write, schema), "manifest")
+    manifest = saved(rows.mapInArrow(write, schema), "manifest")
+    clear_beyond(folder, -(-count // SEQUENCES))
+    return manifest
 
 
 class Shards:

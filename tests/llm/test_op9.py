@@ -71,3 +71,19 @@ def test_a_second_attempt_leaves_a_whole_shard(tmp_path):
             f.write(body)
         op9.commit(fs, f"{top}/{name}", f"{top}/shard")
         assert (tmp_path / "shard").read_bytes() == body and [x.name for x in tmp_path.iterdir()] == ["shard"]
+
+
+def test_a_folder_holds_its_last_run(spark, tmp_path):
+    """Another key, other documents, fewer of them: the slots are the new manifest's, and no shard of the old run is left."""
+    import hashlib
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(120)], "doc_id bigint, text string")
+    other = docs.selectExpr("doc_id", "reverse(text) as text")
+    (tmp_path / ".shard-00000000.bin.0123456789abcdef0123456789abcdef").write_bytes(b"an attempt that was lost")
+    (tmp_path / "notes.txt").write_text("stays")
+    for rows, key in ((docs, 1), (docs, 2), (other, 2), (docs.limit(3), 1)):
+        m = sorted(op9.materialise(rows, str(tmp_path), 8, key=key).collect(), key=lambda r: r.slot)
+        read = [b.tobytes() for b in op9.Shards(str(tmp_path), len(m), 8).read()]
+        assert [hashlib.sha256(b).hexdigest() for b in read] == [r.sha256 for r in m]
+        names = {op9.file_name(r.shard) for r in m}
+        assert {x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")} == names | {"notes.txt"}
