@@ -19,7 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +141,9 @@ def find(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[list[tuple[int,
             for m in ACCESS.finditer(whole, off[d], off[d + 1]):
                 if m.end() - m.start() >= MIN_ACCESS:
                     found.setdefault(d, []).append((m.start(), 1, m.end()))
+        beside = _Overlapping(found).of
         for d, s, e in zip(*(x.tolist() for x in _runs(b, RUN_CHARS, MIN_RUN)), strict=True):
-            base = [(x, k, y) for x, k, y in found.get(d, ()) if k < 3 and x < e and s < y]
+            base = beside(d, s, e)
             for x, y in _hidden(whole, s, e, base, vocabulary):
                 found.setdefault(d, []).append((x, 3, y))
         out += [[] for _ in range(b.n)]
@@ -152,6 +155,23 @@ def find(texts: pa.Array, vocabulary: str = VOCABULARY) -> list[list[tuple[int,
     return out
 
 
+class _Overlapping:
+    """Base spans by document, sorted once, for looking up those that overlap a run."""
+
+    def __init__(self, found: dict[int, list[tuple[int, int, int]]]):
+        self.spans, self.starts, self.ends = {}, {}, {}
+        for d, spans in found.items():
+            self.spans[d] = sorted(spans)
+            self.starts[d] = [s for s, _, _ in self.spans[d]]
+            self.ends[d] = list(accumulate((e for _, _, e in self.spans[d]), max))  # of all up to here, so that it grows
+
+    def of(self, d: int, start: int, end: int) -> list[tuple[int, int, int]]:
+        if d not in self.spans:
+            return []
+        first, last = bisect_right(self.ends[d], start), bisect_left(self.starts[d], end)
+        return [p for p in self.spans[d][first:last] if start < p[2]]
+
+
 def _having(data: bytes, hint: bytes, off: np.ndarray) -> set[int]:
     """Documents with a hint in them (at a boundary perhaps one too many: what reads them looks inside only)."""
     got, at = set(), data.find(hint)

@@ -77,3 +77,23 @@ def test_stage_redacts(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in op10.stage(spark, df, "").collect()}
     assert got == {1: ("a [SECRET] z", 12), 2: (None, 0)}
     assert op10.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_base_spans_beside_a_run():
+    r = random.Random(10)
+    spans = [(s := r.randrange(300), r.randrange(3), s + r.randrange(1, 60)) for _ in range(80)]
+    beside = op10._Overlapping({4: spans}).of
+    for _ in range(300):
+        s = r.randrange(300)
+        e = s + r.randrange(1, 40)
+        assert beside(4, s, e) == sorted(p for p in spans if p[0] < e and s < p[2])
+    assert beside(5, 0, 9) == []
+
+
+def test_a_text_of_many_hex_strings_takes_its_length():
+    import time
+
+    text = " ".join(f"{k:024x}" for k in range(60_000))
+    began = time.time()
+    (got,) = op10.find(pa.array([text]))
+    assert sum(k == 2 for _, k, _ in got) == 60_000 and time.time() - began < 60
