@@ -63,6 +63,31 @@ def model_proto(vocabulary: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
+#: A character that both engines take for a letter, a number or white space; and one that both take for none of these.
+TYPICAL = {r"\p{L}": 0x4E00, r"\p{N}": 0x0966, r"\s": 0x2003}
+NONE = 0x0378
+
+
+@lru_cache(1)
+def stand_ins() -> tuple[dict[int, int], frozenset[str]]:
+    """Characters that the regex module and tiktoken's engine put in different classes (their Unicode tables differ), each with
+    one of its class in tiktoken, and the set of them. What tiktoken's engine matches is read from an
+    encoding of single bytes, which gives back all that its pattern matches."""
+    import regex
+    import tiktoken
+
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    theirs, ours = {}, {}
+    for name in TYPICAL:
+        bytes_only = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
+        for k in range(0, len(everything), 1 << 16):
+            part = everything[k : k + (1 << 16)]
+            theirs |= dict.fromkeys(bytes(bytes_only.encode_ordinary(part)).decode(), name)
+            ours |= dict.fromkeys(regex.findall(name, part), name)
+    odd = {ord(c): TYPICAL.get(theirs.get(c), NONE) for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
+    return odd, frozenset(map(chr, odd))
+
+
 class ByteBPE:
     def __init__(self, name: str = VOCABULARY):
         import public_tokenizers
@@ -74,7 +99,8 @@ class ByteBPE:
         vocabulary = sorted(ranks, key=ranks.get)
         if [ranks[v] for v in vocabulary] != list(range(len(ranks))):
             raise ValueError("ranks must run from 0 without gaps")
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.stand_in, self.odd = stand_ins()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(vocabulary))
         chars = byte_characters()
         back = {c: i for i, c in enumerate(chars)}
@@ -82,6 +108,11 @@ class ByteBPE:
         self.piece = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(vocabulary))]
         self.memo: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
+
     def _encode_new(self, tokens: list[str]) -> dict[str, bytes]:
         mapped = [t.encode().decode("latin-1").translate(self.to_chars) for t in tokens]
         return {t: np.array(ids, "<u4").tobytes() for t, ids in zip(tokens, self.model.encode(mapped, num_threads=1), strict=True)}

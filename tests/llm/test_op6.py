@@ -57,3 +57,20 @@ def _text(v):
 
 def test_empty_table(spark):
     assert op6.round_trip(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_every_character_beside_letters_digits_and_spaces(enc):
+    """The engines' Unicode tables differ; the ids may not."""
+    bpe = op6.tokenizer()
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for k in range(0, len(points), 400):
+        text = "".join(f"a{chr(c)}鴜 {chr(c)}1{chr(c)}{chr(c)} \n" for c in points[k : k + 400])
+        if np.frombuffer(bpe.encode(text), "<u4").tolist() != enc.encode_ordinary(text):
+            for c in points[k : k + 400]:
+                text = f"a{chr(c)}鴜 {chr(c)}1{chr(c)}{chr(c)} \n"
+                assert np.frombuffer(bpe.encode(text), "<u4").tolist() == enc.encode_ordinary(text), hex(c)
+    r = random.Random(66)
+    odd = [chr(c) for c in op6.stand_ins()[0]]
+    for _ in range(3000):
+        text = "".join(r.choice([chr(r.choice(points)), r.choice(odd or ["x"]), r.choice("aZ 1.\n'")]) for _ in range(r.randint(1, 12)))
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == enc.encode_ordinary(text), ascii(text)
