@@ -45,8 +45,11 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 PIECE = 1 << 20
 SCALE = 10**9
+HEAD = 4
 MIN_DOCS = 3
 TOP = 200
+#: Entries that wait for their trie, so that a term goes there once for many documents (about 150 bytes each).
+MAX_WAITING = 1 << 18
 #: Counters of a task's tries (about 300 bytes each, with their terms), rows of an Arrow batch, pairs at a time, pairs' sums of a task, and groups to broadcast.
 MAX_COUNTERS, ROWS, PAIRS, MAX_SUMS, MAX_GROUPS = 1 << 20, 2000, 1 << 21, 1 << 20, 100_000
 LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
@@ -64,11 +67,11 @@ class Node:
 
 
 class RadixTrie:
-    """Terms by their bytes; an edge holds all bytes up to the next branch or the end of a term. ends: the leaves by term,
-    so that only a new term is walked down to its place."""
+    """Terms by their bytes; an edge holds all bytes up to the next branch or the end of a term. The first HEAD bytes are one
+    edge of the root. ends: the leaves by term, so that only a new term is walked down to its place."""
 
     def __init__(self):
-        self.root = Node()
+        self.roots: dict[bytes, Node] = {}
         self.ends: dict[bytes, Node] = {}
         self.counters = 0
 
@@ -81,7 +84,11 @@ class RadixTrie:
         return node
 
     def _made(self, term: bytes) -> Node:
-        node, at, n = self.root, 0, len(term)
+        head, n = term[:HEAD], len(term)
+        node = self.roots.get(head)
+        if node is None:
+            node = self.roots[head] = Node()
+        at = len(head)
         while at < n:
             if node.edges is None:
                 node.edges = {}
@@ -115,13 +122,16 @@ class RadixTrie:
 
     def leaves(self) -> Iterator[tuple[bytes, Node]]:
         """All terms, in the order of their bytes."""
-        todo = [(b"", self.root)]
+        todo = [(head, self.roots[head]) for head in sorted(self.roots, reverse=True)]
         while todo:
             term, node = todo.pop()
             if node.counts is not None:
                 yield term, node
-            if node.edges:
-                todo.extend((term + label, below) for _, (label, below) in sorted(node.edges.items(), reverse=True))
+            edges = node.edges
+            if edges:
+                for first in sorted(edges, reverse=True) if len(edges) > 1 else edges:
+                    label, below = edges[first]
+                    todo.append((term + label, below))
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -163,27 +173,45 @@ def tries(docs: DataFrame) -> DataFrame:
             gc.enable()
 
     def counted(batches):
-        held, names = {}, {}
-        for x in batches:
-            text = x.column(0).cast(pa.large_string()).cast(pa.large_binary())
-            counts, in_docs = {}, {}
-            for k, (lang, source) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist())):
-                source = names.setdefault(source, source)
-                count, seen = counts.setdefault((lang, source), Counter()), set()
-                for part in pieces(text[k].as_py()):
-                    terms = TERM.findall(part.lower())  # lower() of bytes changes A-Z alone
-                    count.update(terms)
-                    seen.update(terms)
-                in_docs.setdefault(lang, Counter()).update(seen)
+        held, names, counts, in_docs = {}, {}, {}, {}
+
+        def moved():
+            """What was counted goes into the tries."""
             for (lang, source), count in counts.items():
                 held.setdefault(lang, RadixTrie()).add(source, count)
             for lang, seen in in_docs.items():
                 ends = held[lang].ends
                 for term, n in seen.items():
                     ends[term].docs += n
-            if sum(t.counters for t in held.values()) > MAX_COUNTERS:
-                yield from written(held)
-                held = {}
+            counts.clear()
+            in_docs.clear()
+
+        for x in batches:
+            text = x.column(0).cast(pa.large_string()).cast(pa.large_binary())
+            for k, (lang, source) in enumerate(zip(x.column(1).to_pylist(), x.column(2).to_pylist())):
+                group = (lang, names.setdefault(source, source))
+                count = counts.get(group)
+                if count is None:
+                    count = counts[group] = Counter()
+                    in_docs.setdefault(lang, Counter())
+                data = text[k].as_py()
+                if len(data) <= PIECE:
+                    terms = TERM.findall(data.lower())  # lower() of bytes changes A-Z alone
+                    count.update(terms)
+                    in_docs[lang].update(set(terms))
+                    continue
+                seen = set()
+                for part in pieces(data):
+                    terms = TERM.findall(part.lower())
+                    count.update(terms)
+                    seen.update(terms)
+                in_docs[lang].update(seen)
+            if sum(map(len, counts.values())) > MAX_WAITING:
+                moved()
+                if sum(t.counters for t in held.values()) > MAX_COUNTERS:
+                    yield from written(held)
+                    held.clear()
+        moved()
         yield from written(held)
 
     return docs.select("text", "lang", "source").mapInArrow(run, LEAF)

@@ -65,7 +65,7 @@ def test_against_brute_force(spark, monkeypatch):
 def test_small_tries_pieces_and_sums(spark, monkeypatch):
     """Tries, pieces of texts, pairs and sums are cut everywhere, and candidates to a few: the same rows but for those ranks."""
     rows = sample()
-    for name, x in (("MAX_COUNTERS", 10), ("PIECE", 7), ("PAIRS", 3), ("ROWS", 3)):
+    for name, x in (("MAX_COUNTERS", 10), ("MAX_WAITING", 5), ("PIECE", 7), ("PAIRS", 3), ("ROWS", 3)):
         monkeypatch.setattr(op12, name, x)
     streams = op12.Streams(4)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
