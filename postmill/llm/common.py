@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -85,15 +83,6 @@ def _clean() -> None:
             drop(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished jobs now: it does so once the plans that named them are
-    collected, which a driver with little garbage puts off for long."""
-    for _ in range(2):  # what Python lets go of reaches the driver's JVM a moment later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def row_key(text: Column, doc_id: Column) -> Column:
     """A null-safe key of a document row; rows with equal id and text have the same."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\0")), F.coalesce(text, F.lit("")))

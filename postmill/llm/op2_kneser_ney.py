@@ -12,8 +12,10 @@ lower-order tables. Interpolation is folded into the usual table form: a probabi
 each context.
 
 Scoring is a join by the middle word of a trigram: all that its probability takes (its own, its context's weight, the
-bigram that it ends with, the middle word's weight) stands in the shard of that word, modulo SHARDS. A task packs a
-block's trigrams for each shard (sorted, with their documents and counts), the packs are shuffled by shard, each shard's
+bigram that it ends with, the middle word's weight) stands in the shard of that word, modulo SHARDS. Tasks have the lower
+orders (words, bigrams, their weights: bounded by MAX_BYTES, like the vocabulary) and a Bloom filter of the model's
+trigrams. Trigrams that it has not seen back off where they are, into sums by document. A task packs a block's other
+trigrams for each shard (sorted, with their documents and counts), the packs are shuffled by shard, each shard's
 part of the model meets them first, and only sums by document come back. Shards are dealt on by salt, half as many as
 the session's shuffle partitions (each takes a copy of its shard's model), so a frequent middle word's trigrams are in
 many tasks.
@@ -40,8 +42,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, HashTable, Words, blocks
-from postmill.llm.common import documents, narrow, release, row_key, saved, ship
+from postmill.llm.blocks import Block, HashTable, Words, blocks, mix
+from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 #: Training documents and their bytes; with so many bytes, words that are seen twice number less than 2 ** BITS.
 MAX_TRUSTED, MAX_BYTES, MIN_COUNT = 4000, 8_000_000, 2
@@ -197,6 +199,43 @@ class Table:
         return np.where(hit, self.values[k], self.default), hit
 
 
+class Seen:
+    """A Bloom filter of keys: two probes, 16 to 32 bits a key."""
+
+    def __init__(self, keys: np.ndarray):
+        self.width = max(6, int(16 * len(keys)).bit_length())
+        bits = np.zeros(1 << self.width, bool)
+        for at in self._probes(keys):
+            bits[at] = True
+        self.bits = np.packbits(bits)
+
+    def _probes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys.view(np.uint64))
+        return (h >> np.uint64(64 - self.width)).astype(np.int64), (h & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        a, b = ((self.bits[at >> 3] << (at & 7).astype(np.uint8) & 128) > 0 for at in self._probes(keys))
+        return a & b
+
+
+class Lower:
+    """What tasks have of each shard: (Table of each kind but p3, Seen of p3), opened once a worker."""
+
+    def __init__(self, bodies: dict[int, bytes]):
+        self.bodies, self.parts = bodies, None
+
+    def __getstate__(self):
+        return self.bodies
+
+    def __setstate__(self, bodies):
+        self.__init__(bodies)
+
+    def part(self, shard: int) -> tuple[dict[str, Table], Seen]:
+        if self.parts is None:
+            self.parts = {s: _opened(x) for s, x in self.bodies.items()}
+        return self.parts.get(shard) or ({}, Seen(np.zeros(0, np.int64)))
+
+
 #: Probabilities of one, two and three words; weights of contexts of one and two.
 KINDS = ("p1", "p2", "p3", "w1", "w2")
 
@@ -235,10 +274,12 @@ class Model:
                 for i, k in enumerate(KINDS):
                     at = np.flatnonzero((shard == s) & (kind == i))
                     part[k] = Table(g[at], v[at], floor if k == "p1" else 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["shard", "body"])
+                lower = {k: t for k, t in part.items() if k != "p3"}, Seen(part["p3"].keys)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(part)], pa.binary()), pa.array([_packed(lower)], pa.binary())], names=["shard", "body", "lower"])
 
         self.floor = floor
-        self.shards = saved(rows.repartition(SHARDS, "shard").mapInArrow(build, "shard int, body binary"), "model")
+        self.shards = saved(rows.repartition(SHARDS, "shard").mapInArrow(build, "shard int, body binary, lower binary"), "model")
+        self.lower = Lower({r.shard: bytes(r.lower) for r in self.shards.select("shard", "lower").collect()})  # SHARDS rows of a model that MAX_BYTES bounds
 
 
 def _packed(x) -> bytes:
@@ -249,14 +290,38 @@ def _opened(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-def pack(voc: Vocabulary, b: Block, keys: np.ndarray):
-    """(shard, body) of a block: its documents' keys, and the shard's trigrams in order with document and count."""
+def _backed_off(part: dict[str, Table], floor: float, g: np.ndarray) -> np.ndarray:
+    """log10 probabilities of trigrams that the model hasn't seen, from the lower orders of their shard."""
+    none = Table(np.zeros(0, np.int64), np.zeros(0))
+    get = lambda kind, k: part.get(kind, none).get(k)
+    mask2, mask1 = (1 << 2 * BITS) - 1, (1 << BITS) - 1
+    two = g & mask2
+    p, hit = get("p2", two)
+    p = p.astype(np.float64)
+    lost = np.flatnonzero(~hit)
+    p[lost] = part.get("p1", Table(np.zeros(0, np.int64), np.zeros(0), floor)).get(two[lost] & mask1)[0] + get("w1", two[lost] >> BITS)[0]
+    return p + get("w2", g >> BITS)[0]
+
+
+#: Rows that meet in a shard, in this order: its part of the model, packs of trigrams, sums of what needed no join.
+MODEL, PACK, SUMS = range(3)
+
+
+def pack(voc: Vocabulary, lower: Lower, floor: float, b: Block, keys: np.ndarray):
+    """(shard, kind, body) of a block. PACK: its documents' keys, and the shard's trigrams in order with document and
+    count, of those that the model may have seen. SUMS: documents' keys, tokens and log10 probabilities of the others."""
     w, doc = voc.numbers(b)
     at = np.flatnonzero(doc[2:] == doc[:-2])
     mask = (1 << BITS) - 1
     g, d, shard = (w[at] << 2 * BITS) | (w[at + 1] << BITS) | w[at + 2], doc[at].astype(np.int32), (w[at + 1] & mask) % SHARDS
+    tokens, total = np.zeros(b.n, np.int64), np.zeros(b.n)
     for s in range(SHARDS):
         mine = np.flatnonzero(shard == s)
+        part, seen = lower.part(s)
+        maybe = seen.maybe(g[mine])
+        other, mine = mine[~maybe], mine[maybe]
+        tokens += np.bincount(d[other], minlength=b.n)
+        total += np.bincount(d[other], weights=_backed_off(part, floor, g[other]), minlength=b.n)
         if not len(mine):
             continue
         mine = mine[np.lexsort((d[mine], g[mine]))]
@@ -266,25 +331,19 @@ def pack(voc: Vocabulary, b: Block, keys: np.ndarray):
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(h))).astype(np.int32)
         some, e = np.unique(e[first], return_inverse=True)
-        yield s, _packed((keys[some], _word_columns(h[first]), _thin(e.astype(np.int32)), _thin(n)))
+        yield s, PACK, _packed((keys[some], _word_columns(h[first]), _thin(e.astype(np.int32)), _thin(n)))
+    some = np.flatnonzero(tokens)
+    if len(some):
+        yield int(keys[0]) % SHARDS, SUMS, _packed((keys[some], tokens[some], total[some]))
 
 
 def unpack_and_sum(part: dict[str, Table], floor: float, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From a pack and the model's part of its shard: documents' keys, tokens and log10 probabilities."""
     keys, words, e, n = _opened(body)
     g, e, n = _from_word_columns(words), _thick(e, np.int32), _thick(n, np.int32)
-    none = Table(np.zeros(0, np.int64), np.zeros(0))
-    get = lambda kind, k: part.get(kind, none).get(k)
-    mask2, mask1 = (1 << 2 * BITS) - 1, (1 << BITS) - 1
-    p, hit = get("p3", g)
-    p = p.astype(np.float64)
-    miss = np.flatnonzero(~hit)
-    two = g[miss] & mask2
-    p2, hit2 = get("p2", two)
-    p2 = p2.astype(np.float64)
-    lost = np.flatnonzero(~hit2)
-    p2[lost] = part.get("p1", Table(np.zeros(0, np.int64), np.zeros(0), floor)).get(two[lost] & mask1)[0] + get("w1", two[lost] >> BITS)[0]
-    p[miss] = p2 + get("w2", g[miss] >> BITS)[0]
+    p, hit = part.get("p3", Table(np.zeros(0, np.int64), np.zeros(0))).get(g)
+    p, miss = p.astype(np.float64), np.flatnonzero(~hit)
+    p[miss] = _backed_off(part, floor, g[miss])
     return keys, np.bincount(e, weights=n, minlength=len(keys)).astype(np.int64), np.bincount(e, weights=n * p, minlength=len(keys))
 
 
@@ -313,7 +372,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // (2 * SHARDS)))
     d = narrow(docs, "doc_id", "lang", "text").withColumn("key", row_key(F.col("text"), F.col("doc_id")))
-    voc, floor = spark.sparkContext.broadcast(model.voc), model.floor
+    voc, lower, floor = spark.sparkContext.broadcast(model.voc), spark.sparkContext.broadcast(model.lower), model.floor
 
     def packs(batches):
         for x in batches:
@@ -321,11 +380,11 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             for b in blocks(x.column(1)):
                 mine = keys[b.first : b.first + b.n]
                 salt = int(mine[0]) % salts
-                for shard, body in pack(voc.value, b, mine):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([salt], pa.int32()), pa.array([1], pa.int32()), pa.array([body], pa.binary())], names=["shard", "salt", "kind", "body"])
+                for shard, kind, body in pack(voc.value, lower.value, floor, b, mine):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([salt], pa.int32()), pa.array([kind], pa.int32()), pa.array([body], pa.binary())], names=["shard", "salt", "kind", "body"])
 
     sent = d.select("key", "text").mapInArrow(packs, "shard int, salt int, kind int, body binary")
-    parts = model.shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "body")
+    parts = model.shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(MODEL).alias("kind"), "body")
     both = parts.unionByName(sent).repartition(SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def join(batches):
@@ -335,10 +394,12 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(x.num_rows):
                 if (shard[i], salt[i]) != of:
                     part, of = {}, (shard[i], salt[i])
-                if kind[i] == 0:
-                    part = _opened(x.column(3)[i].as_py())
+                body = x.column(3)[i].as_py()
+                if kind[i] == MODEL:
+                    part = _opened(body)
                 else:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, unpack_and_sum(part, floor, x.column(3)[i].as_py()))), names=["key", "n", "p"])
+                    sums = unpack_and_sum(part, floor, body) if kind[i] == PACK else _opened(body)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, sums)), names=["key", "n", "p"])
 
     sums = both.select("shard", "salt", "kind", "body").mapInArrow(join, "key bigint, n bigint, p double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     # rows of one id and text share a key: each has its part of their sum
@@ -351,7 +412,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = saved(trusted(labels), "trusted")
     ids = training_ids(docs, good)
     model = train(docs, ids)
-    release(docs.sparkSession)
     scored = saved(perplexities(docs, model), "scored")
     mean = -F.col("log10_p") / F.col("n_tokens")
     held = scored.join(good.join(F.broadcast(ids), "doc_id", "left_anti"), "doc_id", "left_semi")

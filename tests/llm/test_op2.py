@@ -103,3 +103,11 @@ def test_no_word_of_the_vocabulary_is_lost():
 
     h = np.concatenate([np.arange(1000, dtype=np.uint64), np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)])  # many share their first bits
     assert (HashTable(h, 4).find(h) == np.arange(len(h))).all()
+
+
+def test_filter_loses_no_key_and_passes_few_others():
+    r = np.random.default_rng(5)
+    keys = r.integers(0, 1 << 62, 20_000)
+    seen = op2.Seen(keys[:10_000])
+    assert seen.maybe(keys[:10_000]).all() and seen.maybe(keys[10_000:]).mean() < 0.03
+    assert not op2.Seen(keys[:0]).maybe(keys).any()
