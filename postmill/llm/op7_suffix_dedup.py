@@ -5,8 +5,8 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
 1. Anchors. Of every 200-byte string the 32-byte piece with the smallest hash is an anchor, so equal strings
    have equal anchors at equal places, about one anchor in 85 bytes. An anchor's context is the at most 168
    bytes before it and 200 from it on, within its document: all 200-byte strings around it.
-2. Anchors of one piece whose contexts are equal (of two independent hashes, a polynomial modulo 2**61 - 1 and the piece's) are repeated as a whole.
-   Equal contexts of one task are counted there and one of them goes on.
+2. Anchors of one piece whose contexts are equal (by a BLAKE2 digest of 128 bits over all their bytes) are repeated as
+   a whole. Equal contexts of one task are counted there and one of them goes on.
 3. Two anchors that share a 200-byte string share RIGHT bytes from the piece on or LEFT bytes before it. Contexts
    that share neither with another of their piece are done. The others get their bytes, and a suffix sort: contexts to the right of the anchor, and
    to the left read backwards, are merge-sorted; a comparison finds the common extension of two suffixes by
@@ -16,7 +16,7 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
    classes for every x.
 4. A piece with more than GROUP such contexts is split by how far before the anchor a string begins: strings that
    begin a to b bytes before it share a bytes to the left and LENGTH - b to the right, so equal ones meet in one
-   half of the range or the other. Contexts with equal bytes as far as a range's strings reach are repeated for
+   half of the range or the other. Contexts with equal bytes (by SHA-256) as far as a range's strings reach are repeated for
    the whole range, and one of them goes on for the others; one that stands alone drops out; halves go on
    splitting while they hold too many. A range of one is a class of equal strings.
 5. Covered stretches are merged a document at a time.
@@ -28,13 +28,14 @@ other and lose all (200 bytes or more). Extra columns are not read; an empty tab
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, blocks, eights, joined, mix, polynomial, powers, prefix, repeated, span
+from postmill.llm.blocks import Block, blocks, eights, joined, mix, polynomial, powers, prefix, repeated
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 LENGTH, PIECE = 200, 32
@@ -75,6 +76,39 @@ def anchors(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos, h[pos], doc[pos]
 
 
+def contexts(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Two numbers for each data[lo:hi], the same for equal bytes with equally many of them before the anchor."""
+    whole = data.tobytes()
+    digests = b"".join([hashlib.blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(lo.tolist(), hi.tolist(), strict=True)])
+    out = np.frombuffer(digests, np.int64).reshape(-1, 2).copy()
+    out[:, 0] ^= before
+    return out
+
+
+#: The odd base of the hash of sides, modulo 2**64: it only tells who may share one, the suffix sort decides.
+_SIDE_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(2)
+def _side_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.full(n, b, np.uint64) for b in (_SIDE_BASE, pow(_SIDE_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class Sides:
+    """32-bit hashes of spans of data, never 0."""
+
+    def __init__(self, data: np.ndarray):
+        n = 1 << len(data).bit_length()
+        up, self.down = _side_powers(n)
+        self.S = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.S[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.S[end] - self.S[start]) * self.down[start]) >> np.uint64(32) | np.uint64(1)
+
+
 def _merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping or touching stretches of one key as one; sorted."""
     if not len(key):
@@ -90,27 +124,27 @@ def _merged(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return key[at], lo[at], top[np.append(at[1:] - 1, len(key) - 1)]
 
 
-# An anchor's row. piece, context: hashes; key: its document; place: position, bytes before and after it in its context;
+# An anchor's row. piece: a hash; context, check: its context's digest; key: its document; place: position, bytes before and after it in its context;
 # sides: 32 bits of a hash of its right and of its left side (0: too short); n: how many of the task have the context.
 # A covered stretch is a row too, with n = 0 and its ends in place and sides; its piece only spreads the rows.
-_ROW = "piece bigint, context bigint, key bigint, place bigint, sides bigint, n int"
+_ROW = "piece bigint, context bigint, check bigint, key bigint, place bigint, sides bigint, n int"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
 def _counted(parts: list) -> pa.RecordBatch:
     """The anchors of a task, one for each context, and what is covered by contexts that it has twice."""
-    piece, context, key, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
-    o = np.lexsort((context, piece))
-    piece, context, key, place, sides = piece[o], context[o], key[o], place[o], sides[o]
+    piece, context, check, key, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
+    o = np.lexsort((check, context, piece))
+    piece, context, check, key, place, sides = piece[o], context[o], check[o], key[o], place[o], sides[o]
     new = np.ones(len(piece), bool)
-    new[1:] = (piece[1:] != piece[:-1]) | (context[1:] != context[:-1])
+    new[1:] = (piece[1:] != piece[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(piece)))
     p = place[np.repeat(n, n) > 1]
     k, a, z = _merged(key[np.repeat(n, n) > 1], (p >> 16) - (p >> 8 & 255), (p >> 16) + (p & 255))
     spread = mix(k.view(np.uint64) + a.astype(np.uint64)).view(np.int64)
     zero = np.zeros(len(k), np.int64)
-    cols = [(piece[first].view(np.int64), spread), (context[first].view(np.int64), zero), (key[first], k), (place[first], a), (sides[first], z), (n.astype(np.int32), zero.astype(np.int32))]
+    cols = [(piece[first].view(np.int64), spread), (context[first], zero), (check[first], zero), (key[first], k), (place[first], a), (sides[first], z), (n.astype(np.int32), zero.astype(np.int32))]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=_NAMES)
 
 
@@ -124,12 +158,10 @@ def _find_anchors(batches):
                 continue
             start = b.off[doc]
             lo, hi = np.maximum(start, pos - REACH), np.minimum(b.off[doc + 1], pos + LENGTH)
-            S = prefix(b.data)
-            context = mix(span(S, lo, hi) ^ (pos - lo).astype(np.uint64))
-            half = np.uint64(32)
-            right = np.where(hi - pos >= RIGHT, span(S, pos, np.minimum(pos + RIGHT, hi)) >> half | np.uint64(1), np.uint64(0))
-            left = np.where(pos - lo >= LEFT, span(S, np.maximum(pos - LEFT, lo), pos + PIECE) >> half | np.uint64(1), np.uint64(0))
-            held.append((piece, context, keys[b.first : b.first + b.n][doc], pos - start << 16 | pos - lo << 8 | hi - pos, (right << half | left).view(np.int64)))
+            context, sides = contexts(b.data, lo, hi, pos - lo), Sides(b.data)
+            right = np.where(hi - pos >= RIGHT, sides.of(pos, np.minimum(pos + RIGHT, hi)), np.uint64(0))
+            left = np.where(pos - lo >= LEFT, sides.of(np.maximum(pos - LEFT, lo), pos + PIECE), np.uint64(0))
+            held.append((piece, context[:, 0], context[:, 1], keys[b.first : b.first + b.n][doc], pos - start << 16 | pos - lo << 8 | hi - pos, (right << np.uint64(32) | left).view(np.int64)))
             size += len(pos)
             if size >= HELD:
                 yield _counted(held)
@@ -292,7 +324,7 @@ def _split(members: DataFrame) -> list[DataFrame]:
         x = x.filter((before >= F.col("a")) & (after >= LENGTH - F.col("b")))
         x = x.withColumn("unit", F.xxhash64("unit", "a", "b", cut(F.col("a"), F.col("b"))))
         wide = (before >= F.col("b")) & (after >= LENGTH - F.col("a"))
-        x = x.withColumn("same", F.when(wide, F.xxhash64(cut(F.col("b"), F.col("a")), F.lit("whole"))).otherwise(F.xxhash64("key", "pos", F.lit("own"))))
+        x = x.withColumn("same", F.when(wide, F.sha2(cut(F.col("b"), F.col("a")), 256)).otherwise(F.concat_ws(" ", F.lit("own"), "key", "pos")))
         x = x.withColumn("i", F.row_number().over(same.orderBy("key", "pos"))).withColumn("alike", F.sum("n").over(same).cast("int"))
         x = x.withColumn("classes", F.count(F.when(F.col("i") == 1, 1)).over(unit)).filter("classes > 1 or alike > 1")
         x = saved(x, "halves")
@@ -311,7 +343,7 @@ def only(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """(key, lo, hi): covered stretches of the documents (key, text); they may overlap."""
-    piece, same = Window.partitionBy("piece"), Window.partitionBy("piece", "context")
+    piece, same = Window.partitionBy("piece"), Window.partitionBy("piece", "context", "check")
     x = docs.mapInArrow(_find_anchors, _ROW)
     x = x.withColumn("all", F.sum("n").over(piece)).filter("all > 1 or n = 0")
     x = x.withColumn("i", F.row_number().over(same.orderBy("key", "place"))).withColumn("alike", F.sum("n").over(same).cast("int"))

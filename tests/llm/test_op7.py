@@ -73,3 +73,12 @@ def test_kept_bytes_and_empty_table(spark):
     got = {r.doc_id: bytes(r.kept) for r in op7.remove_repeats(df).collect()}
     assert got == {1: b"q" * 150, 2: b""}
     assert op7.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_contexts_are_equal_for_equal_bytes_at_an_equal_place_only():
+    data = np.frombuffer(b"abab" * 50 + b"abac" * 50, np.uint8)
+    lo, hi, before = np.array([0, 4, 0, 200, 1]), np.array([100, 104, 100, 300, 101]), np.array([10, 10, 12, 10, 10])
+    got = [tuple(x) for x in op7.contexts(data, lo, hi, before).tolist()]
+    assert got[0] == got[1] and len(set(got)) == 4
+    sides = op7.Sides(data).of(lo, hi)
+    assert sides[0] == sides[1] == sides[2] and sides[3] != sides[0] and sides.all()
