@@ -17,7 +17,8 @@ thirds) and of the answer (the rest), and a common run of RUN words. Items of fe
 sequence of words; one of a single word has no answer to verify.
 
 Items are dealt to shards of about SHARD parts. A task builds each shard's index; one shard at a time goes to all
-tasks (SHARD bounds what is broadcast), and more items mean more passes.
+tasks (SHARD bounds what is broadcast), and more items mean more passes. Each shard's matches are written once; the
+pipeline's stage writes the keys of matched rows and drops these from its input once.
 
 Defined cases: null and empty documents match nothing, items without words are left out. Equal items match alike, each
 under its id (null too); equal scores are all retrieved. A row without doc_id has rows without one. Repeated rows each
@@ -28,7 +29,7 @@ memory for each of its own while its task works on it.
 from __future__ import annotations
 
 import pickle
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ LIGHT, CELLS = 0.1, 4_000_000
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.6
 SHARD = 20_000
+#: Keys of matched rows that a join may broadcast, counted first; beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 STEP = PART = PASSAGE // 2
 
 NOT_WORD = np.ones(256, bool)
@@ -272,7 +275,7 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double,
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified match."""
     ship(docs.sparkSession)
-    out = None
+    parts = []
     for packed in _by_shard(benchmark):
 
         def run(batches, packed=packed):
@@ -284,31 +287,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = x.column(0).take(pa.array([b.first + d for d in cols[0]], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        if out is not None:  # what an earlier shard found is written, so that its index can go
-            out = saved(out, "matches")
-        found = narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+        if parts:  # what the shard before found is written, so that its index can go
+            parts[-1] = saved(parts[-1], "matches")
+        parts.append(narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with no verified benchmark item."""
-    ship(spark)
-    at, first = docs.schema.names.index("text"), True
-    for packed in _by_shard(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+def _matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key of the rows (key, text) with a verified item, each shard's written once."""
+    parts = []
+    for packed in _by_shard(benchmark):
 
         def run(batches, packed=packed):
             index = _opened(packed.value)
             for x in batches:
-                good = np.ones(x.num_rows, bool)
-                for b in blocks(x.column(at)):
-                    good[[b.first + d for d, *_ in search(index, b)]] = False
-                yield x.filter(pa.array(good))
-
-        docs = (docs if first else saved(docs, "clean")).mapInArrow(run, docs.schema)
-        first = False
-    return docs
+                for b in blocks(x.column(1)):
+                    hit = {b.first + d for d, *_ in search(index, b)}
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(sorted(hit), pa.int64()))], names=["key"])
+
+        parts.append(saved(docs.mapInArrow(run, "key string"), "matched"))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else docs.select("key").limit(0)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents with no verified benchmark item."""
+    ship(spark)
+    text = F.col("text").cast("string")
+    key = F.sha2(F.coalesce(text, F.lit("")), 256)  # equal texts match alike
+    keys = _matched(docs.select(key.alias("key"), text.alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keys = keys.withColumnRenamed("key", name)
+    return docs.withColumn(name, key).join(F.broadcast(keys) if few else keys, name, "left_anti").select(*docs.columns)
