@@ -88,6 +88,25 @@ def row_key(text: Column, doc_id: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\0")), F.coalesce(text, F.lit("")))
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text (null: empty): the key of decisions that follow from the text alone."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+#: Digests that a join may broadcast, counted first; beyond it the join shuffles.
+BROADCAST_DIGESTS = 500_000
+
+
+def without(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose text has none of these (distinct) digests, under any column names."""
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    few = digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    digests = digests.toDF(name)
+    return docs.withColumn(name, text_digest(F.col("text"))).join(F.broadcast(digests) if few else digests, name, "left_anti").select(*docs.columns)
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, with documents' types, whatever else the table has."""
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.llm.blocks import Words, blocks, hashes, per_doc_keys, repeated
-from postmill.llm.common import documents, narrow, saved, ship
+from postmill.llm.common import documents, narrow, saved, ship, text_digest, without
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -139,31 +139,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
-def judged(docs: DataFrame, column: str = "_ledger") -> DataFrame:
-    """The rows with a struct of their failures and measurements beside them, each text read once; written."""
+def judged(docs: DataFrame, column: str = "ledger") -> DataFrame:
+    """The pipeline's ledger: doc_id, the text's digest, a struct of failures and measurements; written, without texts."""
     ship(docs.sparkSession)
-    at = docs.schema.names.index("text")
     kind = T.StructType([T.StructField(k, T.LongType()) for k in ("failures", *FIELDS)])
 
     def run(batches):
         for x in batches:
-            m = measure(x.column(at))
+            m = measure(x.column(2))
             bits = np.zeros(x.num_rows, np.int64)
             for r in RULES:
                 bits |= np.where(r.fails(m), 1 << r.bit, 0)
             row = pa.StructArray.from_arrays([pa.array(bits), *map(pa.array, m.values())], names=["failures", *m])
-            yield pa.RecordBatch.from_arrays([*x.columns, row], names=[*x.schema.names, column])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), row], names=["doc_id", "digest", column])
 
-    return saved(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, kind)])), "ledger")
+    rows = narrow(docs, "doc_id", "text").select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
+    return saved(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField(column, kind)])), "ledger")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the policy keeps, by the bits of their written ledger."""
-    column = "_ledger"
-    while column in docs.columns:
-        column += "_"
+    """Pipeline stage: documents that the policy keeps, by the bits of their written ledger; equal texts fail alike."""
     mask = POLICIES["v2-strict"] | BASE_MASK
-    return judged(docs, column).filter(F.col(f"{column}.failures").bitwiseAND(F.lit(mask)) == 0).select(*docs.columns)
+    return without(docs, judged(docs).filter(F.col("ledger.failures").bitwiseAND(F.lit(mask)) != 0).select("digest").distinct())
 
 
 #: The query in DuckDB SQL (for tables whose doc_id is unique).

@@ -38,15 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.blocks import Block, Words, blocks, distinct, grams
-from postmill.llm.common import documents, narrow, saved, ship
+from postmill.llm.common import documents, narrow, saved, ship, text_digest, without
 
 PASSAGE, ITEM_BLOCK, RUN = 128, 4, 5
 LIGHT, CELLS = 0.1, 4_000_000
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.7, 0.6
 SHARD = 20_000
-#: Keys of matched rows that a join may broadcast, counted first; beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
 STEP = PART = PASSAGE // 2
 
 NOT_WORD = np.ones(256, bool)
@@ -317,11 +315,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with no verified benchmark item."""
     ship(spark)
     text = F.col("text").cast("string")
-    key = F.sha2(F.coalesce(text, F.lit("")), 256)  # equal texts match alike
-    keys = _matched(docs.select(key.alias("key"), text.alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = keys.withColumnRenamed("key", name)
-    return docs.withColumn(name, key).join(F.broadcast(keys) if few else keys, name, "left_anti").select(*docs.columns)
+    return without(docs, _matched(docs.select(text_digest(text).alias("key"), text.alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
