@@ -9,12 +9,16 @@ from postmill.functions.ids import derived_id, sign_bits
 from postmill.functions.number import clock
 from postmill.functions.url import canonical, host, redact
 from postmill.operators import verdicts
+from postmill.operators.frames import ENOUGH, FREE, LEAST_AREA, LOW, clip_class, frame_hits, hit_ratio, uneven, with_sample_check
 from postmill.operators.joins import in_windows, near_hashes
 from postmill.operators.select import chunks, evenly
 from postmill.plans.registry import query
 from postmill.sources import html
 from postmill.sources.tables import table
 
+#: Ours: lines shipped within so many days are frames that came; lines with so much discount have boxes.
+EMITTED_DAYS, BOX_DISCOUNT = 60, 0.05
+
 
 @query(r"""
 select page_id, regexp_extract(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), '.*', 0) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))
@@ -154,3 +158,30 @@ def page_images(spark, sf_dir):
     """Image candidates of pages: link targets read as pictures, since the pages have none of their own."""
     p = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", '<a href="', '<img src="'))
     return html.image_candidates(p)
+
+
+@query(f"""
+with l as (select l_orderkey as clip, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_tax) as i, l_quantity * 1.0 as w, l_partkey * 1.0 as h, l_partkey * l_tax as bh, l_shipdate <= o_orderdate + interval {EMITTED_DAYS} day as emitted, l_discount >= {BOX_DISCOUNT} as found
+  from lineitem join orders on l_orderkey = o_orderkey),
+f as (select clip, row_number() over (partition by clip order by i) as place, w, h from l where emitted),
+b as (select clip, row_number() over (partition by clip order by i) as place, w * bh as area from l where found),
+n as (select clip, count(*) as expected, cast(count_if(emitted) as bigint) as emitted, count_if(found) as n_boxes from l group by 1),
+h as (select f.clip, cast(count_if(coalesce(area / (greatest(w, 1) * greatest(h, 1)) >= {LEAST_AREA}, false)) as bigint) as n_hits from f left join b on f.clip = b.clip and f.place = b.place group by 1),
+r as (select n.clip, expected, emitted, n_boxes <> emitted as uneven, coalesce(n_hits, 0) as n_hits, case when emitted > 0 then coalesce(n_hits, 0) / emitted end as ratio from n left join h on n.clip = h.clip),
+c as (select *, emitted < expected * {ENOUGH} as cut, case when ratio is null then 'unavailable' when ratio <= {FREE} then 'face_free' when ratio <= {LOW} then 'low_face' else 'face_heavy' end as class from r)
+select clip, expected, emitted, uneven, n_hits, case when cut then 'unavailable' else class end as class, case when cut then 'sample_truncated' end as reason, cut as low_confidence, case when cut then round(emitted / expected, 6) end as sample_coverage from c""")
+def sampled_clip_class(spark, sf_dir):
+    """An order as a clip: lines shipped early are the frames that came, discounted lines the lists of boxes, matched by
+    place; the class by the share of hit frames, unavailable for a badly cut sample."""
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")  # noqa: E741
+    came = F.col("l_shipdate") <= F.col("o_orderdate") + F.expr(f"interval {EMITTED_DAYS} days")
+    size = lambda h: F.struct(F.col("l_quantity").cast("double").alias("w"), h.cast("double").alias("h"))
+    line = F.struct(*key, came.alias("came"), (F.col("l_discount") >= BOX_DISCOUNT).alias("found"), size(F.col("l_partkey")).alias("frame"), F.array(size(F.col("l_partkey") * F.col("l_tax"))).alias("boxes"))
+    c = l.groupBy(F.col("l_orderkey").alias("clip")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    frames = F.transform(F.filter("lines", lambda x: x["came"]), lambda x: x["frame"])
+    boxes = F.transform(F.filter("lines", lambda x: x["found"]), lambda x: x["boxes"])
+    c = c.select("clip", F.size("lines").cast("bigint").alias("expected"), F.size(frames).cast("bigint").alias("emitted"), uneven(frames, boxes).alias("uneven"), frame_hits(frames, boxes).alias("hits"))
+    c = c.withColumns({"n_hits": F.size(F.filter("hits", lambda h: h)).cast("bigint"), "class": clip_class(hit_ratio(F.col("hits"))), "reason": F.lit(None).cast("string"), "low_confidence": F.lit(False), "sample_coverage": F.lit(None).cast("double")})
+    c = c.withColumn("truncated", F.col("emitted") < F.col("expected"))
+    return with_sample_check(c, "truncated", "expected", "emitted").drop("hits", "truncated")
