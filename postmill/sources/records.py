@@ -40,38 +40,74 @@ def infer_source(file: Column) -> Column:
 
 def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(raw_file, position, record): one VARIANT a record. A .jsonl line that is no JSON is dropped; one cut inside a
-    string is joined with the next lines first (five at most). A .json file may wrap its records several levels deep."""
+    string is joined with the next lines first (five at most). A .json file may wrap its records several levels deep.
+    Lines are read by split, many tasks a file; position orders a file's records (its numbers follow the splits)."""
     lines_of = [p for p in paths if p.endswith(".jsonl")]
     whole_of = [p for p in paths if not p.endswith(".jsonl")]
     parts = []
     if lines_of:
-        t = spark.read.text(lines_of, wholetext=True).select("value", F.col("_metadata.file_path").alias("raw_file"))
-        parts.append(t.select("raw_file", F.posexplode(_rejoined(F.regexp_replace("value", "^﻿", ""))).alias("position", "text")))
+        parts.append(_line_records(spark, lines_of))
     if whole_of:
-        t = spark.read.text(whole_of, wholetext=True)
-        parts.append(t.select(F.col("_metadata.file_path").alias("raw_file"), F.lit(0).alias("position"), F.regexp_replace("value", "^﻿", "").alias("text")))
-    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    raw = raw.select("raw_file", "position", F.try_parse_json("text").alias("v")).filter("v is not null")
-    return _unwrapped(raw)
-
-
-def _rejoined(text: Column) -> Column:
-    """A JSONL file's records: a fold over its lines that keeps an unfinished record open for five more lines."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def step(a, line):
-        whole = F.when(a["open"] == "", line).otherwise(F.concat(a["open"], F.lit("\\n"), line))
-        fits = F.try_parse_json(whole).isNotNull()
-        alone = F.try_parse_json(line).isNotNull()  # what was open is lost, this line is not
-        more = whole.startswith("{") & (a["n"] < 5) & ~alone
-        return F.struct(
-            F.when(fits, F.array_append(a["done"], whole)).when(alone, F.array_append(a["done"], line)).otherwise(a["done"]).alias("done"),
-            F.when(fits | alone | ~more, F.lit("")).otherwise(whole).alias("open"),
-            F.when(fits | alone | ~more, F.lit(0)).otherwise(a["n"] + 1).alias("n"),
-        )
-
-    return F.aggregate(lines, start, step, lambda a: a["done"])
+        t = spark.read.text(whole_of, wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+        start = F.struct(F.lit(0).cast("bigint").alias("split"), F.lit(0).cast("bigint").alias("line"))
+        parts.append(t.select("raw_file", start.alias("position"), F.try_parse_json("text").alias("v")).filter("v is not null"))
+    return _unwrapped(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def _line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(raw_file, position, v) of JSONL files. Only lines that don't parse are shuffled, with the edges of each split;
+    whether two of them are neighbours shows from their numbers, over a split's edge from the splits' edges."""
+    t = spark.read.option("lineSep", "\n").text(paths)
+    t = t.select(F.col("_metadata.file_path").alias("raw_file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("text"))
+    t = t.filter(F.trim("text") != "").withColumn("line", F.monotonically_increasing_id())
+    place = F.struct("split", F.col("line").bitwiseAND(F.lit((1 << 33) - 1)).alias("line")).alias("position")
+    read = t.withColumn("v", F.try_parse_json("text"))
+    whole = read.filter("v is not null").select("raw_file", place, "v")
+    edges = t.groupBy("raw_file", "split").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    edges = edges.withColumn("next", F.lead("split").over(Window.partitionBy("raw_file").orderBy("split")))  # a row a split
+    broken = read.filter("v is null").select("raw_file", "split", "line", "text").join(edges, ["raw_file", "split"])
+    joined = _rejoined(broken).select("raw_file", place, F.try_parse_json("text").alias("v"))
+    return whole.unionByName(joined)
+
+
+#: Fixed value: so many lines are joined to a cut one.
+REJOINED = 5
+
+
+def _rejoined(broken: DataFrame) -> DataFrame:
+    """(raw_file, split, line, text): records put together from neighbouring broken lines, the fewest that parse. A record
+    starts with a brace; what it took up starts none, nor do the five lines after a start that never parses."""
+    w = Window.partitionBy("raw_file").orderBy("split", "line")
+    same = (F.lag("split").over(w) == F.col("split")) & (F.lag("line").over(w) + 1 == F.col("line"))
+    over = (F.lag("line").over(w) == F.lag("last").over(w)) & (F.lag("next").over(w) == F.col("split")) & (F.col("line") == F.col("first"))
+    x = broken.withColumn("linked", F.coalesce(same | over, F.lit(False))).withColumn("opens", F.startswith("text", F.lit("{")))
+    ahead = [F.struct(F.lead("linked", k).over(w).alias("linked"), F.lead("text", k).over(w).alias("text")).alias(f"a{k}") for k in range(1, REJOINED + 1)]
+    x = x.select("raw_file", "split", "line", "text", "linked", "opens", *ahead)
+    taken = F.lit(None).cast("int")
+    for k in range(REJOINED, 0, -1):
+        linked = F.lit(True)
+        for j in range(1, k + 1):
+            linked = linked & F.coalesce(F.col(f"a{j}.linked"), F.lit(False))
+        text = F.concat_ws("\\n", "text", *[f"a{j}.text" for j in range(1, k + 1)])
+        taken = F.when(linked & F.try_parse_json(F.when(linked, text)).isNotNull(), k).otherwise(taken)
+    x = x.withColumn("taken", F.when(F.col("opens"), taken))
+    tail = [F.when(F.col("taken") >= k, F.col(f"a{k}.text")) for k in range(1, REJOINED + 1)]
+    x = x.select("raw_file", "split", "line", F.when(F.col("taken").isNotNull(), F.concat_ws("\\n", "text", *tail)).alias("text"), "linked", "opens", "taken")
+    return x.mapInPandas(_starts, "raw_file string, split bigint, line bigint, text string")
+
+
+def _starts(batches):
+    """Walks broken lines in file order, with what is left to pass over as its only state."""
+    file, over = None, 0
+    for b in batches:
+        keep = []
+        for name, linked, opens, taken in zip(b.raw_file, b.linked, b.opens, b.taken):
+            if name != file or not linked:
+                file, over = name, 0
+            begins = over == 0 and opens
+            keep.append(begins and taken == taken and taken is not None)
+            over = (int(taken) if keep[-1] else REJOINED) if begins else max(0, over - 1)
+        yield b.loc[keep, ["raw_file", "split", "line", "text"]]
 
 
 def _unwrapped(raw: DataFrame) -> DataFrame:
