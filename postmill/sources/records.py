@@ -51,7 +51,7 @@ def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
         t = spark.read.text(whole_of, wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
         start = F.struct(F.lit(0).cast("bigint").alias("split"), F.lit(0).cast("bigint").alias("line"))
         parts.append(t.select("raw_file", start.alias("position"), F.try_parse_json("text").alias("v")).filter("v is not null"))
-    return _unwrapped(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return unwrapped(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 
 def _line_records(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -110,7 +110,7 @@ def _starts(batches):
         yield b.loc[keep, ["raw_file", "split", "line", "text"]]
 
 
-def _unwrapped(raw: DataFrame) -> DataFrame:
+def unwrapped(raw: DataFrame) -> DataFrame:
     """Lists and wrapped lists to their records, three levels deep; anything else is a record itself."""
     for level in range(3):
         inner = F.coalesce(*[F.try_variant_get("v", f"$.{w}", "variant") for w in WRAPPERS])
