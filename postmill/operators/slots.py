@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import first_text, has_any
@@ -62,43 +62,44 @@ def plausible_object(value: Column, v: Vocabulary) -> Column:
     return ~value.rlike("^[！!？?，,。；;：:、]") & (F.length(bare) >= 2) & ~bare.isin(empty_words or [""])
 
 
-def slots(text: Column, v: Vocabulary) -> Column:
-    """A struct of subject, action, object, time; '' where there is none, also for a null text.
+def with_slots(df: DataFrame, text: Column, v: Vocabulary) -> DataFrame:
+    """With columns subject, action, object, time; '' where there is none, also for a null text. They replace columns of
+    these names. Each step is a projection of its own, so that none of its patterns runs twice.
 
     Action: the first that a word announces, else the first. Subject: the known name that comes first, else the clause
     before the action. Object: the phrase between them if it ends in a kind, else what follows the action, else a title in
     book quotes or a name in Latin letters."""
-    t = F.coalesce(text, F.lit(""))
     acts, clause = f"(?:{either(v.actions)})", f"[^{BREAKS}]"
-    plain = rf"(?s)^(.*?)({acts})"
-    announced = rf"(?s)^(.*?(?:{either(v.ahead)}){clause}{{0,{ANNOUNCED}}}?)({acts})" if v.ahead else None
-    at = F.when(t.rlike(announced), F.struct(F.regexp_extract(t, announced, 1).alias("before"), F.regexp_extract(t, announced, 2).alias("action"))) if announced else F.lit(None)
-    at = F.coalesce(at, F.struct(F.regexp_extract(t, plain, 1).alias("before"), F.regexp_extract(t, plain, 2).alias("action")))
-
-    def on(a):
-        before, action = a["before"], a["action"]
-        after = F.substring(t, F.length(before) + F.length(action) + 1, F.length(t))
-        known = F.lit("")
-        if v.names:
-            spelling = F.create_map(*[F.lit(x) for n in v.names for x in (n.lower(), n)])
-            known = F.coalesce(spelling[F.lower(F.regexp_extract(t, f"(?i)(?:{either(v.names)})", 0))], F.lit(""))
-        own = F.regexp_extract(before, f"({clause}*)$", 1)
-        if v.lead:
-            own = F.regexp_replace(own, f"^ *(?:(?:{either(v.lead)}) *)+", "")
-        own = F.trim(own, F.lit(ENDS))
-        fits = (action != "") & F.length(own).between(*SUBJECT) & plausible_subject(own, v)
-        subject = F.when(known != "", known).when(fits, own).otherwise("")
-        start = F.instr(F.lower(before), F.lower(subject))
-        middle = F.when((subject != "") & (start > 0), F.substring(before, start + F.length(subject), F.length(before)))
-        one = ~middle.rlike(f"[{BREAKS}]")
-        between = F.trim(middle, F.lit(ENDS))
-        near = one & (F.length(middle) <= NEAR)
-        kind = f"(?:{either(v.kinds)})" if v.kinds else "(?:$a)"
-        follows = first_text(F.regexp_extract(after, rf"^({clause}{{{OBJECT[0]},{OBJECT[1]}}}?{kind})", 1), F.regexp_extract(after, rf"^({clause}{{{OBJECT[0]},{OBJECT[1]}}})", 1))
-        named = F.regexp_extract(t, r"《[^》]{2,60}》|[A-Z][A-Za-z0-9._-]{2,60}", 0)
-        obj = F.when(one & between.rlike(f"{kind}$") & F.length(between).between(*OBJECT), between).when(near & follows.isNotNull(), F.trim(follows, F.lit(ENDS))).otherwise(named)
-        obj = F.when(plausible_object(obj, v), obj).otherwise("")
-        when = first_text(*[F.regexp_extract(t, p, 0) for p in v.times]) if v.times else F.lit(None)
-        return F.struct(subject.alias("subject"), action.alias("action"), obj.alias("object"), F.coalesce(when, F.lit("")).alias("time"))
-
-    return F.transform(F.array(at), on)[0]
+    c = lambda name: F.col("_slots_" + name)
+    x = df.withColumn("_slots_t", F.coalesce(text, F.lit("")))
+
+    def step(**columns):
+        nonlocal x
+        x = x.withColumns({"_slots_" + k: e for k, e in columns.items()})
+
+    cut = lambda pattern: F.regexp_extract_all(c("t"), F.lit(pattern), F.lit(1))
+    first = F.get(cut(rf"(?s)\A(.*?){acts}"), F.lit(0))
+    if v.ahead:
+        first = F.coalesce(F.get(cut(rf"(?s)\A(.*?(?:{either(v.ahead)}){clause}{{0,{ANNOUNCED}}}?){acts}"), F.lit(0)), first)
+    step(before=F.coalesce(first, F.lit("")))
+    step(action=F.regexp_extract(F.substring(c("t"), F.length(c("before")) + 1, F.lit(max(map(len, v.actions)))), f"^{acts}", 0))
+    step(after=F.substring(c("t"), F.length(c("before")) + F.length(c("action")) + 1, F.lit(OBJECT[1] + max(map(len, [*v.kinds, ""])))))
+    spelling = F.create_map(*[F.lit(y) for n in v.names for y in (n.lower(), n)]) if v.names else None
+    own = F.substring_index(F.translate(c("before"), BREAKS, "\n" * len(BREAKS)), "\n", -1)
+    if v.lead:
+        own = F.regexp_replace(own, f"^ *(?:(?:{either(v.lead)}) *)+", "")
+    known = spelling[F.lower(F.regexp_extract(c("t"), f"(?i)(?:{either(v.names)})", 0))] if v.names else F.lit(None).cast("string")
+    step(known=known, own=F.trim(own, F.lit(ENDS)))
+    fits = (c("action") != "") & F.length(c("own")).between(*SUBJECT) & plausible_subject(c("own"), v)
+    step(subject=F.coalesce(c("known"), F.when(fits, c("own")), F.lit("")))
+    step(start=F.instr(F.lower(c("before")), F.lower(c("subject"))))
+    step(middle=F.when((c("subject") != "") & (c("start") > 0), F.substring(c("before"), c("start") + F.length(c("subject")), F.length(c("before")))))
+    step(between=F.trim(c("middle"), F.lit(ENDS)), one=~c("middle").rlike(f"[{BREAKS}]"))
+    kind = f"(?:{either(v.kinds)})" if v.kinds else "(?:$a)"
+    bounded = [F.regexp_extract(c("after"), rf"^({clause}{{{OBJECT[0]},{OBJECT[1]}}}{lazy})", 1) for lazy in (f"?{kind}", "")]
+    step(follows=first_text(*bounded), named=F.regexp_extract(c("t"), r"《[^》]{2,60}》|[A-Z][A-Za-z0-9._-]{2,60}", 0))
+    near, phrase = c("one") & (F.length(c("middle")) <= NEAR), F.length(c("between")).between(*OBJECT)
+    step(object=F.when(c("one") & phrase & F.substring(c("between"), -max(map(len, [*v.kinds, ""])), 99).rlike(f"{kind}$"), c("between")).when(near & c("follows").isNotNull(), F.trim(c("follows"), F.lit(ENDS))).otherwise(c("named")))
+    when = first_text(*[F.regexp_extract(c("t"), p, 0) for p in v.times]) if v.times else F.lit(None).cast("string")
+    out = {"subject": c("subject"), "action": c("action"), "object": F.when(plausible_object(c("object"), v), c("object")).otherwise(""), "time": F.coalesce(when, F.lit(""))}
+    return x.withColumns(out).drop(*[k for k in x.columns if k.startswith("_slots_")])

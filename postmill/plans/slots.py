@@ -28,7 +28,7 @@ with d as (select doc_id, coalesce(text, '') as t from documents), a as (
   select doc_id, t, case when is_ahead then regexp_extract(t, '{_AHEAD}', 1) else regexp_extract(t, '{_FIRST}', 1) end as before,
     case when is_ahead then regexp_extract(t, '{_AHEAD}', 2) else regexp_extract(t, '{_FIRST}', 2) end as action,
     coalesce(case lower(regexp_extract(t, '(?i)(?:{s.either(WORDS.names)})', 0)) {_NAMES} end, '') as known from a), c as (
-  select *, substring(t, length(before) + length(action) + 1) as after, trim(regexp_replace(regexp_extract(before, '({_CLAUSE}*)$', 1), '^ *(?:(?:{s.either(WORDS.lead)}) *)+', ''), '{_ENDS}') as own from b), e as (
+  select *, substring(t, length(before) + length(action) + 1) as after, trim(regexp_replace(split_part(translate(before, '{s.BREAKS}', repeat(chr(10), {len(s.BREAKS)})), chr(10), -1), '^ *(?:(?:{s.either(WORDS.lead)}) *)+', ''), '{_ENDS}') as own from b), e as (
   select *, case when known <> '' then known when action <> '' and length(own) between 2 and 36 and not {any_of('own', WORDS.noise)}
     and (regexp_matches(own, '^\\p{{L}}[\\p{{L}}\\p{{N}}·._-]{{1,35}}$') or {any_of('own', WORDS.hints)}) then own else '' end as subject from c), f as (
   select *, case when subject <> '' and instr(lower(before), lower(subject)) > 0 then substring(before, instr(lower(before), lower(subject)) + length(subject)) end as middle,
@@ -42,6 +42,6 @@ select *, 30 * (subject <> '')::int + 30 * (action <> '')::int + 30 * (object <>
   concat_ws(',', case when subject = '' then 'subject' end, case when action = '' then 'action' end, case when object = '' then 'object' end) as missing from i""")
 def news_slots(spark, sf_dir):
     """Subject, action, object and time of every whole text, how complete they are and which are missing."""
-    d = table(spark, sf_dir, "documents").select("doc_id", s.slots(F.col("text"), WORDS).alias("s")).select("doc_id", "s.*")
+    d = s.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), WORDS).drop("text")
     there = readiness(F.col("subject"), F.col("action"), F.col("object"), F.col("time"), F.lit(True), F.lit(False))
     return d.withColumns({k: there[k] for k in ("completeness", "missing")})

@@ -22,8 +22,14 @@ def test_slots(spark):
         "": ("", "", "", ""),
         None: ("", "", "", ""),
     }
-    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", s.slots(F.col("t"), V).alias("s")).collect()
-    assert {r.t: tuple(r.s) for r in rows} == cases
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").transform(s.with_slots, F.col("t"), V).collect()
+    assert {r.t: tuple(r)[1:] for r in rows} == cases
+
+
+def test_a_long_text_without_breaks(spark):
+    text = "word " * 200_000 + "Acme launches x"
+    (r,) = s.with_slots(spark.createDataFrame([(text, 1)], "t string, subject int"), F.col("t"), V).select("subject", "action", "time").collect()
+    assert tuple(r) == ("Acme", "launches", "")
 
 
 def test_plausible(spark):
