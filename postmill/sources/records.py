@@ -147,12 +147,24 @@ def first_seen(posts: DataFrame) -> DataFrame:
     return posts.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")
 
 
+#: Ours: a path is matched to the last so many characters of an id, then to all of it.
+PIECE = 8
+
+
 def with_hints(posts: DataFrame, hints: DataFrame) -> DataFrame:
     """Creator files whose path names an account (account_id, account_name) belong to it; of several accounts that a
-    path names, to the one with the longest id (then the first). Paths are matched once each, posts join by their file."""
+    path names, to the one with the longest id (then the first). Paths are matched once each by a join of their pieces with
+    the ends of ids, posts join by their file."""
     h = hints.select(F.col("account_id").alias("_id"), F.col("account_name").alias("_name")).filter("_id <> ''")
-    files = posts.filter("source = 'creator'").select("raw_file").distinct()
-    named = files.join(h, F.contains(F.lower("raw_file"), F.lower("_id")))
+    h = h.withColumn("_low", F.lower("_id")).withColumn("_piece", F.right("_low", F.lit(PIECE)))
+    files = posts.filter("source = 'creator'").select("raw_file").distinct().withColumn("_path", F.lower("raw_file"))
+
+    def cut(n):  # all pieces of n characters
+        last = F.length("_path") - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("_path"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = files.withColumn("_piece", F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, PIECE + 1)]))))
+    named = pieces.join(h, "_piece").filter(F.contains(F.col("_path"), F.col("_low")))
     named = named.groupBy("raw_file").agg(F.min_by(F.struct("_id", "_name"), F.struct(-F.length("_id"), "_id", "_name")).alias("_hint"))
     x = posts.join(named, "raw_file", "left").withColumn("_hint", F.when(F.col("source") == "creator", F.col("_hint")))
     return x.withColumn("account_id", F.coalesce("_hint._id", "account_id")).withColumn("account_name", F.coalesce("_hint._name", "account_name")).select(*posts.columns)
