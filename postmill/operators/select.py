@@ -66,11 +66,16 @@ def evict_oldest(df: DataFrame, size: str, quota: int, keys: Sequence[str], *old
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
-    """A column for the value at place round-half-even((n - 1) * share) of each key's sorted values."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(value))
-    at = F.bround((F.count("*").over(w) - 1) * F.lit(share)).cast("bigint") + 1
-    return df.withColumn("_place", place).withColumn("_at", at).withColumn(name, F.max(F.when(F.col("_place") == F.col("_at"), F.col(value))).over(w)).drop("_place", "_at")
+    """A column for the value at place round-half-even((n - 1) * share) of each key's sorted values (nulls first). Values
+    are sorted by range over all keys, so a key with most of the rows is many tasks' work; a null key is a key."""
+    k = [f"_k{i}" for i in range(len(keys))]
+    x = numbered(df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(value).alias("_value")), "_place", *[F.asc(n) for n in k], F.asc("_value"))
+    at = x.groupBy(*k).agg((F.min("_place") + F.bround((F.count("*") - 1) * F.lit(share)).cast("bigint")).alias("_place"))
+    found = x.select("_place", F.col("_value").alias(name)).join(at, "_place").drop("_place")
+    same = F.lit(True)
+    for c, n in zip(keys, k):
+        same = same & df[c].eqNullSafe(found[n])
+    return df.join(found, same, "left").drop(*k)
 
 
 def evenly(df: DataFrame, keys: Sequence[str], order: str, most: int) -> DataFrame:
