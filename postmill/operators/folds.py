@@ -134,7 +134,9 @@ def drop_near_hashes(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[s
         new = (lambda taken: far(taken) & F.col(scene).isNotNull() & ~F.exists(taken, lambda t: F.coalesce(t[scene] == F.col(scene), F.lit(False)))) if scene else (lambda taken: F.lit(False))
         return picks(df, keys, order, [bits, *([scene] if scene else [])], [(new, far)] * limit, "pick")
     x = numbered(df, "_place", *in_order(order))
-    out = kept_out(near_hashes(x, "_place", bits, most, keys).select("left_id", "right_id"))
+    near = stored(near_hashes(x, "_place", bits, most, keys), "near")
+    # a later row of a class is out whatever becomes of its first row: what keeps that one out keeps out both
+    out = kept_out(near.filter("distance > 0").select("left_id", "right_id")).unionByName(near.filter("distance = 0").select(F.col("right_id").alias("node")))
     x = x.join(out.select(F.col("node").alias("_place")).distinct().withColumn("_out", F.lit(True)), "_place", "left")
     taken = numbered(x.filter("_out is null").select(F.struct(*keys).alias("_key"), F.col("_place").alias("_own")), "_n", F.asc("_key"), F.asc("_own"))
     taken = taken.join(taken.groupBy("_key").agg(F.min("_n").alias("_begin")), "_key").select(F.col("_own").alias("_place"), (F.col("_n") - F.col("_begin")).cast("int").alias("pick"))
