@@ -38,10 +38,16 @@ def clock(seconds: Column) -> Column:
     return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def half_up(x: Column | str, digits: int) -> Column:
+    """A double rounded as the double that it is: 0.5085 lies below its name, so it is 0.508 of three digits (F.round goes by the name)."""
+    unit = F.lit(10.0**digits)
+    return F.round((F.col(x) if isinstance(x, str) else x) * unit) / unit
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
 def log_points(value: Column, weight: float, digits: int = 3) -> Column:
     """weight times log1p(value) as a share of log1p of a million, at most the weight."""
-    return F.round(F.lit(weight) * F.least(F.lit(1.0), F.log1p(F.greatest(value, F.lit(0)).cast("double")) / F.log1p(F.lit(1e6))), digits)
+    return half_up(F.lit(weight) * F.least(F.lit(1.0), F.log1p(F.greatest(value, F.lit(0)).cast("double")) / F.log1p(F.lit(1e6))), digits)

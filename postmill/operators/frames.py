@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
+
 #: A box's least share of its frame; greatest shares of hit frames of a free and of a low clip; the share
 #: of the expected frames below which a sample says nothing about its clip.
 LEAST_AREA, FREE, LOW, ENOUGH = 0.015, 0.05, 0.15, 0.5
@@ -44,5 +46,5 @@ def with_sample_check(x, truncated: str, expected: str, emitted: str):
         "class": F.when(cut, "unavailable").otherwise(F.col("class")),
         "reason": F.when(cut, F.coalesce(given, F.lit("sample_truncated"))).otherwise(F.col("reason")),
         "low_confidence": F.when(cut, True).otherwise(F.col("low_confidence")),
-        "sample_coverage": F.when(cut, F.round(n / most, 6)).otherwise(F.col("sample_coverage")),
+        "sample_coverage": F.when(cut, half_up(n / most, 6)).otherwise(F.col("sample_coverage")),
     })

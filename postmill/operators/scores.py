@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.number import clamp, log_points
+from postmill.functions.number import clamp, half_up, log_points
 
 #: What an interaction weighs in engagement, and in heat.
 ENGAGEMENT = {"likes": 1.0, "comments": 3.0, "shares": 5.0, "collects": 4.0, "plays": 0.05}
@@ -27,7 +27,7 @@ def post_score(progress: Column, e: Column, median: Column, classified: Column,
     interaction = F.when(e > 0, F.least(F.lit(40.0), F.log10(F.lit(1.0) + e) * 8)).otherwise(0.0)
     quality = F.greatest(F.lit(0.0), F.lit(5.0) - missing * 1.5)
     anomaly = F.when(median > 0, clamp(F.log2(F.greatest(F.lit(1.0), e / median)) * 6, 0.0, 15.0)).otherwise(0.0)
-    return F.round(F.least(F.lit(100.0), fresh + interaction + F.when(classified, 15.0).otherwise(0.0) + source_bonus + quality + anomaly), 3)
+    return half_up(F.least(F.lit(100.0), fresh + interaction + F.when(classified, 15.0).otherwise(0.0) + source_bonus + quality + anomaly), 3)
 
 
 def heat(age_hours: Column, n_groups: Column, n_lanes: Column, weights: dict[str, float] | None = None) -> Column:
@@ -36,10 +36,10 @@ def heat(age_hours: Column, n_groups: Column, n_lanes: Column, weights: dict[str
     out = F.lit(0.0)
     for k in ("likes", "comments", "collects", "shares"):
         out = out + log_points(F.col(k), w[k])
-    out = out + F.round(F.lit(w["freshness"]) * F.exp(-age_hours / 24.0), 3)
-    out = out + F.round(F.lit(w["related"]) * F.least(F.lit(1.0), F.log1p(n_groups.cast("double")) / F.log(F.lit(11.0))), 3)
-    out = out + F.round(F.lit(w["groups"]) * F.least(F.lit(1.0), n_groups / 3), 3)
-    return F.round(out + F.when(n_lanes > 1, w["lanes"]).otherwise(0.0), 3)
+    out = out + half_up(F.lit(w["freshness"]) * F.exp(-age_hours / 24.0), 3)
+    out = out + half_up(F.lit(w["related"]) * F.least(F.lit(1.0), F.log1p(n_groups.cast("double")) / F.log(F.lit(11.0))), 3)
+    out = out + half_up(F.lit(w["groups"]) * F.least(F.lit(1.0), n_groups / 3), 3)
+    return half_up(out + F.when(n_lanes > 1, w["lanes"]).otherwise(0.0), 3)
 
 
 def signal(likes: Column, comments: Column, collects: Column, shares: Column) -> Column:
@@ -50,4 +50,4 @@ def signal(likes: Column, comments: Column, collects: Column, shares: Column) ->
 
 def share_of_max(value: Column, of: Column, scale: float, digits: int) -> Column:
     """scale * value / the greatest (0 of 1 if that is 0)."""
-    return F.round(F.lit(scale) * value / F.when(of == 0, 1.0).otherwise(of), digits)
+    return half_up(F.lit(scale) * value / F.when(of == 0, 1.0).otherwise(of), digits)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
 from postmill.sinks.scratch import stored
 
 
@@ -101,5 +102,5 @@ def chunks(start: Column, end: Column, least: float, most: float) -> Column:
     n = F.floor((end - start) / F.lit(most)).cast("int")
     rest = (end - start) - n * F.lit(most)
     count = n + F.when(rest >= F.lit(least - 1e-9), 1).otherwise(0)
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.round(start + i * F.lit(most), 3).alias("clip_start"), F.round(F.least(end, start + (i + 1) * F.lit(most)), 3).alias("clip_end")))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(half_up(start + i * F.lit(most), 3).alias("clip_start"), half_up(F.least(end, start + (i + 1) * F.lit(most)), 3).alias("clip_end")))
     return F.when(count > 0, cut).otherwise(F.array().cast("array<struct<clip_start:double,clip_end:double>>"))

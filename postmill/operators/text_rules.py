@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
 from postmill.functions.text import has_any, hits
 
 #: Base scores of delivery priority by kind of subject, and its weights.
@@ -23,7 +24,7 @@ def flags(text: Column, terms: dict[str, list[str]]) -> dict[str, Column]:
 def delivery_priority(heat: Column, max_heat: Column, f: dict[str, Column]) -> dict[str, Column]:
     """heat_normalized, category, priority from flags policy, model, action, company, strategy, core, consumer, discussion, risk,
     tutorial, vague, abstract."""
-    normal = F.round(F.lit(100.0) * heat / F.when(max_heat == 0, 1.0).otherwise(max_heat), 3)
+    normal = half_up(F.lit(100.0) * heat / F.when(max_heat == 0, 1.0).otherwise(max_heat), 3)
     when = {"policy": f["policy"], "model_action": f["model"] & f["action"], "company_strategy": f["company"] & f["strategy"], "core": f["core"], "model": f["model"], "consumer": f["consumer"]}
     category, strategic = F.lit("general"), F.lit(55)
     for name, value in reversed(STRATEGIC):
@@ -36,8 +37,8 @@ def delivery_priority(heat: Column, max_heat: Column, f: dict[str, Column]) -> d
     category = F.when(f["tutorial"], F.lit("tutorial")).otherwise(category)
     penalty = F.when(f["risk"], 24).otherwise(0) + F.when(f["tutorial"], 18).otherwise(0) + F.when(f["vague"], 8).otherwise(0)
     w = PRIORITY_WEIGHTS
-    total = F.round(w["heat"] * normal, 3) + F.round(w["strategic"] * strategic, 3) + F.round(w["public"] * public, 3) + F.round(w["discussion"] * talk, 3)
-    return {"heat_normalized": normal, "category": category, "priority": F.round(F.greatest(F.lit(0.0), total - penalty), 3)}
+    total = half_up(w["heat"] * normal, 3) + half_up(w["strategic"] * strategic, 3) + half_up(w["public"] * public, 3) + half_up(w["discussion"] * talk, 3)
+    return {"heat_normalized": normal, "category": category, "priority": half_up(F.greatest(F.lit(0.0), total - penalty), 3)}
 
 
 def readiness(subject: Column, action: Column, obj: Column, time: Column, newslike: Column, vague: Column) -> dict[str, Column]:
@@ -65,7 +66,7 @@ def official_score(source: Column, category: Column, verbs: Column, named: Colum
 
 def relevance(live_hits: Column, live_terms: Column) -> Column:
     """Live terms that a title has, as a share of all live terms."""
-    return F.when(live_terms == 0, F.lit(0.0)).otherwise(F.round(live_hits / live_terms, 6))
+    return F.when(live_terms == 0, F.lit(0.0)).otherwise(half_up(live_hits / live_terms, 6))
 
 
 def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:

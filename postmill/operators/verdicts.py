@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
+
 #: Tolerances of decode validation, face and motion thresholds.
 TOLERANCE, MIN_COVERAGE, GAP_SECONDS, GAP_SHARE, SLACK_FRAMES, SLACK_SHARE = 0.05, 0.95, 1.0, 0.05, 2, 0.02
 FACE_FREE, FACE_LOW = 0.05, 0.15
@@ -34,7 +36,7 @@ def face_class(ratio: Column) -> Column:
 
 def speech_rate(text: Column, seconds: Column) -> Column:
     """Characters other than white space a second, of one second at least."""
-    return F.round(F.length(F.regexp_replace(text, r"\s+", "")) / F.greatest(F.lit(1.0), seconds), 4)
+    return half_up(F.length(F.regexp_replace(text, r"\s+", "")) / F.greatest(F.lit(1.0), seconds), 4)
 
 
 def claim_status(facts: Column, publishers: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
 from postmill.functions.text import categorise, has_all_parts, has_any, hits, numbers, sentences, title_key, words
 from postmill.operators import text_rules as rules
 from postmill.operators.joins import first_of_sources, similar_sets, token_overlap
@@ -116,7 +117,7 @@ def overlap_coefficient_pairs(spark, sf_dir):
     """Pairs of different titles with three and more shared tokens and an overlap of 0.55; titles of equal tokens as
     members of a class, which one of them stands for."""
     t = articles(spark, sf_dir).select("doc_id", F.array_distinct(words(F.col("title"))).alias("tokens"))
-    return similar_sets(t, "doc_id", "tokens", 3, 0.55).withColumn("overlap", F.round("overlap", 6))
+    return similar_sets(t, "doc_id", "tokens", 3, 0.55).withColumn("overlap", half_up("overlap", 6))
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmill.functions.number import clamp
+from postmill.functions.number import clamp, half_up
 from postmill.functions.text import masked_name_matches
 from postmill.operators import verdicts
 from postmill.operators.joins import latest, unmatched, with_overrides
@@ -50,7 +50,7 @@ select o_orderkey, o_orderstatus, score, place from (select *, row_number() over
 def freshness_decay_rank(spark, sf_dir):
     """Posts by heat and an exponential decay with age, the hundred best of each status."""
     age = clamp(F.datediff(F.lit("2002-01-01").cast("date"), F.to_date("o_orderdate")) / F.lit(60.0), 0.0, 48.0)
-    score = F.round(10 * F.exp(-age / 24.0) + F.least(F.lit(22.0), 22 * F.log1p("o_totalprice") / F.log(F.lit(1000001.0))), 3)
+    score = half_up(10 * F.exp(-age / 24.0) + F.least(F.lit(22.0), 22 * F.log1p("o_totalprice") / F.log(F.lit(1000001.0))), 3)
     s = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", score.alias("score"))
     return top(s, ["o_orderstatus"], 100, F.desc("score"), F.asc("o_orderkey"), keep_rank="place")
 
@@ -60,7 +60,7 @@ with h as (select p_partkey, p_type, p_size, round(p_retailprice / max(p_retailp
 select p_partkey, p_type, heat_score, row_number() over (partition by p_type order by heat_score desc, p_size desc, p_partkey) as place from h""")
 def pool_heat_rank(spark, sf_dir):
     """Candidates by heat as a share of their pool's greatest, then length, then id."""
-    h = F.round(F.col("p_retailprice") / F.max("p_retailprice").over(Window.partitionBy("p_type")), 6)
+    h = half_up(F.col("p_retailprice") / F.max("p_retailprice").over(Window.partitionBy("p_type")), 6)
     return ranked(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", h.alias("heat_score")), "place", F.desc("heat_score"), F.desc("p_size"), F.asc("p_partkey"), within=["p_type"]).drop("p_size")
 
 

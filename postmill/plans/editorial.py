@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postmill.functions.number import half_up
 from postmill.functions.text import has_any, has_word, hits, numbers, words
 from postmill.operators import folds
 from postmill.operators.select import best, first_reason, ranked, top
@@ -95,7 +96,7 @@ def slot_validation(spark, sf_dir):
 with b as (select l_orderkey, l_linenumber, l_partkey, (l_quantity + l_tax * 100 + l_discount * 100) / 3 as y from lineitem) select l_orderkey, count(*) as n_lines, count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_ui, count(*) - count_if(round(y, 6) < 4 or round(y, 6) > 16) as n_clean from b group by 1""")
 def ui_text_filter(spark, sf_dir):
     """Lines of a frame that stand where an app shows its own text."""
-    y = F.round((F.col("l_quantity") + F.col("l_tax") * 100 + F.col("l_discount") * 100) / 3, 6)
+    y = half_up((F.col("l_quantity") + F.col("l_tax") * 100 + F.col("l_discount") * 100) / 3, 6)
     b = table(spark, sf_dir, "lineitem").withColumn("ui", (y < 4) | (y > 16))
     return b.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.count_if("ui").alias("n_ui"), (F.count("*") - F.count_if("ui")).alias("n_clean"))
 
@@ -140,7 +141,7 @@ def story_relations(spark, sf_dir):
     x = x.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     p = x.alias("a").join(x.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("n_shared"))
     j = F.col("n_shared") / (F.col("na") + F.col("nb") - F.col("n_shared"))
-    return p.filter("n_shared >= 2").select("left_id", "right_id", "n_shared", F.round(j, 6).alias("jaccard"), F.when((F.col("n_shared") >= 5) & (j >= 0.52), "same").otherwise("related").alias("relation"))
+    return p.filter("n_shared >= 2").select("left_id", "right_id", "n_shared", half_up(j, 6).alias("jaccard"), F.when((F.col("n_shared") >= 5) & (j >= 0.52), "same").otherwise("related").alias("relation"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmill.functions.number import clamp, clock_seconds, duration_seconds
+from postmill.functions.number import clamp, clock_seconds, duration_seconds, half_up
 from postmill.functions.text import has_any, safe_name, strip_suffixes, words
 from postmill.functions.time import parse_feed_date, parse_listing_date
 from postmill.functions.url import allowed_https, host, is_signed, safe_relative_path
@@ -35,8 +35,8 @@ def ocr_quality(spark, sf_dir):
     """Lines of recognised text to a quality tier: amount, median confidence, coverage."""
     l = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("chars"), ((50 + F.col("turn") * 9 + F.length("text") % 30) / F.lit(120.0)).alias("conf"))  # noqa: E741
     q = l.groupBy("conv_id").agg(
-        F.count("*").alias("n_lines"), F.sum("chars").alias("chars"), F.round(F.percentile("conf", F.lit(0.5)), 6).alias("confidence"), F.count_if(F.col("chars") >= 200).alias("long_cards"),
-        F.round(F.count_if(F.col("conf") >= 0.5) / F.count("*"), 6).alias("coverage"),
+        F.count("*").alias("n_lines"), F.sum("chars").alias("chars"), half_up(F.percentile("conf", F.lit(0.5)), 6).alias("confidence"), F.count_if(F.col("chars") >= 200).alias("long_cards"),
+        half_up(F.count_if(F.col("conf") >= 0.5) / F.count("*"), 6).alias("coverage"),
     )
     sure, wide = F.col("confidence") >= 0.6, F.col("coverage") >= 0.5
     return q.withColumn("tier", ladder((((F.col("chars") >= 800) | (F.col("long_cards") >= 2)) & sure & wide, "success"), ((F.col("chars") >= 200) & (sure | wide), "partial"), otherwise="failed"))
@@ -68,8 +68,8 @@ def motion_ratio(spark, sf_dir):
     """The share of neighbouring frames that differ enough."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     f = table(spark, sf_dir, "lineitem").select("l_orderkey", F.abs(F.col("l_discount") - F.lag("l_discount").over(w)).alias("delta"))
-    moved = F.avg(F.when(F.col("delta").isNotNull(), (F.round("delta", 6) >= 0.02).cast("int")))
-    return f.groupBy("l_orderkey").agg(F.count("delta").alias("n_deltas"), F.round(moved, 6).alias("motion_ratio"), (moved >= 0.2).alias("moving")).filter("n_deltas > 0")
+    moved = F.avg(F.when(F.col("delta").isNotNull(), (half_up("delta", 6) >= 0.02).cast("int")))
+    return f.groupBy("l_orderkey").agg(F.count("delta").alias("n_deltas"), half_up(moved, 6).alias("motion_ratio"), (moved >= 0.2).alias("moving")).filter("n_deltas > 0")
 
 
 @query("""
@@ -77,7 +77,7 @@ select l_orderkey, array_to_string(list(l_partkey order by floor(l_quantity / 10
 def ocr_reading_order(spark, sf_dir):
     """Text boxes of a frame, by line and then from left to right."""
     key = F.struct(F.floor(F.col("l_quantity") / 10).alias("y"), F.col("l_extendedprice").alias("x"), F.col("l_partkey").alias("t"))
-    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("b"), F.round(F.avg("l_tax"), 6).alias("confidence"))
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("b"), half_up(F.avg("l_tax"), 6).alias("confidence"))
     return x.select("l_orderkey", F.array_join(F.transform("b", lambda z: z["t"].cast("string")), ",").alias("reading_order"), "confidence")
 
 
@@ -241,9 +241,9 @@ def script_boundaries(spark, sf_dir):
     """Points of a script by its duration, and how many frames to look at."""
     t = F.greatest(F.lit(0.01), F.sum(F.length("text")).cast("double") / 50)
     d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(t.alias("t"))
-    t, hook = F.col("t"), F.round(F.least(F.lit(5.0), F.col("t") * 0.15), 4)
+    t, hook = F.col("t"), half_up(F.least(F.lit(5.0), F.col("t") * 0.15), 4)
     return d.select(
-        "conv_id", hook.alias("hook_end"), F.round(F.greatest(hook, t * 0.25), 4).alias("setup_end"), F.round(t * 0.45, 4).alias("middle"), F.round(t * 0.75, 4).alias("turn_at"), F.round(t, 4).alias("script_end"),
+        "conv_id", hook.alias("hook_end"), half_up(F.greatest(hook, t * 0.25), 4).alias("setup_end"), half_up(t * 0.45, 4).alias("middle"), half_up(t * 0.75, 4).alias("turn_at"), half_up(t, 4).alias("script_end"),
         F.when(t <= 15, 20).when(t <= 30, 30).when(t <= 60, 40).when(t <= 120, 60).otherwise(80).alias("frame_budget"),
     )
 
@@ -340,7 +340,7 @@ def creative_value(spark, sf_dir):
     talk = F.least(F.lit(20.0), 200.0 * F.col("comments") / F.nullif(F.col("likes"), F.lit(0)))
     creative = F.least(F.lit(40.0), 0.4 * (n % 100)) + talk + F.when(v % 3 == 0, 15).otherwise(0) + F.when(v % 4 == 0, 15).otherwise(0) + F.least(F.lit(10.0), n / 10)
     material = F.greatest(F.lit(0.0), 30.0 - v % 40) + F.least(F.lit(55.0), 11 * F.log10(1 + F.col("likes"))) + F.when(v % 2 == 0, 15).otherwise(0)
-    return s.select("video_id", F.round(creative, 3).alias("creative_value"), F.round(material, 3).alias("material_score"))
+    return s.select("video_id", half_up(creative, 3).alias("creative_value"), half_up(material, 3).alias("material_score"))
 
 
 @query("""
@@ -382,7 +382,7 @@ def disposition(spark, sf_dir):
         F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count("l_orderkey").alias("n")
     )
     a, r, n = F.col("a"), F.col("r"), F.col("n")
-    return c.select("o_orderkey", ladder((n == 0, "no_material"), (a == n, "approve"), (r == n, "reject"), (r * 2 > n, "review"), otherwise="hold").alias("disposition"), F.round(a / F.nullif(n, F.lit(0)), 4).alias("share"))
+    return c.select("o_orderkey", ladder((n == 0, "no_material"), (a == n, "approve"), (r == n, "reject"), (r * 2 > n, "review"), otherwise="hold").alias("disposition"), half_up(a / F.nullif(n, F.lit(0)), 4).alias("share"))
 
 
 @query("""
@@ -390,4 +390,4 @@ select o_orderpriority, round(least(1.0, greatest(0.0, cast(sum(cast(o_totalpric
 def budget_share(spark, sf_dir):
     """The share of a budget that each lane has used, between 0 and 1."""
     used = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e9
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(clamp(used, 0.0, 1.0), 6).alias("budget_share"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(half_up(clamp(used, 0.0, 1.0), 6).alias("budget_share"), F.count("*").alias("n"))

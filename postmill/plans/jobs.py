@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.number import log_points
+from postmill.functions.number import half_up, log_points
 from postmill.functions.text import pairs_of_characters, tokens
 from postmill.functions.time import day_end, hours_before
 from postmill.operators import folds, scores
@@ -32,7 +32,7 @@ def daily_news(articles: DataFrame, posts: DataFrame, top_n: int = 30) -> DataFr
     heat = near.groupBy("event_id").agg(F.sum("engagement").alias("engagement"), F.count("*").alias("n_posts"))
     x = e.join(heat, "event_id", "left").fillna(0, ["engagement", "n_posts"])
     score = F.when(F.col("confirmed"), 40).otherwise(0) + F.least(F.lit(40.0), 8 * F.log10(1 + F.col("engagement"))) + F.least(F.lit(20), 5 * F.col("n_articles"))
-    x = x.withColumn("score", F.round(score, 2)).withColumn("level", F.when(F.col("score") >= 75, "S").when(F.col("score") >= 55, "A").otherwise("B"))
+    x = x.withColumn("score", half_up(score, 2)).withColumn("level", F.when(F.col("score") >= 75, "S").when(F.col("score") >= 55, "A").otherwise("B"))
     return top(x, ["day"], top_n, F.desc("score"), F.asc("event_id"), keep_rank="rank").select("day", "event_id", "title", "n_articles", "n_domains", "confirmed", "n_posts", "engagement", "score", "level", "rank")
 
 
@@ -41,12 +41,12 @@ def ranking_board(posts: DataFrame, per_day: int = 10) -> DataFrame:
     components summed by cluster, ranked."""
     x = posts.filter("title is not null and published is not null").withColumn("day", F.to_date("published"))
     age = hours_before(F.col("published"), day_end(F.col("day")), 0.0, 48.0)
-    parts = {m: log_points(F.coalesce(F.col(m), F.lit(0)), scores.HEAT[m]) for m in ("likes", "comments", "collects", "shares")} | {"freshness": F.round(10 * F.exp(-age / 24), 3)}
-    x = x.withColumns({f"c_{k}": v for k, v in parts.items()}).withColumn("own", F.round(sum((F.col(f"c_{k}") for k in parts), F.lit(0.0)), 3))
+    parts = {m: log_points(F.coalesce(F.col(m), F.lit(0)), scores.HEAT[m]) for m in ("likes", "comments", "collects", "shares")} | {"freshness": half_up(10 * F.exp(-age / 24), 3)}
+    x = x.withColumns({f"c_{k}": v for k, v in parts.items()}).withColumn("own", half_up(sum((F.col(f"c_{k}") for k in parts), F.lit(0.0)), 3))
     x = best(x, ["day", "video_id"], F.desc("own"), F.asc("url"))
     x = top(x, ["day"], per_day, F.asc("published"), F.asc("video_id")).withColumn("tokens", tokens(F.concat_ws(" ", "title", "keyword")))
     x = folds.token_clusters(x.select("day", "video_id", "title", "published", "own", "tokens", *[f"c_{k}" for k in parts]), ["day"], [("published", True), ("video_id", True)], "tokens")
-    c = x.groupBy("day", "cluster").agg(F.max_by("title", F.struct("own", "video_id")).alias("title"), F.count("*").alias("n_videos"), *[F.round(F.sum(f"c_{k}"), 3).alias(k) for k in parts])
-    related = F.round(scores.HEAT["related"] * F.least(F.lit(1.0), F.log1p(F.col("n_videos").cast("double")) / F.log(F.lit(11.0))), 3)
-    c = c.withColumn("related", related).withColumn("score", F.round(sum((F.col(k) for k in parts), F.lit(0.0)) + related, 3))
+    c = x.groupBy("day", "cluster").agg(F.max_by("title", F.struct("own", "video_id")).alias("title"), F.count("*").alias("n_videos"), *[half_up(F.sum(f"c_{k}"), 3).alias(k) for k in parts])
+    related = half_up(scores.HEAT["related"] * F.least(F.lit(1.0), F.log1p(F.col("n_videos").cast("double")) / F.log(F.lit(11.0))), 3)
+    c = c.withColumn("related", related).withColumn("score", half_up(sum((F.col(k) for k in parts), F.lit(0.0)) + related, 3))
     return ranked(c, "rank", F.desc("score"), F.desc("n_videos"), F.asc("title"), within=["day"]).drop("cluster")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill.functions.ids import derived_id, sign_bits
-from postmill.functions.number import clock
+from postmill.functions.number import clock, half_up
 from postmill.functions.url import canonical, host, redact
 from postmill.operators import verdicts
 from postmill.operators.frames import ENOUGH, FREE, LEAST_AREA, LOW, clip_class, frame_hits, hit_ratio, uneven, with_sample_check
@@ -125,7 +125,7 @@ select vec_id, label, round(ratio, 4) as face_ratio, case when ratio <= 0.05 the
 def face_class(spark, sf_dir):
     """The share of frames with a face, and its class."""
     ratio = F.size(F.filter("embedding", lambda x: x > 0.2)) / F.size("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(ratio, 4).alias("face_ratio"), verdicts.face_class(ratio).alias("face_class"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", half_up(ratio, 4).alias("face_ratio"), verdicts.face_class(ratio).alias("face_class"))
 
 
 @query("""

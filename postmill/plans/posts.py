@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postmill.functions.number import log_points, parse_count
+from postmill.functions.number import half_up, log_points, parse_count
 from postmill.functions.time import day_end, hours_before, parse_published
 from postmill.operators import scores
 from postmill.operators.joins import same_sets, upsert_seen
@@ -167,11 +167,11 @@ def account_evaluation(spark, sf_dir):
     p = p.withColumn("duration", F.when(F.col("event_type") != "view", F.col("video_id")))
     k = top(p, ["account_id"], 30, F.desc("published"), F.asc("event_id"))
     n, known = F.count("*"), F.count("duration")
-    ratio = lambda a, b: F.round(a / b, 4)
+    ratio = lambda a, b: half_up(a / b, 4)
     a = k.groupBy("account_id").agg(
         n.alias("total_posts"), F.countDistinct("day").alias("active_days"), ratio(F.count_if(F.col("video_id") % 5 == 0), n).alias("tech_ratio"), ratio(F.count_if(F.col("video_id") % 11 == 0), n).alias("promo_ratio"),
         ratio(F.count_if(F.col("duration") <= 60), F.nullif(known, F.lit(0))).alias("short_ratio"), ratio(n - known, n).alias("duration_missing"),
-        F.round(F.percentile("likes", F.lit(0.5)), 2).alias("like_median"), ratio(n - F.count("likes"), n).alias("like_missing"),
+        half_up(F.percentile("likes", F.lit(0.5)), 2).alias("like_median"), ratio(n - F.count("likes"), n).alias("like_missing"),
     )
     c = F.col
     good, calm = c("tech_ratio") >= 0.2, c("promo_ratio") <= 0.15
@@ -203,7 +203,7 @@ def window_48h_rank(spark, sf_dir):
     for m, weight in zip(METRICS, (30, 25, 15, 20), strict=True):
         score = score + F.coalesce(F.lit(weight) * F.log1p(m) / F.nullif(F.col(f"max_{m}"), F.lit(0.0)), F.lit(0.0))
     complete = sum((F.col(m).isNotNull().cast("int") for m in METRICS), F.lit(0)) / 4
-    return x.select("video_id", "event_id", F.round(score, 3).alias("score"), complete.alias("completeness"))
+    return x.select("video_id", "event_id", half_up(score, 3).alias("score"), complete.alias("completeness"))
 
 
 @query(f"""
@@ -298,8 +298,8 @@ def ranking_board_components(spark, sf_dir):
     s = F.lit(0.0)
     for m in METRICS:
         s = s + log_points(F.coalesce(F.col(m), F.lit(0)), scores.HEAT[m])
-    s = s + F.round(10 * F.exp(-hours_before(F.col("published"), day_end(F.col("day")), 0.0, 48.0) / 24.0), 3)
-    return p.select("day", "event_id", F.round(s, 3).alias("board_score"))
+    s = s + half_up(10 * F.exp(-hours_before(F.col("published"), day_end(F.col("day")), 0.0, 48.0) / 24.0), 3)
+    return p.select("day", "event_id", half_up(s, 3).alias("board_score"))
 
 
 @query(f"""

@@ -1,10 +1,16 @@
 """Values at the edges of a rule, where an engine's own types and names of numbers decide."""
 
+from postmill.functions.number import half_up
 from postmill.functions.text import sentences
 from postmill.operators import folds
 from pyspark.sql import functions as F
 
 
+def test_a_double_is_rounded_as_the_double_it_is(spark):
+    x = spark.createDataFrame([(0.45 * 1.13,), (0.5,), (-0.0625,), (None,)], "x double")
+    assert [r.y for r in x.select(half_up("x", 3).alias("y")).collect()] == [0.508, 0.5, -0.063, None]
+
+
 def test_sentences_keep_the_digits_at_their_ends(spark):
     x = spark.createDataFrame([("Zero here it is 0. 10.20.30.41. 22 of these 2!\u00a0\n x \u3000",)], "t string")
     assert x.select(sentences(F.col("t"), 1, 9).alias("s")).first().s == ["Zero here it is 0.", "10.20.30.41.", "22 of these 2!", "x"]
