@@ -127,7 +127,7 @@ with f as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding,
 def frame_positions(spark, sf_dir):
     """Where in its frames a video has a large face."""
     f = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    at = F.when(F.col("x") > 0.15, F.col("i")).cast("bigint")
+    at = F.when(F.col("x") > F.lit(0.15).cast("float"), F.col("i")).cast("bigint")  # as floats: 0.15 itself is not large
     return f.groupBy("vec_id").agg(F.count(at).alias("n_large"), F.min(at).alias("first_large"), F.max(at).alias("last_large"))
 
 

@@ -124,7 +124,7 @@ with v as (select vec_id, label, list_count(list_filter(embedding, lambda x: x >
 select vec_id, label, round(ratio, 4) as face_ratio, case when ratio <= 0.05 then 'face_free' when ratio <= 0.15 then 'low' else 'high' end as face_class from v""")
 def face_class(spark, sf_dir):
     """The share of frames with a face, and its class."""
-    ratio = F.size(F.filter("embedding", lambda x: x > 0.2)) / F.size("embedding")
+    ratio = F.size(F.filter("embedding", lambda x: x > F.lit(0.2).cast("float"))) / F.size("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", half_up(ratio, 4).alias("face_ratio"), verdicts.face_class(ratio).alias("face_class"))
 
 

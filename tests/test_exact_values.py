@@ -3,6 +3,7 @@
 from postmill.functions.number import half_up
 from postmill.functions.text import sentences
 from postmill.operators import folds
+from postmill.plans.catalogue import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -20,3 +21,10 @@ def test_a_hash_like_one_left_out_is_left_out(spark):
     # 2 is near 1 and goes; 3 equals 2, so 1 keeps it out as well
     x = spark.createDataFrame([(1, 0b0), (2, 0b11), (3, 0b11), (4, 0b111111111)], "id int, bits bigint").withColumn("k", F.lit(1))
     assert {r.id: r.pick for r in folds.drop_near_hashes(x, ["k"], [("id", True)], "bits", 4).collect()} == {1: 0, 2: None, 3: None, 4: 1}
+
+
+def test_a_float_is_compared_as_a_float(spark, tmp_path):
+    spark.createDataFrame([(1, 0, [0.15, 0.2, 0.1]), (2, 0, [0.3])], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_large, r.first_large, r.last_large) for r in QUERIES["frame_positions"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 0, 0)}
+    assert {r.vec_id: r.face_ratio for r in QUERIES["face_class"](spark, str(tmp_path)).collect()} == {1: 0.0, 2: 1.0}
