@@ -28,11 +28,16 @@ def ranked(df: DataFrame, name: str, *order: Column, within: Sequence[str] = ())
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
-def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """With each row's place in the whole table: sorted by range, numbered within a range, moved on by the ranges before."""
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """Sorted by range: _range, and _at, a row's place in it."""
     low = (1 << 33) - 1  # of these bits is a row's number in its partition
     x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    x = stored(x, "numbered").withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(low)))
+    return stored(x, "numbered").withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(low)))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """With each row's place in the whole table: sorted by range, numbered within a range, moved on by the ranges before."""
+    x = in_ranges(df, *order)
     size = x.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
     before = size.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return x.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
@@ -60,10 +65,18 @@ def within_budget(df: DataFrame, size: str, budget: Column | int, keys: Sequence
 
 
 def evict_oldest(df: DataFrame, size: str, quota: int, keys: Sequence[str], *oldest_first: Column) -> DataFrame:
-    """Marks, oldest first, what must go until the rest fits a quota."""
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*oldest_first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("evicted", F.sum(size).over(w) - before > F.lit(quota))
+    """Marks, oldest first, what must go until the rest fits a quota. Rows are sorted by range over all keys, and a range
+    knows what its key holds from there on, so a key with most of the rows is many tasks' work."""
+    x = in_ranges(df, *[F.asc(k) for k in keys], *oldest_first)
+    part = x.groupBy("_range", *keys).agg(F.sum(size).alias("_sum"))  # a row for each range and key in it
+    w = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, 0)
+    part = part.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.sum("_sum").over(w).alias("_left"))
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("_range", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = x.withColumn("_before", before).join(part, same)
+    return x.withColumn("evicted", F.col("_left") - F.col("_before") > F.lit(quota)).drop("_range", "_at", "_before", "_r", "_left", *[f"_k{i}" for i in range(len(keys))])
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
