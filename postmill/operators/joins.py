@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.operators.sets import like_pairs, sets_of
+
 
 def with_overrides(df: DataFrame, overrides: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """A non-null override replaces a row's value; the first override of a key counts."""
@@ -94,35 +96,10 @@ def near_hashes(df: DataFrame, own: str, bits: str, most: int, keys: Sequence[st
     return p.select("left_id", "right_id", "distance").distinct().unionByName(same)
 
 
-def set_classes(df: DataFrame, own: str, items: str, least: int, share: float, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Similar sets of one key by classes of equal ones: rows (own, left_id: the class's first row) of the sets that have
-    `least` items, the classes (left_id, s), and pairs of classes (left_id, right_id, n_shared, overlap) with `least`
-    shared items and an overlap of `share` of the smaller set.
-
-    A pair shares at least m = max(least, share * n) of the smaller set's n items, so one of that set's n - m + 1
-    rarest: these are joined with all items of the sets that are as large or larger. No pair is lost, and what most
-    sets have meets few. Pairs are counted on the full sets.
-    """
-    key = F.struct(*keys) if keys else F.lit(0)
-    sets = df.select(F.col(own).alias("_own"), key.alias("_key"), F.array_sort(items).alias("s")).filter(F.size("s") >= least)
-    first = sets.groupBy("_key", "s").agg(F.min("_own").alias("left_id"))
-    members = sets.join(first, ["_key", "s"]).select(F.col("_own").alias(own), "left_id", F.size("s").cast("bigint").alias("n"))
-    one = first.select("left_id", F.size("s").alias("n"), "_key", F.explode("s").alias("item"))
-    frequency = one.groupBy("_key", "item").agg(F.count("*").alias("df"))
-    placed = one.join(frequency, ["_key", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("left_id").orderBy("df", "item")))
-    need = F.greatest(F.lit(least), F.ceil(F.col("n") * share - 1e-9))
-    rare = placed.filter(F.col("place") <= F.col("n") - need + 1).select(F.col("left_id").alias("a"), F.col("n").alias("na"), "_key", "item")
-    near = rare.join(one.select(F.col("left_id").alias("b"), F.col("n").alias("nb"), "_key", "item"), ["_key", "item"]).filter("na < nb or (na = nb and a < b)").select("a", "b").distinct()
-    side = lambda x, y: first.select(F.col("s").alias(x), F.col("left_id").alias(y))
-    p = near.join(side("sa", "a"), "a").join(side("sb", "b"), "b").withColumn("n_shared", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
-    overlap = F.col("n_shared") / F.least(F.size("sa"), F.size("sb"))
-    p = p.filter((F.col("n_shared") >= least) & (overlap >= share - 1e-12)).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "n_shared", overlap.alias("overlap"))
-    return members, first.select("left_id", "s"), p
-
-
 def similar_sets(df: DataFrame, own: str, items: str, least: int, share: float) -> DataFrame:
     """left_id, right_id, n_shared, overlap: pairs of sets with `least` shared items and an overlap of `share` of the
     smaller set. Equal sets are a class: its first row is linked with each other one, and stands for them."""
-    members, _, p = set_classes(df, own, items, least, share)
+    members, classes = sets_of(df, own, items, least)
+    p = like_pairs(classes, least, share)
     same = members.filter(F.col(own) != F.col("left_id")).select("left_id", F.col(own).alias("right_id"), F.col("n").alias("n_shared"), F.lit(1.0).alias("overlap"))
     return p.unionByName(same)

@@ -15,8 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.joins import set_classes
 from postmill.operators.select import numbered
+from postmill.operators.sets import best_like, first_like, sets_of
 from postmill.sinks.scratch import forget, stored
 
 
@@ -77,22 +77,18 @@ def first_fit(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, boo
     """Joins a row to the first cluster of its key whose first row shares `least` items with it and `share` of the smaller
     set, else it opens one; best: to the one that shares most, the first of these. Adds cluster (from 0).
 
-    A row opens a cluster if no earlier row that does so is like it: the rows that like ones don't keep out. Equal sets are
-    one class, for which its first row stands: a later one is like whatever that is like, and like it.
+    A row opens a cluster if no earlier row that does so is like it (operators.sets, block by block). Equal sets are one
+    class, for which its first row stands: a later one is like whatever that is like, and like it.
     """
     x = numbered(df, "_place", *in_order(order))
-    members, first, pairs = set_classes(x, "_place", items, least, share, keys)
-    first, pairs = stored(first.select("left_id"), "classes"), stored(pairs, "pairs")
-    heads = stored(first.join(kept_out(pairs.select("left_id", "right_id")).select(F.col("node").alias("left_id")), "left_id", "left_anti").select(F.col("left_id").alias("head")), "heads")
-    pick = lambda own, head, score: pairs.select(F.col(own).alias("class"), F.col(head).alias("head"), score.alias("score")).join(heads, "head", "left_semi")
-    itself = heads.select(F.col("head").alias("class"), "head", F.lit(1.0).alias("score"))
-    near = pick("right_id", "left_id", F.col("overlap")).unionByName(itself)
-    members = members.select("_place", F.col("left_id").alias("class"))
+    members, classes = sets_of(x, "_place", items, least, keys)
+    found, heads = first_like(classes, least, share)
     if best:  # a later row of a class may have met a head that its first row had not
-        near = near.unionByName(pick("left_id", "right_id", F.col("overlap")))
-        found = members.join(near, "class").filter("head <= _place").groupBy("_place").agg(F.max_by("head", F.struct("score", -F.col("head"))).alias("head"))
+        rows = members.select("left_id", "_place").join(classes.select("left_id", "key", "s"), "left_id").select(F.col("_place").alias("left_id"), "key", "s")
+        found = best_like(rows, heads, least, share).select(F.col("left_id").alias("_place"), "head")
     else:
-        found = members.join(near.groupBy("class").agg(F.min("head").alias("head")), "class").select("_place", "head")
+        found = members.join(found, "left_id").select("_place", "head")
+    found = stored(found, "found")
     x = x.join(found, "_place", "left").withColumn("_head", F.coalesce("head", "_place")).drop("head")
     place = numbered(x.filter("_head = _place").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_head").alias("_own")), "_n", *[F.asc(f"_k{i}") for i in range(len(keys))], F.asc("_own"))
     begin = place.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_n").alias("_begin"))
