@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.folds_streamed import streamed
 from postmill.operators.joins import near_hashes
 from postmill.operators.rounds import first_fit, in_order, kept_out, picks
 from postmill.operators.select import numbered
+from postmill.operators.sets import Growing
 from postmill.sinks.scratch import stored
 
 
@@ -39,23 +41,23 @@ def token_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
     if not grow:
         return first_fit(df, keys, order, tokens, least, share)
 
-    def decide(rows):
-        clusters: list[set] = []
-        out = []
-        for t in rows[tokens]:
-            t = set(t)
-            for i, c in enumerate(clusters):
-                common = len(t & c)
-                if common >= least and common / max(1, min(len(t), len(c))) >= share:
-                    break
-            else:
-                i = len(clusters)
+    def begin():
+        seen, clusters = Growing(), []
+
+        def one(row):
+            t = set(row[tokens])
+            k = seen.first(t, least, share)
+            if k is None:
+                k = len(clusters)
                 clusters.append(set())
-            clusters[i] |= t
-            out.append(i)
-        return {"cluster": out}
+                seen.add(())
+            seen.grow(k, t - clusters[k])
+            clusters[k] |= t
+            return k
 
-    return fold(df, keys, order, decide, "cluster int")
+        return one
+
+    return streamed(df, keys, in_order(order), begin, "cluster int")
 
 
 def best_title_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], pairs: str, share: float = 0.55) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable[[], Callable[[dict], object]], added: str) -> DataFrame:
-    """df with one more column ("name type"): begin() is called for each key, and what it gives for each of its rows, in order (ascending)."""
+def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], begin: Callable[[], Callable[[dict], object]], added: str) -> DataFrame:
+    """df with one more column ("name type"): begin() is called for each key, and what it gives for each of its rows, in order."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
     name = added.split()[0]
     kind = to_arrow_type(df.sparkSession.createDataFrame([], added).schema[0].dataType)
