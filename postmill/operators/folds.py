@@ -65,25 +65,6 @@ def best_title_clusters(df: DataFrame, keys: Sequence[str], order: Sequence[tupl
     return first_fit(df, keys, order, pairs, 1, share, best=True)
 
 
-def joined_stories(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], same: str, near: str, own: str) -> DataFrame:
-    """Joins a row to the first story whose first row is in its `same` ids and all of whose rows are in its `near` ids,
-    else opens one. Chains don't form: a row was compared with every member. Adds cluster (from 0)."""
-
-    def decide(rows):
-        stories: list[list] = []
-        out = []
-        for i, ok, compatible in zip(rows[own], rows[same], rows[near], strict=True):
-            ok, compatible = set(ok), set(compatible)
-            place = next((k for k, members in enumerate(stories) if members[0] in ok and compatible.issuperset(members)), len(stories))
-            if place == len(stories):
-                stories.append([])
-            stories[place].append(i)
-            out.append(place)
-        return {"cluster": out}
-
-    return fold(df, keys, order, decide, "cluster int")
-
-
 def merge_cards(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], text: str, numbers: str, similarity: float = 0.85) -> DataFrame:
     """Joins a frame's text to the first card that contains it, that it contains, or that is similar; never one with
     other numbers. A card keeps its longest text. Adds card (from 0; null for an empty text) and card_text.

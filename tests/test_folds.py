@@ -191,3 +191,17 @@ def test_places_in_a_whole_table(spark):
     df = spark.range(500).select("id", (F.col("id") * 37 % 91).alias("v")).repartition(7)
     got = [r.id for r in sorted(numbered(df, "place", F.desc("v"), F.asc("id")).collect(), key=lambda r: r.place)]
     assert got == [r.id for r in df.orderBy(F.desc("v"), F.asc("id")).collect()]
+
+
+def test_stories_of_equal_titles_make_no_pairs(spark, monkeypatch):
+    """Copies go where the first of them went, and blocks of any size find the same pairs."""
+    words = ["launch", "of", "the", "new", "probe"]
+    one = lambda i, models, t: (i, "k", models, [], [], [], t, "".join(t))
+    rows = [one(i, [], words) for i in range(0, 400, 2)] + [one(i, ["m1"], [*words, "m1"]) for i in range(1, 400, 4)] + [one(i, ["m2"], [*words, "m2"]) for i in range(3, 400, 4)]
+    df = spark.createDataFrame(rows, "id bigint, key string, models array<string>, subjects array<string>, entities array<string>, dates array<string>, tokens array<string>, text string")
+    pairs, found = [], stories.same_pairs
+    monkeypatch.setattr(stories, "same_pairs", lambda rows, size=None: pairs.append(found(rows, size)) or pairs[-1])
+    got = {x.id: x.cluster for x in stories.story_clusters(df, ["key"], "id").collect()}
+    assert got == {i: 3 if i % 4 == 3 else 0 for i in range(400)} and pairs[0].count() == 2
+    whole, small = (sorted(map(tuple, found(stories.signed(df.filter("id < 40"), ["key"], "id"), n).collect())) for n in (None, 7))
+    assert whole == small and len(whole) == 680  # all of 780 but those of m1 with m2
