@@ -8,12 +8,10 @@ Sorting all suffixes of a corpus would move it many times over. Only suffixes th
 2. Anchors of one piece whose contexts are equal (by a BLAKE2 digest of 128 bits over all their bytes) are repeated as
    a whole. Equal contexts of one task are counted there and one of them goes on.
 3. Two anchors that share a 200-byte string share RIGHT bytes from the piece on or LEFT bytes before it. Contexts
-   that share neither with another of their piece are done. The others get their bytes, and a suffix sort: contexts to the right of the anchor, and
-   to the left read backwards, are merge-sorted; a comparison finds the common extension of two suffixes by
-   binary search on prefix polynomial hashes. Neighbours' common extensions are verified on the bytes (if a
-   hash collided, those bytes are compared instead). A string x bytes before the anchor is repeated exactly
-   if another member shares 200 - x bytes to the right and x to the left: the two sorted orders give those
-   classes for every x.
+   that share neither with another of their piece are done. The others get their bytes, to the right of the anchor and to
+   the left read backwards. A string x bytes before the anchor is repeated exactly if another member shares 200 - x bytes
+   to the right and x to the left. Up to PAIRED members of a piece are compared by pairs, eight bytes at a time; more are
+   sorted as suffixes in both directions, and what neighbours share gives the classes for every x. No hash decides here.
 4. A piece with more than GROUP such contexts is split by how far before the anchor a string begins: strings that
    begin a to b bytes before it share a bytes to the left and LENGTH - b to the right, so equal ones meet in one
    half of the range or the other. Contexts with equal bytes (by SHA-256) as far as a range's strings reach are repeated for
@@ -32,10 +30,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.blocks import Block, blocks, eights, joined, mix, polynomial, powers, prefix, repeated
+from postmill.llm.blocks import Block, blocks, eights, joined, mix, repeated
 from postmill.llm.common import documents, narrow, row_key, saved, ship
 
 LENGTH, PIECE = 200, 32
@@ -48,6 +47,8 @@ BROADCAST_KEYS = 1_000_000
 GROUP = 4000
 #: Anchors that a task holds before it counts and sends them, and members it sorts together.
 HELD, SORTED = 300_000, 3_000
+#: Members of a group that are compared by pairs.
+PAIRED = 32
 
 
 def _slide(v: np.ndarray, size: int, best) -> np.ndarray:
@@ -170,77 +171,37 @@ def _find_anchors(batches):
         yield _counted(held)
 
 
+def _rows(data: np.ndarray, start: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Suffixes as rows of one width: their bytes, then zeros."""
+    width = -(-int(room.max(initial=1)) // 8) * 8
+    rows = sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[start]
+    rows[np.arange(width) >= room[:, None]] = 0
+    return rows
+
+
+def _extension(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bytes rows i and j have in common at their begin; zeros past an end count."""
+    eight = rows.view("<u8")
+    x = eight[i] ^ eight[j]
+    at = (x != 0).argmax(axis=1)
+    first = x[np.arange(len(x)), at]
+    low = first & (~first + np.uint64(1))
+    return np.where(first == 0, rows.shape[1], at * 8 + np.log2(np.maximum(low, np.uint64(1)).astype(float)).astype(np.int64) // 8)
+
+
 class Suffixes:
     """Members' bytes, sorted as suffixes of one direction within their groups."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, room: np.ndarray, group: np.ndarray):
         """start: where each suffix begins in data; room: its length; group: sorted numbers."""
-        self.data, self.start, self.room, self.group = data, start, room, group
-        self.S, self.down = prefix(data), powers(len(data) + 1)[1]
-        self.order = self._merge_sort()
-        self.common = self._verified()
-
-    def _hash(self, i: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return polynomial(self.S, self.start[i], self.start[i] + length, self.down)
-
-    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes i and j, by binary search."""
-        lo, hi = np.zeros(len(i), np.int64), np.minimum(self.room[i], self.room[j])
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = self._hash(i, mid) == self._hash(j, mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
-
-    def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffix i comes before j; of equal ones the smaller index does."""
-        k = self.extension(i, j)
-        end_i, end_j = k >= self.room[i], k >= self.room[j]
-        a = self.data[np.minimum(self.start[i] + k, len(self.data) - 1)]
-        b = self.data[np.minimum(self.start[j] + k, len(self.data) - 1)]
-        return np.where(end_i & end_j, i < j, np.where(end_i, True, np.where(end_j, False, a < b)))
-
-    def _merge_sort(self) -> np.ndarray:
-        n = len(self.start)
-        order = np.arange(n)
-        if not n:
-            return order
-        first = np.searchsorted(self.group, self.group, "left")
-        last = np.searchsorted(self.group, self.group, "right")
-        at, size = np.arange(n), 1
-        while size < (last - first).max():
-            rel = at - first
-            run = rel // size
-            odd = run % 2 == 1
-            o_lo = first + np.where(odd, run - 1, run + 1) * size  # the run it merges with
-            o_lo = np.minimum(o_lo, last)
-            o_hi = np.minimum(o_lo + size, last)
-            lo, hi = o_lo.copy(), o_hi.copy()
-            while (open_ := lo < hi).any():  # how many of that run come before it
-                w = np.flatnonzero(open_)
-                mid = (lo[w] + hi[w]) // 2
-                before = self.less(order[mid], order[w])
-                lo[w], hi[w] = np.where(before, mid + 1, lo[w]), np.where(before, hi[w], mid)
-            place = first + (run - odd) * size + (rel - run * size) + (lo - o_lo)
-            new = np.empty_like(order)
-            new[place] = order
-            order, size = new, 2 * size
-        return order
-
-    def _verified(self) -> np.ndarray:
-        """Common prefix of each in order with the one before it (0 across groups), checked on the bytes."""
+        self.group, self.rows = group, _rows(data, start, room)
+        whole = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), self.rows], axis=1)
+        self.order = np.argsort(whole.view(f"S{whole.shape[1]}").ravel(), kind="stable")
         o = self.order
-        common = np.zeros(len(o), np.int64)
+        # with the one before; zeros past an end join nothing: only suffixes with room for a length are asked for its classes
+        self.common = np.zeros(len(o), np.int64)
         if len(o) > 1:
-            same = self.group[o[1:]] == self.group[o[:-1]]
-            i, j = o[:-1][same], o[1:][same]
-            k = self.extension(i, j)
-            whole = self.data.tobytes()
-            for t, (p, q, length) in enumerate(zip(self.start[i].tolist(), self.start[j].tolist(), k.tolist(), strict=True)):
-                if whole[p : p + length] != whole[q : q + length]:  # a collision
-                    k[t] = next(c for c in range(length) if whole[p + c] != whole[q + c])
-            common[1:][same] = k
-        return common
+            self.common[1:] = np.where(group[o[1:]] == group[o[:-1]], _extension(self.rows, o[1:], o[:-1]), 0)
 
     def classes(self, length: int) -> np.ndarray:
         """A number for each suffix, equal where the group and the first `length` bytes are."""
@@ -252,23 +213,57 @@ class Suffixes:
         return out
 
 
+def _pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of groups that begin at first and have so many."""
+    i, j = [], []
+    for k in np.unique(size).tolist():
+        a, b = np.triu_indices(k, 1)
+        at = first[size == k][:, None]
+        i.append((at + a).ravel())
+        j.append((at + b).ravel())
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def settle(unit: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, slices: list[bytes]) -> np.ndarray:
-    """Of members sorted by unit: [i, x] whether the string that starts x bytes before anchor i is repeated."""
+    """Of members sorted by unit: [i, x] whether the string that starts x bytes before anchor i is repeated.
+
+    Two members that share r bytes from the anchor on and l before it share the strings that start LENGTH - r to l before
+    it. Small groups are compared by pairs, others are sorted in both directions.
+    """
     sizes = np.array([len(s) for s in slices], np.int64)
     data = np.frombuffer(b"".join(slices), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    left, right = pos - lo, hi - pos
-    group = np.zeros(len(unit), np.int64)
-    group[1:] = np.cumsum(unit[1:] != unit[:-1])
-    ahead = Suffixes(data, begin + left, right, group)
-    back = Suffixes(data[::-1].copy(), len(data) - (begin + left), left, group)
-    out = np.zeros((len(unit), REACH + 1), bool)
-    many = n > 1
-    for x in range(REACH + 1):
-        ok = np.flatnonzero((left >= x) & (right >= LENGTH - x))
-        if len(ok):
-            key = ahead.classes(LENGTH - x)[ok] * (len(unit) + 1) + back.classes(x)[ok]
-            out[ok, x] = repeated(key) | many[ok]
+    left, right = (pos - lo).astype(np.int64), (hi - pos).astype(np.int64)
+    new = np.ones(len(unit), bool)
+    new[1:] = unit[1:] != unit[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(unit)))
+    ahead, back = (data, begin + left, right), (data[::-1].copy(), len(data) - (begin + left), left)
+
+    small = size <= PAIRED
+    i, j = _pairs(first[small], size[small])
+    many = np.flatnonzero((n > 1) & (left + right >= LENGTH))
+    ranges = [(many, np.maximum(LENGTH - right[many], 0), np.minimum(left[many], REACH))]
+    a, b = _rows(*ahead), _rows(*back)
+    for at in range(0, len(i), 20_000):
+        p, q = i[at : at + 20_000], j[at : at + 20_000]
+        from_ = np.maximum(LENGTH - np.minimum(_extension(a, p, q), np.minimum(right[p], right[q])), 0)
+        to = np.minimum(np.minimum(_extension(b, p, q), np.minimum(left[p], left[q])), REACH)
+        ok = from_ <= to
+        ranges += [(p[ok], from_[ok], to[ok]), (q[ok], from_[ok], to[ok])]
+    row, from_, to = (np.concatenate(c) for c in zip(*ranges, strict=True))
+    edge = REACH + 2
+    begins, ends = (np.bincount(row * edge + x, minlength=len(unit) * edge) for x in (from_, to + 1))
+    out = np.cumsum((begins - ends).reshape(-1, edge), axis=1)[:, :-1] > 0
+
+    big = np.flatnonzero(np.repeat(~small, size))
+    if len(big):
+        group = np.repeat(np.arange(len(size)), size)[big]
+        ahead, back = (Suffixes(d, s[big], r[big], group) for d, s, r in (ahead, back))
+        for x in range(REACH + 1):
+            ok = np.flatnonzero((left[big] >= x) & (right[big] >= LENGTH - x))
+            if len(ok):
+                out[big[ok], x] |= repeated(ahead.classes(LENGTH - x)[ok] * (len(unit) + 1) + back.classes(x)[ok])
     return out
 
 

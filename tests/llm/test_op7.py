@@ -82,3 +82,31 @@ def test_contexts_are_equal_for_equal_bytes_at_an_equal_place_only():
     assert got[0] == got[1] and len(set(got)) == 4
     sides = op7.Sides(data).of(lo, hi)
     assert sides[0] == sides[1] == sides[2] and sides[3] != sides[0] and sides.all()
+
+
+def test_settle_matches_plain_strings(monkeypatch):
+    """By pairs and by suffix sort, with zero bytes at ends, groups of any size and members that count twice."""
+    r = random.Random(5)
+    shared = [bytes(r.choice(b"\0ab") for _ in range(368)) for _ in range(4)]
+    unit, pos, lo, hi, n, slices = [], [], [], [], [], []
+    for u in range(40):
+        for _ in range(r.randint(1, 9)):
+            s = bytearray(r.choice(shared))
+            for _ in range(r.randint(0, 2)):
+                s[r.randint(0, 367)] = r.choice(b"\0ab")
+            left, right = r.choice([168, 168, r.randint(0, 168)]), r.choice([200, 200, r.randint(32, 200)])
+            slices.append(bytes(s[168 - left : 168 + right]))
+            for c, v in ((unit, u), (pos, 1000), (lo, 1000 - left), (hi, 1000 + right), (n, r.choice([1, 1, 1, 2]))):
+                c.append(v)
+    arrays = [np.array(c, np.int64) for c in (unit, pos, lo, hi, n)]
+    count = Counter()
+    at = lambda i, x: (unit[i], x, slices[i][1000 - lo[i] - x :][:200])
+    fits = [[x for x in range(169) if 1000 - lo[i] >= x and hi[i] - 1000 >= 200 - x] for i in range(len(unit))]
+    for i, xs in enumerate(fits):
+        count.update({at(i, x): n[i] for x in xs})
+    want = np.zeros((len(unit), 169), bool)
+    for i, xs in enumerate(fits):
+        want[i, xs] = [count[at(i, x)] > 1 for x in xs]
+    for paired in (1, 3, 32):
+        monkeypatch.setattr(op7, "PAIRED", paired)
+        assert (op7.settle(*arrays, slices) == want).all() and 0 < want.sum() < want.size
