@@ -10,6 +10,7 @@ from postmill.functions.text import categorise, has_all_parts, has_any, hits, nu
 from postmill.operators import text_rules as rules
 from postmill.operators.joins import first_of_sources, similar_sets, token_overlap
 from postmill.operators.select import audit, best, first_reason, numbered, ranked, top, within_budget
+from postmill.operators.sets import most_shared
 from postmill.plans.registry import query
 from postmill.sources.tables import ARTICLES_SQL, articles, table
 
@@ -99,12 +100,7 @@ def token_overlap_attach(spark, sf_dir):
     """The five articles that share most tokens with each event; tokens that a fifth of all articles have don't count."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.array_distinct(words(F.col("text"))).alias("tokens"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(words(F.col("text"))).alias("tokens"))
-    n = d.count()
-    wanted = b.select(F.explode("tokens").alias("token")).distinct()  # only tokens of events are counted and joined
-    dt = d.select("doc_id", "n_chars", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
-    rare = dt.groupBy("token").count().filter(F.col("count") <= 0.2 * n).select("token")
-    x = b.select("item_id", F.explode("tokens").alias("token")).join(rare, "token").join(dt, "token").groupBy("item_id", "doc_id", "n_chars").agg(F.count("*").alias("n_shared"))
-    return top(x, ["item_id"], 5, F.desc("n_shared"), F.desc("n_chars"), F.asc("doc_id"), keep_rank="place").select("item_id", "doc_id", "n_shared", "place")
+    return most_shared(d, b, 5, 0.2).select("item_id", "doc_id", "n_shared", "place")
 
 
 @query(f"""

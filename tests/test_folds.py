@@ -4,7 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
-from postmill.operators import folds, stories
+from postmill.operators import folds, sets, stories
 from postmill.operators.components import components
 from postmill.operators.joins import near_hashes, similar_sets
 from postmill.operators.select import numbered
@@ -205,3 +205,24 @@ def test_stories_of_equal_titles_make_no_pairs(spark, monkeypatch):
     assert got == {i: 3 if i % 4 == 3 else 0 for i in range(400)} and pairs[0].count() == 2
     whole, small = (sorted(map(tuple, found(stories.signed(df.filter("id < 40"), ["key"], "id"), n).collect())) for n in (None, 7))
     assert whole == small and len(whole) == 680  # all of 780 but those of m1 with m2
+
+
+def test_most_shared_against_plain_counts(spark, monkeypatch):
+    """Equal rows count as one, nulls as least, whatever the blocks; no window gets more than n rows a task and event."""
+    r = random.Random(12)
+    some = lambda most: r.sample("ab bc cd de ef fg gh hi".split(), r.randint(0, most))
+    rows = [(i % 150, r.choice([None, 1, 2, 3]) if i < 150 else 7, [*some(4), "all"]) for i in range(200)] + [(3, 7, ["ab", "bc"]), (3, 7, ["ab"]), (None, 9, ["ab"]), (900, None, None)]
+    events = [(k % 7, [*some(5), "all", "none"]) for k in range(9)] + [(50, [])]
+    df, ev = spark.createDataFrame(rows, "doc long, n int, t array<string>"), spark.createDataFrame(events, "item long, t array<string>")
+    often = {w for w in {w for x in rows for w in x[2] or ()} if sum(w in (x[2] or ()) for x in rows) > 0.4 * len(rows)}
+    want, counts = set(), {}
+    for item, words in events:
+        for doc, n, t in rows:
+            for w in set(t or ()) & set(words) - often:
+                counts[item, doc, n] = counts.get((item, doc, n), 0) + 1
+    for item in {e[0] for e in events}:
+        found = sorted(((-s, n is None, -(n or 0), d is not None, d or 0, d) for (i, d, n), s in counts.items() if i == item))[:3]
+        want |= {(item, x[5], -x[0], k) for k, x in enumerate(found, 1)}
+    for size in (10_000, 2):
+        monkeypatch.setattr(sets, "EVENTS", size)
+        assert {(x["item"], x.doc, x.n_shared, x.place) for x in sets.most_shared(df.repartition(3), ev, 3, 0.4).collect()} == want and "all" in often and len(want) > 15
