@@ -113,7 +113,8 @@ def overlap_coefficient_pairs(spark, sf_dir):
     """Pairs of different titles with three and more shared tokens and an overlap of 0.55; titles of equal tokens as
     members of a class, which one of them stands for."""
     t = articles(spark, sf_dir).select("doc_id", F.array_distinct(words(F.col("title"))).alias("tokens"))
-    return similar_sets(t, "doc_id", "tokens", 3, 0.55).withColumn("overlap", half_up("overlap", 6))
+    # half_up() of what lies between 0 and 1, without its decimals: there are many pairs
+    return similar_sets(t, "doc_id", "tokens", 3, 0.55).withColumn("overlap", F.floor(F.col("overlap") * 1e6 + 0.5) / F.lit(1e6))
 
 
 @query(f"""
